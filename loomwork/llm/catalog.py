@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import groups, split, topn
+from loomwork.llm import groups, overlap, split, topn
 
-_MODULES = (groups, topn, split)
+_MODULES = (overlap, groups, topn, split)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
