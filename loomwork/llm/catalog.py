@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import groups, overlap, split, topn
+from loomwork.llm import groups, leaks, neighbours, overlap, split, topn
 
-_MODULES = (overlap, groups, topn, split)
+_MODULES = (overlap, groups, neighbours, topn, split, leaks)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
