@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import groups, leaks, neighbours, overlap, split, topn
+from loomwork.llm import canonical, groups, leaks, neighbours, overlap, packing, split, topn
 
-_MODULES = (overlap, groups, neighbours, topn, split, leaks)
+_MODULES = (overlap, groups, neighbours, canonical, topn, split, packing, leaks)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
