@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import canonical, groups, leaks, neighbours, overlap, packing, split, stuffing, topn
+from loomwork.llm import canonical, groups, leaks, neighbours, overlap, packing, pii, split, stuffing, topn
 
-_MODULES = (overlap, groups, neighbours, canonical, topn, split, packing, leaks, stuffing)
+_MODULES = (overlap, groups, neighbours, canonical, pii, topn, split, packing, leaks, stuffing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
