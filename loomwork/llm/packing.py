@@ -160,6 +160,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, expecte
         )
 
     keyed = rows.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)))
+    # a stated number of partitions, or the adaptive planner would give the few bytes of all blocks to one task
+    keyed = keyed.repartition(blocks, "block")
     return keyed.groupBy("block").applyInPandas(run, f"item {kind}, part long, first_token long, tokens long, container string")
 
 
