@@ -193,7 +193,9 @@ def match_values(values: DataFrame, entries: DataFrame, max_broadcast: int = MAX
                     out.append((value, *decide(judged)))
                 yield pd.DataFrame(out, columns=["value", "skill_id", "stage", "confidence"])
 
-        return distinct.mapInPandas(run, _MATCH_SCHEMA)
+        # values are few bytes and much work: without a stated number the adaptive planner would give one task all of them
+        cores = spark.sparkContext.defaultParallelism
+        return distinct.repartition(4 * cores, "value").mapInPandas(run, _MATCH_SCHEMA)
     return _match_by_join(distinct, rows)
 
 
