@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def token_jaccard(a: str | Column, b: str | Column) -> Column:
@@ -21,7 +22,7 @@ def length_bound(a: Column, b: Column) -> Column:
     return 2.0 * F.least(F.length(a), F.length(b)) / (F.length(a) + F.length(b))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio. Batches come and go through Arrow; a matcher is kept while the second string repeats."""
     out, matcher, last = [], SequenceMatcher(None), None

@@ -50,13 +50,13 @@ def fuzzy_candidates(rest: DataFrame, terms: DataFrame, threshold: float, sequen
     return both.where(F.col("score") >= threshold)
 
 
-def resolve_fuzzy(rest: DataFrame, terms: DataFrame, partners: DataFrame, sequence: bool = True) -> DataFrame:
-    """(raw_text, canonical, score): best term at FUZZY or above, ties to the smaller name, unless a partner of the
+def resolve_fuzzy(rest: DataFrame, terms: DataFrame, partners: DataFrame, sequence: bool = True, least: float = FUZZY) -> DataFrame:
+    """(raw_text, canonical, score): best term at `least` or above, ties to the smaller name, unless a partner of the
     winner, partners(skill_a, skill_b), comes within MARGIN of it."""
-    near = fuzzy_candidates(rest, terms, FUZZY - MARGIN, sequence)
+    near = fuzzy_candidates(rest, terms, least - MARGIN - 1e-9, sequence)
     per = near.groupBy("raw_text", "canonical").agg(F.max("score").alias("score"))
     order = Window.partitionBy("raw_text").orderBy(F.desc("score"), "canonical")
-    best = per.withColumn("k", F.row_number().over(order)).where((F.col("k") == 1) & (F.col("score") >= FUZZY)).drop("k")
+    best = per.withColumn("k", F.row_number().over(order)).where((F.col("k") == 1) & (F.col("score") >= least - 1e-9)).drop("k")
     both = partners.select("skill_a", "skill_b").unionByName(partners.select(F.col("skill_b").alias("skill_a"), F.col("skill_a").alias("skill_b"))).distinct()
     rival = best.join(both, best["canonical"] == both["skill_a"]).select("raw_text", F.col("score").alias("won"), F.col("skill_b").alias("canonical")).join(per, ["raw_text", "canonical"])
     vetoed = rival.where(F.col("score") >= F.col("won") - MARGIN - 1e-9).select("raw_text")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomwork.plans import texts
+from loomwork.plans import datasets, evaluation, matching, stores, texts
 
-_MODULES = [texts]
+_MODULES = [texts, matching, datasets, evaluation, stores]
 
 
 def queries() -> dict:
