@@ -114,7 +114,7 @@ def looks_like_header(text: Column, style: Column | None = None, bold: Column |
     if size is not None and body is not None:
         marked = marked | F.coalesce(size > body * HEADER_FONT_RATIO, F.lit(False))
     n = word_count(text)
-    return (n >= 1) & (n <= MAX_HEADER_WORDS) & marked
+    return marked & (n >= 1) & (n <= MAX_HEADER_WORDS)  # the cheap test first
 
 
 def is_bullet(text: Column, style: Column | None = None) -> Column:

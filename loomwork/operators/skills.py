@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,15 +83,50 @@ def normalize_skills(values: DataFrame, terms: DataFrame, partners: DataFrame, v
     )
 
 
-def knn(queries: DataFrame, base: DataFrame, k: int, least: float, max_base: int = 100_000) -> DataFrame:
-    """queries(query, vec), base(item, vec) -> (query, item, similarity, rank): exact cosine top k, ties to the smaller
-    item. The base is a reference list: it is broadcast while its checked size allows, else the join shuffles it."""
+def knn(queries: DataFrame, base: DataFrame, k: int, least: float, max_base: int = 20_000) -> DataFrame:
+    """queries(query, vec), base(item, vec) -> (query, item, similarity, rank): exact cosine top k at `least` or more,
+    ties to the smaller item. Vectors that are null or zero take no part, and only equal dimensions meet.
+
+    The base is a reference list. While it has at most max_base vectors, which is checked, it is broadcast as a matrix
+    and each Arrow batch of queries is one matrix product; array functions would be interpreted element by element,
+    some fifty times slower. A longer base is joined and reduced by Spark alone.
+    """
     unit = lambda df, c: df.select(c, V.unit("vec").alias("v")).where("v is not null")
-    right = unit(base, "item").withColumnRenamed("v", "w")
-    if right.limit(max_base + 1).count() <= max_base:
-        right = F.broadcast(right)
-    pairs = unit(queries, "query").join(right, F.size("v") == F.size("w"))
-    scored = pairs.select("query", "item", V.dot("v", "w").alias("similarity")).where(F.col("similarity") >= least)
+    right = unit(base, "item")
+    if right.limit(max_base + 1).count() > max_base:
+        right = right.withColumnRenamed("v", "w")
+        scored = unit(queries, "query").join(right, F.size("v") == F.size("w")).select("query", "item", V.dot("v", "w").alias("similarity"))
+    else:
+        by_size: dict[int, tuple[list, list]] = {}
+        for item, v in right.orderBy("item").collect():
+            names, rows = by_size.setdefault(len(v), ([], []))
+            names.append(item)
+            rows.append(v)
+        tables = {n: (names, np.array(rows)) for n, (names, rows) in by_size.items()}
+        shared = queries.sparkSession.sparkContext.broadcast(tables)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                vectors = [np.asarray(v, np.float64) for v in pdf["vec"]]
+                sizes = np.array([len(v) for v in vectors])
+                for n, (names, matrix) in shared.value.items():
+                    at = np.flatnonzero(sizes == n)
+                    if not len(at):
+                        continue
+                    x = np.stack([vectors[i] for i in at])
+                    length = np.linalg.norm(x, axis=1)
+                    x, at = x[length > 0] / length[length > 0, None], at[length > 0]
+                    like = x @ matrix.T
+                    # names are in order, so a stable sort settles ties; the margin keeps what rounding sets apart
+                    top = np.argsort(-np.round(like, 12), axis=1, kind="stable")[:, :k]
+                    r, c = np.nonzero(np.take_along_axis(like, top, 1) >= least)
+                    pick = top[r, c]
+                    yield pd.DataFrame({"query": pdf["query"].to_numpy()[at[r]], "item": [names[i] for i in pick], "similarity": like[r, pick]})
+
+        kind, name = dict(queries.dtypes)["query"], dict(base.dtypes)["item"]
+        asked = queries.where("vec is not null").select("query", "vec")
+        scored = asked.mapInPandas(run, f"query {kind}, item {name}, similarity double")
+    scored = scored.where(F.col("similarity") >= least)
     order = Window.partitionBy("query").orderBy(F.desc("similarity"), "item")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
