@@ -21,6 +21,7 @@ def cosine(a: str | Column, b: str | Column) -> Column:
 
 
 def unit(a: str | Column) -> Column:
-    """The vector at length 1, null if it has none; normalise once, then compare by dot products."""
-    size = norm(a)
-    return F.when(size > 0, F.transform(a, lambda x: x.cast("double") / size))
+    """The vector at length 1, null if it has none; normalise once, then compare by dot products. The squared length is
+    bound by the aggregate's last step: named inside the transform it would be worked out again for every element."""
+    scaled = lambda s: F.when(s > 0, F.transform(a, lambda x: x.cast("double") / F.sqrt(s)))
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"), scaled)
