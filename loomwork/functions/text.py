@@ -159,7 +159,7 @@ def degree_rank(c: str | Column) -> Column:
 
 def normalize_term(c: str | Column) -> Column:
     """Trimmed, lower-cased, without a trailing version number, blanks squeezed."""
-    text = F.regexp_replace(F.lower(strip(c)), r"\s+v?\d+(\.\d+)*\+?$", "")
+    text = F.regexp_replace(F.lower(strip(c)), rf"{BLANK}+v?\d+(\.\d+)*\+?$", "")
     return strip(F.regexp_replace(text, rf"{BLANK}+", " "))
 
 

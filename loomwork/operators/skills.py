@@ -121,6 +121,8 @@ def knn(queries: DataFrame, base: DataFrame, k: int, least: float, max_base: int
                     top = np.argsort(-np.round(like, 12), axis=1, kind="stable")[:, :k]
                     r, c = np.nonzero(np.take_along_axis(like, top, 1) >= least)
                     pick = top[r, c]
+                    if not len(pick):  # an empty frame has no text type
+                        continue
                     yield pd.DataFrame({"query": pdf["query"].to_numpy()[at[r]], "item": [names[i] for i in pick], "similarity": like[r, pick]})
 
         kind, name = dict(queries.dtypes)["query"], dict(base.dtypes)["item"]

@@ -22,7 +22,7 @@ def norm_header(c: str) -> str:
 
 
 def norm_term(c: str) -> str:
-    return strip(f"regexp_replace(regexp_replace(lower({strip(c)}), '\\s+v?\\d+(\\.\\d+)*\\+?$', '', 'g'), '{T.BLANK}+', ' ', 'g')")
+    return strip(f"regexp_replace(regexp_replace(lower({strip(c)}), '{T.BLANK}+v?\\d+(\\.\\d+)*\\+?$', '', 'g'), '{T.BLANK}+', ' ', 'g')")
 
 
 def has_any(c: str, cues: list[str]) -> str:

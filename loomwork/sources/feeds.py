@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomwork.functions import text as T
 from loomwork.operators.datasets import fit_label
 
-PROFILE = "contact struct<name: string, email: string, phone: string, location: string, links: array<string>>, summary string, skills array<string>"
+PROFILE = "struct<contact: struct<name: string, email: string, phone: string, location: string, links: array<string>>, summary: string, skills: array<string>>"
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -40,8 +40,8 @@ def occupations(spark: SparkSession, path: str) -> DataFrame:
 
 def profiles(spark: SparkSession, path: str) -> DataFrame:
     """(ref, profile) of a JSON file that maps refs to profiles."""
-    raw = spark.read.option("wholetext", True).text(path)
-    table = F.from_json("value", f"map<string, struct<{PROFILE.replace('contact struct', 'contact: struct').replace(', summary string', ', summary: string').replace(', skills array', ', skills: array')}>>")
+    raw = spark.read.text(path, wholetext=True)
+    table = F.from_json("value", f"map<string, {PROFILE}>")
     return raw.select(F.explode(table).alias("ref", "profile"))
 
 
