@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +52,22 @@ def clean_split(column: str | Column) -> Column:
     return F.when(text != "", text)
 
 
+def _deal(rows_of: np.ndarray, owed: np.ndarray, rounds: int = 2000) -> np.ndarray:
+    """Which part of the small groups of each main stratum each split gets, so that the rows of every stratum come near
+    what the splits still need: least squares over parts that are not negative and add up to one."""
+    weight = 1 / np.sqrt(np.maximum(1, rows_of.sum(axis=0)))
+    a, b = (rows_of * weight).T, owed * weight[:, None]
+    part = np.full((rows_of.shape[0], owed.shape[1]), 1 / max(1, owed.shape[1]))
+    step = 1 / max(1e-9, float(np.linalg.norm(a, 2)) ** 2) if a.size else 0.0
+    for _ in range(rounds if a.size else 0):
+        part -= step * (a.T @ (a @ part - b))
+        top = -np.sort(-part, axis=1)  # onto the simplex
+        over = (np.cumsum(top, axis=1) - 1) / np.arange(1, part.shape[1] + 1)
+        k = (top > over).sum(axis=1)
+        part = np.maximum(0, part - over[np.arange(len(part)), k - 1][:, None])
+    return part
+
+
 def assign_splits(
     groups: DataFrame,
     group: str,
@@ -94,14 +111,17 @@ def assign_splits(
         placed.append((g["_g"], best))
     spark = groups.sparkSession
     fixed = spark.createDataFrame(placed, f"_g {dict(per.dtypes)['_g']}, _split string")
-    # what the small groups of each stratum still owe to each split
-    cuts = []
-    for s, n in strata.items():
-        left = [max(0.0, shares[x] * n - held[x][s]) for x in names]
-        whole, upto = sum(left) or 1.0, 0.0
-        for x, v in zip(names, left, strict=True):
-            cuts.append((s, x, upto / whole, (upto + v) / whole))
-            upto += v
+    # small groups are dealt by their main stratum but hold rows of others, too: strata times strata numbers tell how much
+    mixed = per.where(F.col("n") <= large * total).select(F.col("_s").alias("main"), F.explode("parts").alias("p"))
+    mixed = mixed.groupBy("main", F.col("p._s").alias("s")).agg(F.sum("p.n").alias("n")).collect()
+    kinds = sorted(strata)
+    rows_of = np.zeros((len(kinds), len(kinds)))
+    for r in mixed:
+        rows_of[kinds.index(r["main"]), kinds.index(r["s"])] = r["n"]
+    owed = np.array([[shares[x] * strata[k] - held[x][k] for x in names] for k in kinds]) if kinds else np.zeros((0, len(names)))
+    part = _deal(rows_of, owed)
+    upto = np.cumsum(part, axis=1)
+    cuts = [(k, x, float(upto[i, j] - part[i, j]), 2.0 if j == len(names) - 1 else float(upto[i, j])) for i, k in enumerate(kinds) for j, x in enumerate(names)]
     plan = spark.createDataFrame(cuts, "_s string, _split string, low double, high double")
     small = per.join(F.broadcast(fixed), "_g", "left_anti").withColumn("cell", F.pmod(F.xxhash64("_g"), F.lit(cells)))
     cell = small.groupBy("_s", "cell").agg(F.sum("n").alias("m"))

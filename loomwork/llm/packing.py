@@ -71,61 +71,51 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, list[int]]:
     return where, free
 
 
-def improve(sizes: np.ndarray, where: np.ndarray, capacity: int) -> np.ndarray:
-    """Local search that raises the sum of squared fills until bins become empty: the emptiest bin gives an item to a
-    bin with room, swaps one item for a smaller one of a fuller bin, or gives two for one, always the move that takes
-    most out of it; it ends when the bin is empty or nothing helps, and goes on with the next emptiest. No more bins
-    than the sum of sizes needs means done."""
+def improve(sizes: np.ndarray, where: np.ndarray, capacity: int, underfull: float = 0.95) -> np.ndarray:
+    """Local search that raises the sum of squared fills until bins become empty. A bin filled to less than `underfull`
+    gives an item to a fuller bin with room, swaps one item for a smaller one of a fuller bin, or gives two for one,
+    always the move that takes most out of it. Rounds over these bins, emptiest first, go on until none changes; no
+    more bins than the sum of sizes needs means done."""
     where = where.copy()
     fill = np.bincount(where, sizes, minlength=int(where.max()) + 1).astype(np.int64)
-    need, used = -(-int(sizes.sum()) // capacity), int((fill > 0).sum())
-    for a in np.argsort(fill, kind="stable"):
-        if used <= need:
-            break
-        while fill[a] > 0:
-            mine = np.flatnonzero(where == a)
-            free = capacity - fill
-            others = (where != a) & (fill[where] >= fill[a])
-            room = np.where((fill > 0) & (np.arange(len(fill)) != a) & (fill >= fill[a]), free, -1)
-            best: tuple[int, tuple] = (0, ())
-            for y in mine:
-                s = int(sizes[y])
-                if room.max() >= s > best[0]:
-                    fits = np.where(room >= s, room, capacity + 1)
-                    best = (s, ("move", y, int(fits.argmin())))
-                delta = s - sizes
-                ok = others & (delta > 0) & (delta <= free[where])
-                if ok.any():
-                    x = int(np.where(ok, delta, 0).argmax())
-                    if delta[x] > best[0]:
-                        best = (int(delta[x]), ("swap", [y], x))
-            if best[0] < 2 or len(mine) > 1:
-                for i, y in enumerate(mine):
-                    for z in mine[i + 1 :]:
-                        delta = int(sizes[y] + sizes[z]) - sizes
-                        ok = others & (delta > 0) & (delta <= free[where])
-                        if ok.any():
-                            x = int(np.where(ok, delta, 0).argmax())
-                            if delta[x] > best[0]:
-                                best = (int(delta[x]), ("swap", [y, z], x))
-            if not best[1]:
+    need, used, changed = -(-int(sizes.sum()) // capacity), int((fill > 0).sum()), True
+    while changed and used > need:
+        changed = False
+        for a in np.argsort(fill, kind="stable"):
+            if used <= need or fill[a] >= underfull * capacity:
                 break
-            if best[1][0] == "move":
-                _, y, b = best[1]
-                where[y] = b
-                fill[a] -= sizes[y]
-                fill[b] += sizes[y]
-            else:
-                _, given, x = best[1]
-                b = where[x]
-                gain = int(sizes[given].sum() - sizes[x])
-                where[given], where[x] = b, a
+            while fill[a] > 0 and (move := _best_move(sizes, where, fill, int(a), capacity)):
+                given, taken, b = move
+                gain = int(sizes[given].sum() - sizes[taken].sum())
+                where[given], where[taken] = b, a
                 fill[b] += gain
                 fill[a] -= gain
-        used -= int(fill[a] == 0)
+                changed = True
+                used -= int(fill[a] == 0)
     return np.unique(where, return_inverse=True)[1]
 
 
+def _best_move(sizes: np.ndarray, where: np.ndarray, fill: np.ndarray, a: int, capacity: int) -> tuple[list[int], list[int], int] | None:
+    """(items given, items taken, the other bin) of the move that takes most out of bin a; None if there is none."""
+    mine = np.flatnonzero(where == a)
+    room = np.where((fill > 0) & (fill >= fill[a]), capacity - fill, -1)
+    room[a] = -1
+    others = room[where]  # what the bin of each item can still take, -1 where it may not
+    best: tuple[int, tuple | None] = (0, None)
+    for y in mine:
+        s = int(sizes[y])
+        if room.max() >= s > best[0]:
+            best = (s, ([int(y)], [], int(np.where(room >= s, room, capacity + 1).argmin())))
+    given = [[int(y)] for y in mine] + [[int(y), int(z)] for i, y in enumerate(mine) for z in mine[i + 1 :]]
+    for g in given:
+        delta = int(sizes[g].sum()) - sizes
+        gain = np.where((others >= 0) & (delta <= others), delta, 0)
+        x = int(gain.argmax())
+        if gain[x] > best[0]:
+            best = (int(gain[x]), (g, [x], int(where[x])))
+    return best[1]
+
+
 def pack(items: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, expected: int | None = None) -> DataFrame:
     """items(item, tokens) -> (item, part, first_token, tokens, container). No container holds more than capacity; an item is
     split only if it alone exceeds the capacity: into full containers and a remainder that is packed like an item.
