@@ -44,7 +44,7 @@ def _sign(shingle: int, least_words: int):
                 if len(tokens) < max(least_words, shingle):
                     continue
                 sh = np.unique(shingle_hashes(seen.array(tokens), shingle))
-                out.append((row.kind, row.id, xxhash.xxh3_128_hexdigest(sh.tobytes()), sh.view(np.int64)))
+                out.append((row.kind, row.id, xxhash.xxh3_128_digest(row.kind.encode() + sh.tobytes()), sh.view(np.int64)))
             yield pd.DataFrame(out, columns=["kind", "id", "class", "shingles"])
 
     return run
@@ -52,15 +52,16 @@ def _sign(shingle: int, least_words: int):
 
 def _band(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        kinds, classes, keys = [], [], []
-        for row in pdf.itertuples(index=False):
-            sig = minhash(np.asarray(row.shingles, np.int64).view(np.uint64))
-            raw = sig.tobytes()
+        if not len(pdf):
+            continue
+        keys = np.empty((len(pdf), BANDS), np.int64)
+        for i, (kind, sh) in enumerate(zip(pdf["kind"], pdf["shingles"], strict=True)):
+            raw = minhash(np.asarray(sh, np.int64).view(np.uint64)).tobytes()
             for b in range(BANDS):
-                kinds.append(row.kind)
-                classes.append(row.cls)
-                keys.append(xxhash.xxh3_64_intdigest(raw[b * ROWS * 4 : (b + 1) * ROWS * 4], seed=b) - 2**63)
-        yield pd.DataFrame({"kind": kinds, "cls": classes, "bucket": pd.array(keys, "int64")})
+                part = raw[b * ROWS * 4 : (b + 1) * ROWS * 4]
+                keys[i, b] = xxhash.xxh3_64_intdigest(part + kind.encode(), seed=b) - 2**63
+        side = (pdf["in_train"].to_numpy(bool) * 1 + pdf["in_held"].to_numpy(bool) * 2).astype(np.int8)
+        yield pd.DataFrame({"bucket": keys.reshape(-1), "cls": np.repeat(pdf["cls"].to_numpy(), BANDS), "side": np.repeat(side, BANDS)})
 
 
 def _block_pairs(threshold: float):
@@ -98,20 +99,18 @@ def class_links(classes: DataFrame, threshold: float) -> DataFrame:
     a heavy one is cut into blocks of at most BLOCK x BLOCK classes by hash, and each block, a task of its own, compares
     by inverted lists and lets out confirmed pairs only, so nothing is capped and no task or join sees a hot bucket.
     """
-    bands = classes.select("kind", "cls", "shingles").repartition(F.xxhash64("cls")).mapInPandas(_band, "kind string, cls string, bucket bigint")
-    flags = classes.select("kind", "cls", "in_train", "in_held")
-    bands = materialize(bands.join(flags, ["kind", "cls"]))
-    sizes = bands.groupBy("kind", "bucket").agg(
-        F.count_if("in_train").alias("nt"), F.count_if("in_held").alias("nh"), F.count("*").alias("n")
-    )
+    signed = classes.select("kind", "cls", "shingles", "in_train", "in_held").repartition(F.xxhash64("cls"))
+    bands = materialize(signed.mapInPandas(_band, "bucket bigint, cls binary, side tinyint"))
+    train, held = F.col("side") % 2 == 1, F.col("side") >= 2
+    sizes = bands.groupBy("bucket").agg(F.count_if(train).alias("nt"), F.count_if(held).alias("nh"), F.count("*").alias("n"))
     sizes = materialize(sizes.where("nt > 0 and nh > 0 and n > 1"))
-    light = bands.join(sizes.where(F.col("nt") * F.col("nh") <= LIGHT_PAIRS).select("kind", "bucket"), ["kind", "bucket"], "left_semi")
-    a = light.where("in_train").select("kind", "bucket", F.col("cls").alias("ca"))
-    b = light.where("in_held").select("kind", "bucket", F.col("cls").alias("cb"))
-    pairs = a.join(b, ["kind", "bucket"]).where("ca <> cb").select("kind", "ca", "cb").distinct()
+    light = bands.join(sizes.where(F.col("nt") * F.col("nh") <= LIGHT_PAIRS).select("bucket"), "bucket", "left_semi")
+    a = light.where(train).select("bucket", F.col("cls").alias("ca"))
+    b = light.where(held).select("bucket", F.col("cls").alias("cb"))
+    pairs = a.join(b, "bucket").where("ca <> cb").select("ca", "cb").distinct()
     sets = classes.select("kind", "cls", "shingles")
     checked = (
-        pairs.join(sets.select("kind", F.col("cls").alias("ca"), F.col("shingles").alias("sa")), ["kind", "ca"])
+        pairs.join(sets.select(F.col("cls").alias("ca"), F.col("shingles").alias("sa"), "kind"), "ca")
         .join(sets.select("kind", F.col("cls").alias("cb"), F.col("shingles").alias("sb")), ["kind", "cb"])
         # sizes alone rule out most: the smaller set must be at least threshold times the larger
         .where(F.least(F.size("sa"), F.size("sb")) >= F.lit(threshold) * F.greatest(F.size("sa"), F.size("sb")))
@@ -120,21 +119,21 @@ def class_links(classes: DataFrame, threshold: float) -> DataFrame:
         .select("kind", "ca", "cb")
     )
     heavy = sizes.where(F.col("nt") * F.col("nh") > LIGHT_PAIRS)
-    rows = bands.join(heavy.select("kind", "bucket", "nt", "nh"), ["kind", "bucket"])
+    rows = bands.join(heavy.select("bucket", "nt", "nh"), "bucket")
     blocks_t, blocks_h = F.ceil(F.col("nt") / BLOCK).cast("int"), F.ceil(F.col("nh") / BLOCK).cast("int")
     mine = lambda n: F.pmod(F.xxhash64("cls"), n).cast("int")
     every = lambda n: F.sequence(F.lit(0), n - 1)
-    t = rows.where("in_train").select("kind", "bucket", "cls", F.lit(0).alias("side"), mine(blocks_t).alias("bt"), F.explode(every(blocks_h)).alias("bh"))
-    h = rows.where("in_held").select("kind", "bucket", "cls", F.lit(1).alias("side"), F.explode(every(blocks_t)).alias("bt"), mine(blocks_h).alias("bh"))
-    blocks = t.unionByName(h).join(sets, ["kind", "cls"])
+    t = rows.where(train).select("bucket", "cls", F.lit(0).alias("side"), mine(blocks_t).alias("bt"), F.explode(every(blocks_h)).alias("bh"))
+    h = rows.where(held).select("bucket", "cls", F.lit(1).alias("side"), F.explode(every(blocks_t)).alias("bt"), mine(blocks_h).alias("bh"))
+    blocks = t.unionByName(h).join(sets, "cls")
     compare = _block_pairs(threshold)
 
     def per_block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf["side"].nunique() < 2:
-            return pd.DataFrame(columns=["kind", "ca", "cb"])
-        return compare(pdf)[["ca", "cb"]].assign(kind=key[0])[["kind", "ca", "cb"]]
+            return pd.DataFrame({"kind": pd.Series(dtype=object), "ca": pd.Series(dtype=object), "cb": pd.Series(dtype=object)})
+        return compare(pdf)[["ca", "cb"]].assign(kind=pdf["kind"].iloc[0])[["kind", "ca", "cb"]]
 
-    dense = blocks.groupBy("kind", "bucket", "bt", "bh").applyInPandas(per_block, "kind string, ca string, cb string")
+    dense = blocks.groupBy("bucket", "bt", "bh").applyInPandas(per_block, "kind string, ca binary, cb binary")
     return checked.unionByName(dense.distinct()).distinct()
 
 
@@ -157,7 +156,7 @@ def cross_split_pairs(texts: DataFrame, splits: DataFrame, shingle: int = 3, thr
     to their members.
     """
     rows = records(texts.where(F.col("text").isNotNull()), ["kind", "id"], ["text"]).join(splits, ["kind", "id"])
-    signed = rows.select("kind", "id", "text").mapInPandas(_sign(shingle, least_words), "kind string, id string, class string, shingles array<bigint>")
+    signed = rows.select("kind", "id", "text").mapInPandas(_sign(shingle, least_words), "kind string, id string, class binary, shingles array<bigint>")
     signed = materialize(signed.withColumnRenamed("class", "cls").join(splits, ["kind", "id"]))
     classes = signed.groupBy("kind", "cls").agg(F.first("shingles").alias("shingles"), F.max("in_train").alias("in_train"), F.max("in_held").alias("in_held"))
     links = class_links(materialize(classes), threshold)
