@@ -96,9 +96,9 @@ def math_grade(spark, d):
     return labels(spark, d).where("label is not null").select("id", M.grade(F.col("label")).alias("grade"))
 
 
-@_add("agg_rollup_scores", "select coalesce(scoring_model_version, '') as version, coalesce(cast(grouping(scoring_model_version) as int), 0) as all_versions, count(*) as n, round(avg(cast(rule_based_score as double)), 6) as mean from matches group by rollup(scoring_model_version)")
+@_add("agg_rollup_scores", "select coalesce(scoring_model_version, '') as version, coalesce(cast(grouping(scoring_model_version) as int), 0) as all_versions, count(*) as n, round(avg(cast(rule_based_score as double)) + 1e-9, 6) as mean from matches group by rollup(scoring_model_version)")
 def agg_rollup_scores(spark, d):
-    m = load(spark, d, "matches").rollup("scoring_model_version").agg(F.grouping("scoring_model_version").cast("int").alias("all_versions"), F.count("*").alias("n"), F.round(F.avg(F.col("rule_based_score").cast("double")), 6).alias("mean"))
+    m = load(spark, d, "matches").rollup("scoring_model_version").agg(F.grouping("scoring_model_version").cast("int").alias("all_versions"), F.count("*").alias("n"), F.round(F.avg(F.col("rule_based_score").cast("double")) + 1e-9, 6).alias("mean"))
     return m.select(F.coalesce("scoring_model_version", F.lit("")).alias("version"), "all_versions", "n", "mean")
 
 

@@ -340,10 +340,11 @@ def prj_score_bars(spark, d):
     return rows.select("id", F.col("p.metric").alias("metric"), F.round(value, 6).alias("value"), F.least(F.greatest(F.round(percent, 6), F.lit(0.0)), F.lit(100.0)).alias("width"), F.when(percent >= 70, "green").when(percent >= 40, "amber").otherwise("red").alias("colour"))
 
 
-@_add("dash_avg_top", "select resume_id, count(*) as matches, round(avg(cast(rule_based_score as double)), 6) as average, arg_max(job_id, (rule_based_score, id)) as top_job from (select distinct id, resume_id, job_id, rule_based_score from matches where resume_id is not null and rule_based_score is not null) group by resume_id")
+@_add("dash_avg_top", "select resume_id, count(*) as matches, round(avg(cast(rule_based_score as double)) + 1e-9, 6) as average, arg_max(job_id, (rule_based_score, id)) as top_job from (select distinct id, resume_id, job_id, rule_based_score from matches where resume_id is not null and rule_based_score is not null) group by resume_id")
 def dash_avg_top(spark, d):
+    """Mean score and best job; the tiny addend keeps exact halves from rounding apart between engines."""
     m = load(spark, d, "matches").where("resume_id is not null and rule_based_score is not null").select("id", "resume_id", "job_id", "rule_based_score").distinct()
-    return m.groupBy("resume_id").agg(F.count("*").alias("matches"), F.round(F.avg(F.col("rule_based_score").cast("double")), 6).alias("average"), F.max_by("job_id", F.struct("rule_based_score", "id")).alias("top_job"))
+    return m.groupBy("resume_id").agg(F.count("*").alias("matches"), F.round(F.avg(F.col("rule_based_score").cast("double")) + 1e-9, 6).alias("average"), F.max_by("job_id", F.struct("rule_based_score", "id")).alias("top_job"))
 
 
 def _gaps(spark, d) -> DataFrame:
