@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.operators.features import FEATURES
@@ -65,3 +67,13 @@ def compare(train: DataFrame, test: DataFrame, score: str) -> DataFrame:
         rows = predict(model, test).select(F.lit(name).alias("model"), (F.col(score) >= 0.5).cast("double").alias("label"), F.col("prediction").cast("double").alias("prediction"))
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+def save_model(model: PipelineModel, path: str, about: dict) -> None:
+    """The fitted pipeline and, beside it, what is known about it."""
+    model.write().overwrite().save(f"{path}/model")
+    SparkSession.active().createDataFrame([(json.dumps(about, sort_keys=True),)], "about string").coalesce(1).write.mode("overwrite").json(f"{path}/about")
+
+
+def load_model(path: str) -> tuple[PipelineModel, dict]:
+    return PipelineModel.load(f"{path}/model"), json.loads(SparkSession.active().read.json(f"{path}/about").first()["about"])

@@ -44,3 +44,10 @@ def flatten_metrics(df: DataFrame, keys: list[str], metrics: list[str]) -> DataF
     """(keys, metric, value) in long form without nulls."""
     pairs = F.map_from_arrays(F.array(*map(F.lit, metrics)), F.array(*[F.col(m).cast("double") for m in metrics]))
     return df.select(*keys, F.explode(pairs).alias("metric", "value")).where("value is not null")
+
+
+def update_values(df: DataFrame, new: DataFrame, key: str, column: str) -> DataFrame:
+    """df with `column` replaced where new(key, column) has a row for the key, null included; new holds a key once."""
+    other = new.select(F.col(key).alias("_k"), F.col(column).alias("_v"), F.lit(True).alias("_hit"))
+    value = F.when(F.col("_hit"), F.col("_v")).otherwise(F.col(column))
+    return df.join(other, df[key] == other["_k"], "left").select(*[value.alias(c) if c == column else df[c] for c in df.columns])

@@ -303,6 +303,44 @@ def feat_seniority(spark, d):
     return rows.select("cand", "job", F.round(X.seniority_match(T.seniority("t"), T.seniority("title")), 6).alias("seniority_match"))
 
 
+#: The query of each feature and the column it gives.
+_PARTS = {
+    "required_skill_coverage": ("feat_required_coverage", "required_skill_coverage"),
+    "preferred_skill_coverage": ("feat_preferred_coverage", "preferred_skill_coverage"),
+    "semantic_experience_similarity": ("feat_semantic_experience", "similarity"),
+    "project_relevance_similarity": ("feat_project_relevance", "similarity"),
+    "education_match": ("feat_education", "education_match"),
+    "years_experience_match": ("feat_years", "years_experience_match"),
+    "domain_similarity": ("feat_domain", "similarity"),
+    "responsibility_similarity": ("feat_responsibility", "similarity"),
+    "seniority_match": ("feat_seniority", "seniority_match"),
+    "skill_importance_weighted_score": ("feat_importance", "importance"),
+}
+
+
+def feature_vectors(spark, d) -> DataFrame:
+    """All ten features of every labelled pair, from the texts. The three coverages come from one pass; the parts share
+    their key, so each further join meets a side that is partitioned by it already."""
+    covered = [f for f in X.FEATURES if "skill" in f]
+    out = X.coverage(pairs(spark, d), candidate_skills(spark, d), job_skills(spark, d))
+    out = out.select("cand", "job", *[F.round(f, 6).alias(f) for f in covered])
+    for feature, (query, column) in _PARTS.items():
+        if feature not in covered:
+            out = out.join(QUERIES[query](spark, d).select("cand", "job", F.col(column).alias(feature)), ["cand", "job"])
+    return out.select("cand", "job", *X.FEATURES)
+
+
+_ALL_SQL = " join ".join(f"(select cand, job, {c} as {f} from ({ORACLE[n]})) {f}_t" + (" using (cand, job)" if k else "") for k, (f, (n, c)) in enumerate(_PARTS.items()))
+
+
+@_add("feat_vector", f"""select cand, job, {", ".join(X.FEATURES)}, round(cast(0.35 as double) * required_skill_coverage + cast(0.2 as double) * semantic_experience_similarity + cast(0.15 as double) * project_relevance_similarity
+    + cast(0.1 as double) * preferred_skill_coverage + cast(0.1 as double) * education_match + cast(0.1 as double) * (seniority_match + years_experience_match) / 2 + 1e-9, 6) as score from {_ALL_SQL}""")
+def feat_vector(spark, d):
+    """The whole vector and its score."""
+    rows = feature_vectors(spark, d)
+    return rows.withColumn("score", F.round(X.rule_score() + 1e-9, 6))
+
+
 _V = lambda c: f"feature_vector.{c}"
 _SCORE = f"0.35 * {_V(X.FEATURES[0])} + cast(0.2 as double) * {_V(X.FEATURES[2])} + cast(0.15 as double) * {_V(X.FEATURES[3])} + cast(0.1 as double) * {_V(X.FEATURES[1])} + cast(0.1 as double) * {_V(X.FEATURES[4])} + cast(0.1 as double) * ({_V(X.FEATURES[8])} + {_V(X.FEATURES[5])}) / 2".replace("0.35 *", "cast(0.35 as double) *", 1)
 
