@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomwork.functions import text as T
 from loomwork.functions import vectors as V
 from loomwork.functions.dates import parse_resume_date, span_years
+from loomwork.session import fresh, materialize
 
 NEUTRAL = 0.7
 FEATURES = [
@@ -126,4 +127,14 @@ def rule_score(weights: dict[str, float] | None = None, prefix: str = "") -> Col
 
 
 def rank_within(df: DataFrame, group: str, score: str, tie: str) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), tie)))
+    """df with the rank of every row in its group, best score first, nulls last, ties to the smaller `tie`.
+
+    Rows are range-partitioned by group, score and tie, so a hot group spreads over many tasks; each part is numbered by
+    itself and starts where the parts before it end. Only (group, part) counts are put in order across parts.
+    """
+    part, ahead = fresh(df.columns, "_part"), fresh(df.columns, "_ahead")
+    ranged = materialize(df.repartitionByRange(F.col(group), F.desc(score), F.col(tie)).withColumn(part, F.spark_partition_id()))
+    before = Window.partitionBy(group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.where(F.col(group).isNotNull()).groupBy(group, part).agg(F.count("*").alias(ahead)).withColumn(ahead, F.coalesce(F.sum(ahead).over(before), F.lit(0)))
+    here = F.row_number().over(Window.partitionBy(group, part).orderBy(F.desc(score), tie))
+    return ranged.join(sizes, [group, part]).withColumn("rank", here + F.col(ahead)).drop(part, ahead)

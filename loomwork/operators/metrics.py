@@ -6,28 +6,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def ndcg(df: DataFrame, group: list[str], relevance: str, score: str, order: str, k: int = 5) -> DataFrame:
+def ndcg(df: DataFrame, group: list[str], relevance: str, score: str, order: str | None = None, k: int = 5) -> DataFrame:
     """(group, items, ndcg) of groups with at least two items: linear gain, discount 1/log2(rank + 1), tied scores share
-    the mean gain of their places, 0 if the ideal gain is 0."""
-    g = [F.col(c) for c in group]
-    rows = df.where(F.col(relevance).isNotNull() & F.col(score).isNotNull()).select(
-        *group,
-        F.col(relevance).cast("double").alias("_rel"),
-        F.col(score).cast("double").alias("_s"),
-        F.row_number().over(Window.partitionBy(*g).orderBy(F.desc(score), order)).alias("_rk"),
-        F.row_number().over(Window.partitionBy(*g).orderBy(F.desc(relevance), order)).alias("_ik"),
-    )
-    gain = lambda r: F.when(F.col(r) <= k, 1 / F.log2(F.col(r) + 1)).otherwise(F.lit(0.0))
-    ties = rows.groupBy(*group, "_s").agg((F.avg("_rel") * F.sum(gain("_rk"))).alias("_d"), F.sum(F.col("_rel") * gain("_ik")).alias("_i"), F.count("*").alias("_n"))
-    per = ties.groupBy(*group).agg(F.sum("_n").alias("items"), F.sum("_d").alias("_d"), F.sum("_i").alias("_i")).where("items >= 2")
-    return per.select(*group, "items", F.when(F.col("_i") > 0, F.col("_d") / F.col("_i")).otherwise(F.lit(0.0)).alias("ndcg"))
+    the mean gain of their places, 0 if the ideal gain is 0. `order` is not needed, since ties share.
+
+    Rows are first summed by distinct score, and for the ideal by distinct relevance; only those are put in order, so a
+    group with a third of all rows is no larger a window than its number of different scores.
+    """
+    rows = df.where(F.col(relevance).isNotNull() & F.col(score).isNotNull()).select(*group, F.col(relevance).cast("double").alias("_rel"), F.col(score).cast("double").alias("_s"))
+
+    def gained(value: str, gain: Column) -> DataFrame:
+        per = rows.groupBy(*group, value).agg(F.count("*").alias("_n"), F.avg("_rel").alias("_a"))
+        ahead = F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        per = per.withColumn("_b", ahead)
+        places = sum((F.when((F.col("_b") < r) & (F.col("_b") + F.col("_n") >= r), 1 / F.log2(F.lit(r + 1.0))).otherwise(0.0) for r in range(1, k + 1)), F.lit(0.0))
+        return per.groupBy(*group).agg(F.sum(gain * places).alias("_g" + value), F.sum("_n").alias("items" + value))
+
+    both = gained("_s", F.col("_a")).join(gained("_rel", F.col("_rel")), group).where("items_s >= 2")
+    return both.select(*group, F.col("items_s").alias("items"), F.when(F.col("_g_rel") > 0, F.col("_g_s") / F.col("_g_rel")).otherwise(F.lit(0.0)).alias("ndcg"))
 
 
 def mrr(df: DataFrame, group: list[str], relevance: str, score: str, order: str, relevant: float = 0.5) -> DataFrame:
-    """(group, items, rr) of groups with at least two items: reciprocal rank of the first relevant one, else 0."""
-    rows = df.where(F.col(relevance).isNotNull() & F.col(score).isNotNull()).withColumn("_k", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(score), order)))
-    per = rows.groupBy(*group).agg(F.count("*").alias("items"), F.min(F.when(F.col(relevance) >= relevant, F.col("_k"))).alias("_f")).where("items >= 2")
-    return per.select(*group, "items", F.coalesce(F.lit(1.0) / F.col("_f"), F.lit(0.0)).alias("rr"))
+    """(group, items, rr) of groups with at least two items: reciprocal rank of the first relevant one, else 0. The rank
+    is one more than the rows ahead of the best relevant row, which are counted, not sorted."""
+    rows = df.where(F.col(relevance).isNotNull() & F.col(score).isNotNull()).select(*group, F.col(relevance).alias("_rel"), F.col(score).alias("_s"), F.col(order).alias("_o"))
+    hit = F.col("_rel") >= relevant
+    top = rows.groupBy(*group).agg(F.count("*").alias("items"), F.max(F.when(hit, F.col("_s"))).alias("_m")).where("items >= 2")
+    first = rows.where(hit).join(top, group).where("_s = _m").groupBy(*group).agg(F.min("_o").alias("_f"))
+    best = top.join(first, group, "left")
+    ahead = (F.col("_s") > F.col("_m")) | ((F.col("_s") == F.col("_m")) & (F.col("_o") < F.col("_f")))
+    counted = rows.join(best, group).groupBy(*group).agg(F.first("items").alias("items"), F.first("_f").alias("_f"), F.count_if(ahead).alias("_n"))
+    return counted.select(*group, "items", F.when(F.col("_f").isNull(), F.lit(0.0)).otherwise(F.lit(1.0) / (F.col("_n") + 1)).alias("rr"))
 
 
 def confusion(df: DataFrame, group: list[str], relevance: str, score: str, threshold: float = 0.5) -> DataFrame:

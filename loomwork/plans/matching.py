@@ -363,9 +363,11 @@ def win_rank_jobs(spark, d):
 
 @_add("sort_matches", "select resume_id, id, cast(rule_based_score as double) as score from (select distinct id, resume_id, rule_based_score from matches where resume_id is not null)")
 def sort_matches(spark, d):
-    """Every candidate's matches, best first: partitioned by candidate and sorted inside, never one global sort."""
+    """Every candidate's matches, best first: ranges of candidate, score and id, sorted inside, so that a candidate with
+    very many matches spreads over several tasks and the files are in order as a whole."""
     m = load(spark, d, "matches").where("resume_id is not null").select("resume_id", "id", F.col("rule_based_score").cast("double").alias("score")).distinct()
-    return m.repartition("resume_id").sortWithinPartitions("resume_id", F.desc_nulls_last("score"), "id")
+    order = ["resume_id", F.desc_nulls_last("score"), "id"]
+    return m.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 @_add("prj_score_bars", f"""select id, metric, round(value, 6) as value, cast(least(greatest(round(value * 100, 6), 0), 100) as double) as width, case when value * 100 >= 70 then 'green' when value * 100 >= 40 then 'amber' else 'red' end as colour from

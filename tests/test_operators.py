@@ -200,3 +200,11 @@ def test_store(spark):
     assert sorted(str(r["k"]) for r in R.nullify(new, "k", old, "k").collect()) == ["None", "b", "b"]
     long = R.flatten_metrics(spark.createDataFrame([("m", 0.5, None)], "n string, a double, b double"), ["n"], ["a", "b"])
     assert [tuple(r) for r in long.collect()] == [("m", "a", 0.5)]
+
+
+def test_rank_of_a_hot_group(spark):
+    rows = [("hot", i % 7, f"t{i:05d}") for i in range(3000)] + [("g", None, "a"), ("g", 1, "b"), (None, 1, "c")]
+    df = spark.createDataFrame(rows, "g string, s int, t string")
+    got = {r["t"]: r["rank"] for r in X.rank_within(df, "g", "s", "t").collect()}
+    want = {t: k for k, (_, t) in enumerate(sorted((-s, t) for g, s, t in rows if g == "hot"), 1)}
+    assert got == want | {"b": 1, "a": 2}
