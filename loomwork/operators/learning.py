@@ -34,27 +34,36 @@ def boosted(features: list[str] | None = None, rounds: int = 10, depth: int = 5)
     return Pipeline(stages=[VectorAssembler(inputCols=features or FEATURES, outputCol="features"), GBTRegressor(maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=42, labelCol="score")])
 
 
-def pairwise_ranker(rows: DataFrame, group: str, features: list[str] | None = None, window: int = 3) -> PipelineModel:
-    """A linear ranker: logistic regression on differences of feature vectors of two items of one group. Each item meets
-    the `window` items before it in its group by relevance, so pairs grow with the rows, not with their square."""
-    from pyspark.sql import Window
-
+def score_pairs(rows: DataFrame, group: str, features: list[str]) -> DataFrame:
+    """(features, label, weight) of every two different scores of a group: the difference of the mean feature vectors of
+    the rows that have them, weighted by the pairs of rows it stands for. Every row of a group with two scores takes part,
+    and equal scores form no pair. Without an intercept a pair and its mirror image have the same loss, so each is listed
+    one way round, half of them with label 0. Pairs grow with the square of a group's different scores, not of its rows."""
+    levels = rows.groupBy(group, "score").agg(*[F.avg(f).alias(f) for f in features], F.count("*").alias("_n"))
+    # few bytes and many pairs: without a stated number the adaptive planner would give a few tasks all of them
+    levels = levels.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, group)
+    high, low = levels.alias("high"), levels.alias("low")
+    pairs = high.join(low, (F.col(f"high.{group}") == F.col(f"low.{group}")) & (F.col("high.score") > F.col("low.score")))
+    label = F.pmod(F.xxhash64(f"high.{group}", "high.score", "low.score"), F.lit(2)).cast("double")
+    weight = F.col("high._n").cast("double") * F.col("low._n")
+    pairs = pairs.select(*[(F.col(f"high.{f}") - F.col(f"low.{f}")).alias(f) for f in features], label.alias("label"), weight.alias("weight"))
+    return pairs.select(*[F.when(F.col("label") == 1, F.col(f)).otherwise(-F.col(f)).alias(f) for f in features], "label", "weight")
+
+
+def pairwise_ranker(rows: DataFrame, group: str, features: list[str] | None = None) -> PipelineModel:
+    """A linear ranker: logistic regression on differences of feature vectors of two scores of one group, see
+    score_pairs."""
     features = features or FEATURES
-    order = Window.partitionBy(group).orderBy("score", "id")
-    out = None
-    for k in range(1, window + 1):
-        near = rows.select(*[(F.col(f) - F.lag(f, k).over(order)).alias(f) for f in features], (F.col("score") - F.lag("score", k).over(order)).alias("_d"))
-        near = near.where("_d > 0")
-        both = near.withColumn("label", F.lit(1.0)).unionByName(near.select(*[(-F.col(f)).alias(f) for f in features], "_d").withColumn("label", F.lit(0.0)))
-        out = both if out is None else out.unionByName(both)
-    stages = [VectorAssembler(inputCols=features, outputCol="features"), LogisticRegression(fitIntercept=False, labelCol="label")]
-    return Pipeline(stages=stages).fit(out)
+    stages = [VectorAssembler(inputCols=features, outputCol="features"), LogisticRegression(fitIntercept=False, weightCol="weight", labelCol="label")]
+    return Pipeline(stages=stages).fit(score_pairs(rows, group, features))
 
 
 def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
     out = model.transform(rows.drop("label") if "label" in rows.columns else rows)
     if "probability" in out.columns:
-        out = out.withColumn("prediction", vector_to_array("probability")[1])
+        # a ranker has no intercept; far from 0 its probabilities round to 1 and would tie, its margins do not
+        by = "probability" if model.stages[-1].getOrDefault("fitIntercept") else "rawPrediction"
+        out = out.withColumn("prediction", vector_to_array(by)[1])
     return out
 
 

@@ -6,6 +6,7 @@ from loomwork.operators import datasets as B
 from loomwork.operators import documents as D
 from loomwork.operators import evidence as E
 from loomwork.operators import features as X
+from loomwork.operators import learning
 from loomwork.operators import metrics as M
 from loomwork.operators import skills as K
 from loomwork.operators import store as R
@@ -208,3 +209,15 @@ def test_rank_of_a_hot_group(spark):
     got = {r["t"]: r["rank"] for r in X.rank_within(df, "g", "s", "t").collect()}
     want = {t: k for k, (_, t) in enumerate(sorted((-s, t) for g, s, t in rows if g == "hot"), 1)}
     assert got == want | {"b": 1, "a": 2}
+
+
+def test_ranker_pairs_all_scores_of_a_tied_group(spark):
+    """Fifty rows a score: the neighbours of a row are nearly all tied, yet every row takes part, good against bad too."""
+    rows = [("hot", f"{s}-{i:02d}", s / 4, s / 4, float(i)) for s in range(4) for i in range(50)] + [("tied", f"t{i}", 0.5, 1.0, 1.0) for i in range(3)]
+    df = spark.createDataFrame(rows, "g string, id string, score double, x double, y double")
+    pairs = learning.score_pairs(df, "g", ["x", "y"]).collect()
+    assert len(pairs) == 6 and sum(r["weight"] for r in pairs) == 6 * 50 * 50
+    signed = sorted(round(r["x"] if r["label"] == 1 else -r["x"], 6) for r in pairs)
+    assert signed == [0.25, 0.25, 0.25, 0.5, 0.5, 0.75] and all(abs(r["y"]) < 1e-9 for r in pairs)
+    ranked = learning.predict(learning.pairwise_ranker(df, "g", ["x", "y"]), df.where("g = 'hot' and y = 0")).orderBy("score").collect()
+    assert len({r["prediction"] for r in ranked}) == 4 and [r["prediction"] for r in ranked] == sorted(r["prediction"] for r in ranked)
