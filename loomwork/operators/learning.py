@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.operators.features import FEATURES
+from loomwork.session import shared_dir
 
 
 def balanced(df: DataFrame, label: str) -> DataFrame:
@@ -22,16 +23,16 @@ def balanced(df: DataFrame, label: str) -> DataFrame:
     return df.join(F.broadcast(sizes), label).withColumn("weight", F.lit(float(total)) / (2 * F.col("_n"))).drop("_n")
 
 
-def logistic(features: list[str] | None = None, iterations: int = 100) -> Pipeline:
+def logistic(features: list[str] | None = None, iterations: int = 1000) -> Pipeline:
     return Pipeline(stages=[VectorAssembler(inputCols=features or FEATURES, outputCol="features"), LogisticRegression(maxIter=iterations, weightCol="weight", labelCol="label")])
 
 
-def forest(features: list[str] | None = None, trees: int = 30, depth: int = 8) -> Pipeline:
+def forest(features: list[str] | None = None, trees: int = 300, depth: int = 10) -> Pipeline:
     return Pipeline(stages=[VectorAssembler(inputCols=features or FEATURES, outputCol="features"), RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=42, labelCol="score")])
 
 
-def boosted(features: list[str] | None = None, rounds: int = 10, depth: int = 5) -> Pipeline:
-    return Pipeline(stages=[VectorAssembler(inputCols=features or FEATURES, outputCol="features"), GBTRegressor(maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=42, labelCol="score")])
+def boosted(features: list[str] | None = None, rounds: int = 300, depth: int = 6) -> Pipeline:
+    return Pipeline(stages=[VectorAssembler(inputCols=features or FEATURES, outputCol="features"), GBTRegressor(maxIter=rounds, maxDepth=depth, stepSize=0.05, seed=42, labelCol="score")])
 
 
 def score_pairs(rows: DataFrame, group: str, features: list[str]) -> DataFrame:
@@ -68,8 +69,12 @@ def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
 
 
 def compare(train: DataFrame, test: DataFrame, score: str) -> DataFrame:
-    """(model, label, prediction) of the three learners on test."""
-    train = train.withColumn("label", (F.col(score) >= 0.5).cast("double"))
+    """(model, label, prediction) of the four learners on test, each with the whole number of rounds, trees and iterations
+    that its function has as default."""
+    spark = train.sparkSession
+    shared_dir(spark)  # boosting checkpoints there, else its lineage grows with the rounds
+    # few bytes and many rounds over them: without a stated number the adaptive planner would give one task all rows
+    train = train.repartition(spark.sparkContext.defaultParallelism, "id").withColumn("label", (F.col(score) >= 0.5).cast("double"))
     fitted = {"logistic": logistic().fit(balanced(train, "label")), "forest": forest().fit(train), "boosted": boosted().fit(train), "ranker": pairwise_ranker(train, "resume_id")}
     out = None
     for name, model in fitted.items():

@@ -221,3 +221,10 @@ def test_ranker_pairs_all_scores_of_a_tied_group(spark):
     assert signed == [0.25, 0.25, 0.25, 0.5, 0.5, 0.75] and all(abs(r["y"]) < 1e-9 for r in pairs)
     ranked = learning.predict(learning.pairwise_ranker(df, "g", ["x", "y"]), df.where("g = 'hot' and y = 0")).orderBy("score").collect()
     assert len({r["prediction"] for r in ranked}) == 4 and [r["prediction"] for r in ranked] == sorted(r["prediction"] for r in ranked)
+
+
+def test_learners_have_their_full_size(spark):
+    logistic, forest, boosted = (f().getStages()[-1] for f in (learning.logistic, learning.forest, learning.boosted))
+    assert logistic.getMaxIter() == 1000
+    assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getSeed()) == (300, 10, 42)
+    assert (boosted.getMaxIter(), boosted.getMaxDepth(), boosted.getStepSize()) == (300, 6, 0.05)
