@@ -93,14 +93,9 @@ def cut_range(data: bytes, lead: int, own: int, last: bool, limit: int, overlap:
         end = stop
     if begin >= end:
         return n, *gaps, []
-    offset = begin - first
-    own_points = [(a - first, b - first, text[a:b]) for a, b in chain(strength, begin, end, limit, overlap)]
-    if lead and own_points and offset >= 0:  # consecutive chains overlap as consecutive pieces do
-        a, b, _ = own_points[0]
-        back = min(overlap, first + a)
-        if b - a + back <= limit:
-            own_points[0] = (a - back, b, text[first + a - back : first + b])
-    return n, *gaps, own_points
+    # consecutive chains overlap as consecutive pieces do: a later chain starts in the last piece of the one before
+    start = begin - overlap if lead else begin
+    return n, *gaps, [(a - first, b - first, text[a:b]) for a, b in chain(strength, start, end, limit, overlap)]
 
 
 def _cut_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

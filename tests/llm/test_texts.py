@@ -58,6 +58,13 @@ def test_ranges_are_stitched(spark, unit):
     assert items["big"]["longest"] == max(map(len, text.split()))
 
 
+@pytest.mark.parametrize("unit", ["wörd ", "k", "技", "a. ", "a\n\nb 😀 "])
+def test_pieces_overlap_at_seams_of_ranges(spark, unit):
+    got, _ = pieces_of(spark, [("t", "big", unit * 6000, 50, 5)], range_bytes=900)
+    check_pieces(unit * 6000, got["big"], 50, 5)
+    assert {a["stop"] - b["start"] for a, b in zip(got["big"], got["big"][1:], strict=False)} == {5}
+
+
 def test_files_are_read_by_range(spark, tmp_path):
     text = "".join(f"Zeile {i} mit ä und 漢.\n" for i in range(4000))
     p = tmp_path / "big.txt"
