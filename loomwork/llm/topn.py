@@ -15,11 +15,11 @@ def top_n_per_group(
     """Rows of the n best distinct items of every group, with their rank.
 
     order: sort columns, best first; item is appended as the last tie breaker, so equal scores always give the same
-    rows. Two stages: each group is hashed into `salts` subgroups, ranked and cut to n there (Spark also cuts every
-    input partition before the shuffle), and the at most n * salts survivors of a group are ranked again.
+    rows. Two stages: each group is hashed by item into `salts` subgroups, where every item is reduced to its best row,
+    ranked and cut to n, and the at most n * salts survivors of a group are ranked again.
 
-    Rows with a null group or item are left out. Repeated rows of an item that are equal in the order count once; the
-    best of them stays. Null scores sort where `order` puts them. An empty table gives an empty result. All columns of
+    Rows with a null group or item are left out. Repeated rows of an item count once, whatever their order; the best of
+    them stays. Null scores sort where `order` puts them. An empty table gives an empty result. All columns of
     the input stay; the rank gets a free name if `rank` is taken.
     """
     if n < 1 or salts < 1:
@@ -30,13 +30,13 @@ def top_n_per_group(
     keys = [*order, F.col(item).asc()]
     rows = df.where(F.col(group).isNotNull() & F.col(item).isNotNull())
     rows = rows.withColumn(salt, F.pmod(F.xxhash64(F.col(item)), F.lit(salts)))
+    # partitioned by group and salt alone, which serves both windows: all rows of an item have one salt
+    rows = rows.repartition(F.col(group), F.col(salt))
+    per_item = Window.partitionBy(group, salt, item).orderBy(*order)
+    once = rows.withColumn(first, F.row_number().over(per_item)).where(F.col(first) == 1)
     subgroup = Window.partitionBy(group, salt).orderBy(*keys)
-    # dense_rank: exact repeats of one item share a place and take none from the others
-    survivors = rows.withColumn(first, F.dense_rank().over(subgroup)).where(F.col(first) <= n)
-    per_item = Window.partitionBy(group, item).orderBy(*order)
-    # partitioned by group alone, which serves both windows: one shuffle of survivors instead of two
-    once = survivors.repartition(F.col(group)).withColumn(first, F.row_number().over(per_item)).where(F.col(first) == 1)
-    best = once.withColumn(rank, F.row_number().over(Window.partitionBy(group).orderBy(*keys)))
+    survivors = once.withColumn(first, F.row_number().over(subgroup)).where(F.col(first) <= n)
+    best = survivors.withColumn(rank, F.row_number().over(Window.partitionBy(group).orderBy(*keys)))
     return best.where(F.col(rank) <= n).drop(salt, first)
 
 

@@ -261,3 +261,11 @@ def test_top_n(spark):
             want.setdefault(g, []).append((-(s if s is not None else -1), i))
     assert got == {g: [i for _, i in sorted(v)[:5]] for g, v in want.items()}
     assert top_n_per_group(df.limit(0), "g", "item", [F.col("s").desc()], 5).count() == 0
+
+
+def test_versions_of_an_item_take_one_place(spark):
+    rows = [("g", "a", s) for s in range(100, 130)] + [("g", f"i{k}", k) for k in range(40)] + [("g", "i39", 1)]
+    df = spark.createDataFrame(rows, "g string, item string, s int")
+    for salts in (1, 8):
+        best = top_n_per_group(df, "g", "item", [F.col("s").desc_nulls_last()], 5, salts).orderBy("rank").collect()
+        assert [(r["item"], r["s"]) for r in best] == [("a", 129), ("i39", 39), ("i38", 38), ("i37", 37), ("i36", 36)]
