@@ -107,7 +107,7 @@ def education(segmented: DataFrame) -> DataFrame:
         "pos",
         T.first_match("_plain", T.DEGREE, 1).alias("degree"),
         F.when(n >= 2, F.try_element_at("_parts", F.lit(1))).alias("field_of_study"),
-        F.when(n >= 2, F.array_join(F.slice("_parts", 2, 100), ", ")).when(n == 1, F.try_element_at("_parts", F.lit(1))).alias("institution"),
+        F.when(n >= 2, F.array_join(F.slice("_parts", 2, n), ", ")).when(n == 1, F.try_element_at("_parts", F.lit(1))).alias("institution"),
         year.alias("graduation_year"),
     )
 

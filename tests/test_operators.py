@@ -72,6 +72,12 @@ def test_education(spark):
     assert got == [("B.S.", "Computing", "Hill College, Zarnice", "2019"), (None, None, "Course", "2010"), (None, None, "School", None)]
 
 
+def test_education_keeps_all_parts(spark):
+    places = [f"Place {i}" for i in range(150)]
+    seg = D.segments(lines(spark, "Education\nB.S. Computing, " + ", ".join(places)), T.RESUME_ALIASES)
+    assert D.education(seg).first()["institution"] == ", ".join(places)
+
+
 def test_skill_list_keeps_first_spelling(spark):
     seg = D.segments(lines(spark, "Skills\nPython, SQL | python\n- CI/CD; sql"), T.RESUME_ALIASES)
     assert {r["item"] for r in D.split_list(seg, "skills", True).collect()} == {"Python", "SQL", "CI", "CD"}
