@@ -167,9 +167,18 @@ def job_title(segmented: DataFrame) -> DataFrame:
     return first.groupBy("doc").agg(F.min_by("text", "pos").alias("title"))
 
 
-def scan_names(lines: DataFrame, names: DataFrame, key: list[str], text: str = "text", longest: int = 3) -> DataFrame:
-    """(key, name) for every listed name that occurs as whole words in a line: runs of words meet the names in an
-    equi-join, so neither the number of lines nor of names multiplies. A contained name is found too."""
-    grams = lines.select(*key, F.explode(T.term_ngrams(text, longest)).alias("_g"))
-    listed = names.select(F.lower("name").alias("_g"), "name").distinct()
-    return grams.join(listed, "_g").select(*key, "name").distinct()
+def scan_names(lines: DataFrame, names: DataFrame, key: list[str], text: str = "text") -> DataFrame:
+    """(key, name) for every listed name that occurs as whole words in a line: runs of words, as long as the longest name,
+    meet the names in an equi-join, so neither the number of lines nor of names multiplies. A contained name is found too.
+    A name with marks that terms lack (CI/CD, .NET) meets the run of its terms and must then stand in the line as it is."""
+    plain = lambda c: F.regexp_replace(F.lower(c), r"\s+", " ")
+    terms = F.regexp_extract_all(F.lower("name"), F.lit(T.TERM), 0)
+    listed = names.select(F.array_join(terms, " ").alias("_g"), "name", F.size(terms).alias("_n")).where("_n > 0").distinct()
+    marked = F.col("_g") != plain("name")
+    longest, any_marked = listed.agg(F.coalesce(F.max("_n"), F.lit(1)), F.coalesce(F.max(marked), F.lit(False))).first()
+    kept = [plain(text).alias("_line")] if any_marked else []
+    grams = lines.select(*key, *kept, F.explode(T.term_ngrams(text, longest)).alias("_g"))
+    hits = grams.join(listed, "_g")
+    if any_marked:
+        hits = hits.where(~marked | F.col("_line").contains(plain("name")))
+    return hits.select(*key, "name").distinct()

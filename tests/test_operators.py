@@ -234,3 +234,10 @@ def test_learners_have_their_full_size(spark):
     assert logistic.getMaxIter() == 1000
     assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getSeed()) == (300, 10, 42)
     assert (boosted.getMaxIter(), boosted.getMaxDepth(), boosted.getStepSize()) == (300, 6, 0.05)
+
+
+def test_names_of_any_length_and_mark_are_found(spark):
+    names = spark.createDataFrame([("CI/CD",), (".NET",), ("Amazon Elastic Container Service Anywhere",), ("Spring",), ("Spring Boot",)], "name string")
+    texts = spark.createDataFrame([(1, "CI/CD with Spring Boot"), (2, "amazon elastic container service anywhere"), (3, "net CI, CD springs"), (4, "C# and .NET"), (5, "")], "doc int, text string")
+    got = {(r["doc"], r["name"]) for r in D.scan_names(texts, names, ["doc"]).collect()}
+    assert got == {(1, "CI/CD"), (1, "Spring"), (1, "Spring Boot"), (2, "Amazon Elastic Container Service Anywhere"), (4, ".NET")}
