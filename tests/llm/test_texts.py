@@ -247,6 +247,22 @@ def test_keyword_pages(spark):
     assert stuffing.page_scores(pages(spark).limit(0)).count() == 0
 
 
+def test_keyword_page_scores_by_join_are_the_same(spark):
+    docs = pages(spark)
+    a, b = ({r["doc_id"]: r for r in stuffing.page_scores(docs, exact).collect()} for exact in (False, True))
+    assert set(a) == set(b) and all(a[k]["words"] == b[k]["words"] for k in a)
+    for k in a:
+        assert [a[k][f] for f in (*stuffing.FEATURES, "score")] == pytest.approx([b[k][f] for f in (*stuffing.FEATURES, "score")], abs=1e-4)
+
+
+def test_fit_separates():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((400, len(stuffing.FEATURES)))
+    y = (2 * x[:, 3] - x[:, 0] > 0.3).astype(float)
+    w, b = stuffing.fit(x, y)
+    assert np.mean(((x @ w + b) > 0) == y) > 0.97
+
+
 def test_top_n(spark):
     rng = random.Random(1)
     rows = [("hot", f"i{i:05d}", rng.randint(0, 5), "r") for i in range(3000)] + [(f"g{i % 50}", f"j{i}", rng.choice([None, 1, 2]), "r") for i in range(400)]
