@@ -7,30 +7,35 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import WORD, records
+from loomwork.llm.common import records
 from loomwork.session import materialize
 from loomwork.tables import load
 
-#: Weighted cosine from which an entry is a candidate; edits that a name of a length may have.
-LEAST_COSINE = 0.10
+#: A span means the skill of its nearest entry if their cosine reaches LEAST_COSINE and what it lacks to 1 is at most MARGIN
+#: times what every other skill lacks.
+LEAST_COSINE, MARGIN = 0.61, 0.74
+#: Below this cosine an entry decides nothing: it neither wins nor comes within the margin of a winner.
+FLOOR = 1 - (1 - LEAST_COSINE) / MARGIN
+#: Weight of an n-gram: its inverse document frequency to this power. Weights of overlapping spans: cosine times a power of
+#: their length, so of equally sure spans the longer one counts.
+IDF_POWER, LENGTH_POWER = 0.25, 0.10
 #: Reference entries up to which the index is broadcast; beyond, n-grams meet in a join.
 MAX_BROADCAST_ENTRIES = 50_000
-#: Words of the longest span that is looked up.
-MAX_SPAN = 5
+#: A span has up to this many words more than the longest name, for blanks typed inside names.
+EXTRA_WORDS = 3
 #: Cyrillic and Greek letters that look like Latin ones. Fixed values.
 _LOOKALIKES = str.maketrans("асеорхуіјѕԁһкмтвнАСЕОРХУІЈЅКМТВНоαβεικνορτυχ", "aceopxyijsdhkmtbhACEOPXYIJSKMTBHoabeiknoptux")
 _LEET = str.maketrans("0134578", "oieastb")
 _MIXED = re.compile(r"(?=[a-z0-9]*[a-z])(?=[a-z0-9]*[0-9])[a-z0-9]+")
-
-
-def allowed_edits(length: int) -> int:
-    return 0 if length <= 4 else 1 if length <= 6 else 2 if length <= 18 else 3
+#: A word with the marks that tell names such as C, C++ and C# apart.
+_WORD = re.compile(r"[^\W_]+(?:\+\+|#)?")
 
 
 def tokens(text: str) -> list[str]:
@@ -38,7 +43,7 @@ def tokens(text: str) -> list[str]:
     with a blank between each are joined."""
     plain = unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", text).translate(_LOOKALIKES))
     plain = "".join(c for c in plain if unicodedata.category(c) not in ("Mn", "Cf")).lower()
-    found = WORD.findall(plain)
+    found = _WORD.findall(plain)
     if len(found) >= 4 and all(len(t) == 1 for t in found):
         return ["".join(found)]
     out = []
@@ -52,105 +57,96 @@ def tokens(text: str) -> list[str]:
 
 
 def grams(key: str) -> Counter:
-    """2-grams and 3-grams of a name with its ends marked."""
+    """Letters, 2-grams and 2-grams with a letter left out, of a name with its ends marked. A swap of two letters keeps
+    the letters and most gapped pairs, so it costs less than an exchange for others."""
     padded = f"^{key}$"
-    return Counter([padded[i : i + 2] for i in range(len(padded) - 1)] + [padded[i : i + 3] for i in range(len(padded) - 2)])
-
-
-def edits(a: str, b: str, most: int) -> int:
-    """Insertions, deletions, substitutions and swaps of neighbours between a and b; most + 1 if there are more."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    before, last = [], list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        now = [i]
-        for j, y in enumerate(b, 1):
-            d = min(last[j] + 1, now[j - 1] + 1, last[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, before[j - 2] + 1)
-            now.append(d)
-        if min(now) > most and (not last or min(last) > most):
-            return most + 1
-        before, last = last, now
-    return min(last[-1], most + 1)
-
-
-def spans(found: list[str]) -> Iterator[tuple[int, int, str]]:
-    """(start, stop, key) of the runs of up to MAX_SPAN words; two words count in either order (Cloud, Name)."""
+    out = list(key)
+    out += [padded[i : i + 2] for i in range(len(padded) - 1)]
+    out += [f"{padded[i]}_{padded[i + 2]}" for i in range(len(padded) - 2)]
+    return Counter(out)
+
+
+def spans(found: list[str], most_words: int) -> Iterator[tuple[int, int, str]]:
+    """(start, stop, key) of the runs of up to most_words words; two words count in either order (Cloud, Name)."""
     n = len(found)
     for i in range(n):
-        for j in range(i + 1, min(n, i + MAX_SPAN) + 1):
-            key = "".join(found[i:j])
-            if len(key) < 2 or key.isdigit() or len(key) > 64:
-                continue
-            yield i, j, key
+        for j in range(i + 1, min(n, i + most_words) + 1):
+            yield i, j, "".join(found[i:j])
             if j - i == 2:
                 yield i, j, found[i + 1] + found[i]
 
 
+def weight(count: int | float, of: int) -> float:
+    """Weight of an n-gram that `count` of `of` entries have."""
+    return math.log(1 + of / max(1, count)) ** IDF_POWER
+
+
 class Index:
-    """Inverted lists of n-grams over (skill, key) entries with inverse document frequencies."""
+    """Inverted lists of n-grams over (skill, key) entries."""
 
-    def __init__(self, entries: list[tuple[str, str]]):
-        self.entries = sorted(set(entries))
+    def __init__(self, entries: list[tuple[str, str]], most_words: int):
+        self.entries, self.most_words = sorted(set(entries)), most_words
         self.exact: dict[str, set[str]] = {}
         for skill, key in self.entries:
             self.exact.setdefault(key, set()).add(skill)
+        owner = [skill for skill, _ in self.entries]
+        self.skills = sorted(set(owner))
+        self.starts = np.searchsorted(np.array(owner, object), np.array(self.skills, object)) if owner else np.empty(0, int)
         counts = [grams(key) for _, key in self.entries]
         seen = Counter(g for c in counts for g in c)
         n = max(1, len(self.entries))
-        self.idf = {g: math.log(1 + n / v) for g, v in seen.items()}
-        self.rare = math.log(1 + n)
+        self.weights, self.rare = {g: weight(v, n) for g, v in seen.items()}, weight(1, n)
         lists: dict[str, list[tuple[int, float]]] = {}
         for at, c in enumerate(counts):
-            size = math.sqrt(sum((v * self.idf[g]) ** 2 for g, v in c.items()))
+            size = math.sqrt(sum((v * self.weights[g]) ** 2 for g, v in c.items()))
             for g, v in c.items():
-                lists.setdefault(g, []).append((at, v * self.idf[g] / size))
+                lists.setdefault(g, []).append((at, v * self.weights[g] / size))
         self.lists = {g: (np.array([a for a, _ in v]), np.array([w for _, w in v])) for g, v in lists.items()}
 
-    def candidates(self, key: str) -> list[tuple[float, int]]:
-        """(cosine, entry) of the entries at LEAST_COSINE or more."""
+    def nearest(self, key: str) -> tuple[str, float, float] | None:
+        """(skill, cosine, cosine of the next skill) of the nearest skill at FLOOR or more."""
         ids, weights, size = [], [], 0.0
         for g, v in grams(key).items():
-            w = v * self.idf.get(g, self.rare)
+            w = v * self.weights.get(g, self.rare)
             size += w * w
             if g in self.lists:
                 ids.append(self.lists[g][0])
                 weights.append(self.lists[g][1] * w)
         if not ids:
-            return []
+            return None
         score = np.bincount(np.concatenate(ids), np.concatenate(weights), len(self.entries)) / math.sqrt(size)
-        return [(float(score[k]), int(k)) for k in np.flatnonzero(score >= LEAST_COSINE)]
-
-
-def judge(key: str, candidates: list[tuple[float, str, str]]) -> tuple[str | None, int, float]:
-    """(skill, edits, cosine) that a key means. candidates: (cosine, skill, entry key). The entry must lie within the
-    edits its length allows, and ahead of every other skill by an edit or, at equal edits, not at all: a tie between
-    two skills means none (skill None, edits as found)."""
-    best: dict[str, tuple[int, float]] = {}
-    for cosine, skill, name in candidates:
-        most = allowed_edits(min(len(name), len(key)))
-        d = edits(key, name, most)
-        if d <= most:
-            best[skill] = min(best.get(skill, (99, 0.0)), (d, -cosine))
-    if not best:
-        return None, 99, 0.0
-    order = sorted((d, c, s) for s, (d, c) in best.items())
-    if len(order) > 1 and order[1][0] == order[0][0]:
-        return None, order[0][0], -order[0][1]
-    return order[0][2], order[0][0], -order[0][1]
-
-
-def decide(judged: list[tuple[int, int, str, str | None, int, float]]) -> tuple[str | None, str, float]:
-    """(skill, stage, confidence) of a value from its spans (start, stop, key, skill, edits, cosine): longer spans win
-    over those they overlap, then fewer edits; what is left must name exactly one skill."""
+        score = np.maximum.reduceat(score, self.starts)
+        best = int(score.argmax())
+        cosine = float(score[best])
+        if cosine < FLOOR:
+            return None
+        score[best] = 0
+        return self.skills[best], cosine, float(score.max())
+
+    def judge(self, key: str) -> tuple[str | None, float] | None:
+        if key in self.exact:
+            return (next(iter(self.exact[key])) if len(self.exact[key]) == 1 else None), 2.0
+        near = self.nearest(key)
+        return accept(*near) if near else None
+
+
+def accept(skill: str, cosine: float, second: float) -> tuple[str | None, float] | None:
+    """(skill, cosine) if the cosine is high enough, skill None if another comes within the margin; None for no match."""
+    if cosine < LEAST_COSINE:
+        return None
+    return (skill if 1 - cosine <= MARGIN * (1 - second) else None), cosine
+
+
+def decide(judged: list[tuple[int, int, str, str | None, float]]) -> tuple[str | None, str, float]:
+    """(skill, stage, confidence) of a value from its spans (start, stop, key, skill, cosine; 2 for an exact name): of
+    spans that overlap exact names and then the surer ones win; what is left must name exactly one skill."""
     skills, taken, stage, confidence = set(), [], "exact", 1.0
-    for i, j, key, skill, d, cosine in sorted(judged, key=lambda s: (-len(s[2]) + 3 * s[4], s[4], s[0])):
+    for i, j, _, skill, cosine in sorted(judged, key=lambda s: (-s[4] * len(s[2]) ** LENGTH_POWER, s[0], s[2])):
         if any(i < b and a < j for a, b in taken):
             continue
         taken.append((i, j))
         skills.add(skill)
-        stage, confidence = ("fuzzy", cosine) if d else ("exact", 1.0)
+        stage, confidence = ("exact", 1.0) if cosine > 1.5 else ("fuzzy", cosine)
     if len(skills) != 1 or None in skills:
         return None, "unmatched", 0.0
     return skills.pop(), stage, confidence
@@ -162,7 +158,8 @@ _MATCH_SCHEMA = "value string, skill_id string, stage string, confidence double"
 def match_values(values: DataFrame, entries: DataFrame, max_broadcast: int = MAX_BROADCAST_ENTRIES) -> DataFrame:
     """values(value), entries(skill_id, name) -> (value, skill_id, stage, confidence) for each distinct value; skill_id
     is null and stage unmatched where it means no skill, several, or is as close to one as to another. Null values give
-    no row, blank ones are unmatched; null names are ignored, a name listed for two skills means neither.
+    no row, blank ones are unmatched; null names are ignored, a name listed for two skills means neither. Names and values
+    may have any length: spans grow with the longest name.
 
     Each distinct value is judged once. While the reference list has at most max_broadcast entries (checked), its index
     is broadcast; a longer list is joined by n-gram, with the same scores.
@@ -171,26 +168,18 @@ def match_values(values: DataFrame, entries: DataFrame, max_broadcast: int = MAX
     rows = entries.select("skill_id", "name").dropna().distinct()
     spark = values.sparkSession
     if rows.limit(max_broadcast + 1).count() <= max_broadcast:
-        listed = [(r[0], "".join(tokens(r[1]))) for r in rows.collect()]
-        shared = spark.sparkContext.broadcast(Index([e for e in listed if e[1]]))
+        listed = [(r[0], tokens(r[1])) for r in rows.collect()]
+        longest = max((len(t) for _, t in listed), default=0)
+        shared = spark.sparkContext.broadcast(Index([(skill, "".join(t)) for skill, t in listed if t], longest + EXTRA_WORDS))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             index = shared.value
+            judge = lru_cache(1 << 16)(index.judge)  # words around names come again and again
             for pdf in batches:
                 out = []
                 for value in pdf["value"]:
-                    judged = []
-                    for i, j, key in spans(tokens(value)):
-                        if key in index.exact:
-                            got = (next(iter(index.exact[key])), 0, 1.0) if len(index.exact[key]) == 1 else (None, 0, 1.0)
-                        elif len(key) <= 4:
-                            continue
-                        else:
-                            near = [(c, *index.entries[k]) for c, k in index.candidates(key)]
-                            got = judge(key, near)
-                        if got[1] < 99:
-                            judged.append((i, j, key, *got))
-                    out.append((value, *decide(judged)))
+                    got = [(i, j, key, judge(key)) for i, j, key in spans(tokens(value), index.most_words)]
+                    out.append((value, *decide([(i, j, key, *g) for i, j, key, g in got if g])))
                 yield pd.DataFrame(out, columns=["value", "skill_id", "stage", "confidence"])
 
         # values are few bytes and much work: without a stated number the adaptive planner would give one task all of them
@@ -199,54 +188,79 @@ def match_values(values: DataFrame, entries: DataFrame, max_broadcast: int = MAX
     return _match_by_join(distinct, rows)
 
 
+def _prefix(rows: DataFrame, owner: list[str]) -> DataFrame:
+    """rows(owner, gram, df, w), w adding up to length 1 an owner, without the most frequent grams whose weights have a
+    length below FLOOR together. Two owners that share none of the grams left have a cosine below FLOOR: all they share
+    lies in what one of them left out. So only rarer grams are joined, and no pair is lost."""
+    tail = Window.partitionBy(*owner).orderBy(F.desc("df"), F.desc("gram")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("_t", F.sum(F.col("w") * F.col("w")).over(tail)).where(F.col("_t") >= (FLOOR - 1e-9) ** 2).drop("_t")
+
+
 def _match_by_join(distinct: DataFrame, rows: DataFrame) -> DataFrame:
-    """The same over an index that is a table: entry grams join span grams, cosines are sums of products."""
+    """The same over an index that is a table: rare n-grams of both sides meet, cosines are sums of products."""
 
     def entry_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for skill, name in zip(pdf["skill_id"], pdf["name"], strict=True):
-                key = "".join(tokens(name))
-                out += [(skill, key, g, float(v)) for g, v in grams(key).items()] if key else []
-            yield pd.DataFrame(out, columns=["skill_id", "name", "gram", "n"])
+                found = tokens(name)
+                key = "".join(found)
+                out += [(skill, key, len(found), g, float(v)) for g, v in grams(key).items()] if key else []
+            yield pd.DataFrame(out, columns=["skill_id", "name", "words", "gram", "n"])
+
+    listed = materialize(rows.mapInPandas(entry_grams, "skill_id string, name string, words int, gram string, n double"))
+    names = listed.select("name", "gram", "n").distinct()
+    owners = listed.select("skill_id", "name").distinct()
+    total, longest = owners.count(), listed.agg(F.max("words")).first()[0] or 0
+    most_words = longest + EXTRA_WORDS
+
+    def span_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [(value, i, j, key) for value in pdf["value"] for i, j, key in spans(tokens(value), most_words)]
+            yield pd.DataFrame(out, columns=["value", "i", "j", "key"])
 
-    def span_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def key_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for value in pdf["value"]:
-                for i, j, key in spans(tokens(value)):
-                    out += [(value, i, j, key, g, float(v)) for g, v in grams(key).items()]
-            yield pd.DataFrame(out, columns=["value", "i", "j", "key", "gram", "n"])
-
-    listed = materialize(rows.mapInPandas(entry_grams, "skill_id string, name string, gram string, n double").distinct())
-    total = listed.select("skill_id", "name").distinct().count()
-    idf = listed.groupBy("gram").agg(F.log1p(F.lit(total) / F.count("*")).alias("idf"))
-    weighted = listed.join(idf, "gram").withColumn("w", F.col("n") * F.col("idf"))
-    size = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("skill_id", "name")))
-    index = weighted.withColumn("w", F.col("w") / size).select("gram", "skill_id", "name", "idf", F.col("w").alias("we"))
-    asked = distinct.mapInPandas(span_grams, "value string, i int, j int, key string, gram string, n double")
-    asked = materialize(asked)
-    keys = asked.select("key", "gram", "n").distinct()
-    weights = keys.join(idf, "gram", "left").withColumn("wq", F.col("n") * F.coalesce("idf", F.log1p(F.lit(float(total))))).drop("idf")
-    norms = weights.groupBy("key").agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("size"))
-    near = weights.join(index, "gram").groupBy("key", "skill_id", "name").agg(F.sum(F.col("wq") * F.col("we")).alias("dot"))
-    near = near.join(norms, "key").withColumn("cosine", F.col("dot") / F.col("size")).where((F.col("cosine") >= LEAST_COSINE) | (F.col("key") == F.col("name")))
-    lists = near.groupBy("key").agg(F.collect_list(F.struct("cosine", "skill_id", "name")).alias("near"))
-    found = asked.select("value", "i", "j", "key").distinct().join(lists, "key")
-    per = found.groupBy("value").agg(F.collect_list(F.struct("i", "j", "key", "near")).alias("spans"))
+            out = [(key, g, float(v)) for key in pdf["key"] for g, v in grams(key).items()]
+            yield pd.DataFrame(out, columns=["key", "gram", "n"])
+
+    asked = materialize(distinct.mapInPandas(span_rows, "value string, i int, j int, key string"))
+    df = materialize(owners.join(names, "name").groupBy("gram").agg(F.count("*").cast("double").alias("df")))
+    scaled = lambda count: F.pow(F.log1p(F.lit(float(total)) / F.greatest(count, F.lit(1.0))), F.lit(IDF_POWER))
+
+    def unit(table: DataFrame, owner: str) -> DataFrame:
+        got = table.join(df, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0.0)))
+        got = got.withColumn("w", F.col("n") * scaled(F.col("df")))
+        return got.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(owner)))).drop("n")
+
+    keys = asked.select("key").distinct().mapInPandas(key_grams, "key string, gram string, n double")
+    left, right = materialize(unit(keys, "key")), materialize(unit(names, "name"))
+    pairs = _prefix(left, ["key"]).select("key", "gram").join(_prefix(right, ["name"]).select("name", "gram"), "gram").select("key", "name").distinct()
+    near = pairs.join(left.select("key", "gram", F.col("w").alias("wq")), "key").join(right.select("name", "gram", "w"), ["name", "gram"])
+    near = near.groupBy("key", "name").agg(F.sum(F.col("wq") * F.col("w")).alias("cosine")).where((F.col("cosine") >= FLOOR) | (F.col("key") == F.col("name")))
+    best = near.join(owners, "name").groupBy("key", "skill_id").agg(F.max("cosine").alias("cosine"), F.max(F.col("key") == F.col("name")).alias("same"))
+    order = Window.partitionBy("key").orderBy(F.desc("cosine"), "skill_id")
+    ranked = best.withColumn("k", F.row_number().over(order)).where("k <= 2 or same")
+    judged = ranked.groupBy("key").agg(
+        F.count_if("same").alias("same"),
+        F.min(F.when(F.col("same"), F.col("skill_id"))).alias("exact"),
+        F.max_by("skill_id", F.when(F.col("k") == 1, F.lit(1))).alias("skill"),
+        F.max(F.when(F.col("k") == 1, F.col("cosine"))).alias("cosine"),
+        F.coalesce(F.max(F.when(F.col("k") == 2, F.col("cosine"))), F.lit(0.0)).alias("second"),
+    )
+    per = asked.join(judged, "key").groupBy("value").agg(F.collect_list(F.struct("i", "j", "key", "same", "exact", "skill", "cosine", "second")).alias("spans"))
     every = distinct.join(per, "value", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for value, each in zip(pdf["value"], pdf["spans"], strict=True):
-                judged = []
+                kept = []
                 for s in each if each is not None else ():
-                    near = [(c["cosine"], c["skill_id"], c["name"]) for c in s["near"]]
-                    got = judge(s["key"], near)
-                    if got[1] < 99:
-                        judged.append((s["i"], s["j"], s["key"], *got))
-                out.append((value, *decide(judged)))
+                    got = ((s["exact"] if s["same"] == 1 else None), 2.0) if s["same"] else accept(s["skill"], s["cosine"], s["second"])
+                    if got:
+                        kept.append((s["i"], s["j"], s["key"], *got))
+                out.append((value, *decide(kept)))
             yield pd.DataFrame(out, columns=["value", "skill_id", "stage", "confidence"])
 
     return every.mapInPandas(run, _MATCH_SCHEMA)

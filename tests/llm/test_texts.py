@@ -179,8 +179,29 @@ def test_values_both_ways(spark, most):
     assert {r["skill_id"] for r in C.match_values(values, entries.limit(0), most).collect()} == {None}
 
 
-def test_edits():
-    assert C.edits("abcd", "acbd", 2) == 1 and C.edits("abc", "xyz", 2) == 3 and C.edits("", "ab", 2) == 2
+@pytest.mark.parametrize("most", [1000, 1])
+def test_short_and_long_names(spark, most):
+    long = " ".join(f"part{i}" for i in range(9))
+    names = [("c", "C"), ("cpp", "C++"), ("cs", "C#"), ("r", "R"), ("long", long), ("wide", "abcdefghij" * 9), ("year", "2020")]
+    want = {"experience with C": "c", "c++": "cpp", "C# (advanced)": "cs", "R": "r", f"some {long.upper()} daily": "long", "ABCDEFGHIJ" * 9: "wide", "2020": "year", "S": None, "1999": None}
+    got = C.match_values(spark.createDataFrame([(v,) for v in want], "value string"), spark.createDataFrame(names, "skill_id string, name string"), most)
+    assert {r["value"]: r["skill_id"] for r in got.collect()} == want
+
+
+def test_both_ways_score_alike(spark):
+    rng = random.Random(8)
+    syllables = ["gno", "ver", "ska", "lum", "pix", "tor", "bae", "quo", "rin", "del"]
+    names = sorted({"".join(rng.choice(syllables) for _ in range(rng.choice([2, 3, 4]))) for _ in range(120)})
+    values = []
+    for _ in range(300):
+        w = list(rng.choice(names))
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            k = rng.randrange(len(w))
+            w[k] = rng.choice(["", "x", w[k] * 2])
+        values.append(("".join(w) + rng.choice(["", " js", " v2"]),))
+    v, e = spark.createDataFrame(values, "value string"), spark.createDataFrame([(f"s{i % 90}", n) for i, n in enumerate(names)], "skill_id string, name string")
+    a, b = ({r["value"]: (r["skill_id"], r["stage"], round(r["confidence"], 9)) for r in C.match_values(v, e, most).collect()} for most in (1000, 1))
+    assert a == b and sum(x[0] is not None for x in a.values()) > 100
 
 
 CV = "Dr. Rosa Varholt\nrosa_varholt@mailhaven.example | +44 7700 900281 | Zarnice\nHome: 44 Foundry Lane, Lumegrove 65966\nPassport no. E80364092\nSkills\nSQL\n- Closed ticket 4586-94-702 within the agreed time, mentored by Talvi Márberry"
