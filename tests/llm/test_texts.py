@@ -162,6 +162,21 @@ def test_leaks_both_ways(spark, most, monkeypatch):
     assert L.leaked_pairs(docs.limit(0), items).count() == 0 and L.leaked_pairs(docs, items.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_reordered_passages_leak_by_coverage(spark, most, monkeypatch):
+    monkeypatch.setattr(L, "MAX_BROADCAST_SEEDS", most)
+    w = [f"wort{i}" for i in range(60)]
+    runs = [w[k : k + 12] for k in range(0, 60, 12)]
+    docs = [(1, [runs[3], runs[0], runs[4], runs[2]]), (2, [runs[1], runs[0]]), (3, [runs[2], runs[1], runs[0]])]
+    rows = [(k, " x ".join(" ".join(r) for r in parts)) for k, parts in docs] + [(1, None)]
+    # edited: every tenth word is another
+    rows.append((4, " ".join("other" if k % 10 == 9 else x for k, x in enumerate(w))))
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(w))], "item_id long, text string")
+    got = {r["doc_id"]: (r["longest"], r["covered"]) for r in L.leaked_pairs(docs, items).collect()}
+    assert got == {1: (12, 48), 3: (12, 36), 4: (9, 54)}
+    assert not [r for r in L.leaked_pairs(docs, items, coverage=1.1).collect()]
+
+
 NAMES = [("s1", "Handomrne"), ("s2", "Handomrne Native"), ("s3", "Momixmua"), ("s4", "MomixmuaJS"), ("s5", "Gnokathpeo Cloud"), ("s6", "Kimiquemin"), ("s6", "KQM "), ("s7", "Zerritathoo.js"), ("s8", "Twice"), ("s9", "twice"), ("s0", None)]
 VALUES = {
     "handomrne": "s1", "working with HANDOMRNE NATIVE daily": "s2", "Hanodmrne v3.1": "s1", "momixmuaj": None, "Cloud, Gnokathpeo": "s5", "K I M I Q U E M I N": "s6", "some kqm": "s6", "kqn": None,
