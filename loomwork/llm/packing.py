@@ -11,12 +11,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwork.session import materialize
 from loomwork.tables import load
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 CAPACITY = 2048
 #: Items that are packed together by one task.
 BLOCK = 8192
+#: The search works on containers filled to less than this; what it leaves filled to less than REPACK is packed again,
+#: together with what MERGE - 1 other blocks left.
+UNDERFULL, REPACK, MERGE = 0.995, 0.95, 256
 #: The published splitting pattern of the byte-level vocabulary. Fixed value.
 _PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
@@ -45,33 +49,19 @@ def token_counts(docs: DataFrame, item: str, text: str, vocabulary: str = VOCABU
     return rows.mapInPandas(run, f"item {kind}, tokens long")
 
 
-def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, list[int]]:
-    """Best-fit decreasing: (bin of every size, free space of every bin). Bins are kept by free space, so that one item
-    costs a look at the spaces from its size up."""
-    where = np.empty(len(sizes), np.int64)
-    by_free: dict[int, list[int]] = {}
-    present = np.zeros(capacity + 1, bool)
-    free: list[int] = []
-    for i in np.argsort(-sizes, kind="stable"):
-        s = int(sizes[i])
-        fits = present[s:].argmax() if s <= capacity else 0
-        if present[s + fits]:
-            room = s + int(fits)
-            b = by_free[room].pop()
-            if not by_free[room]:
-                present[room] = False
-        else:
-            b, room = len(free), capacity
-            free.append(capacity)
-        left = room - s
-        free[b] = left
-        by_free.setdefault(left, []).append(b)
-        present[left] = True
+def next_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """Bin of every size, in the order they come: a bin is closed by the first item that doesn't fit. A cheap start that
+    leaves much space; the local search does the packing."""
+    where, b, used = np.empty(len(sizes), np.int64), 0, 0
+    for i, s in enumerate(sizes.tolist()):
+        used += s
+        if used > capacity:
+            b, used = b + 1, s
         where[i] = b
-    return where, free
+    return where
 
 
-def improve(sizes: np.ndarray, where: np.ndarray, capacity: int, underfull: float = 0.95) -> np.ndarray:
+def improve(sizes: np.ndarray, where: np.ndarray, capacity: int, underfull: float = UNDERFULL) -> np.ndarray:
     """Local search that raises the sum of squared fills until bins become empty. A bin filled to less than `underfull`
     gives an item to a fuller bin with room, swaps one item for a smaller one of a fuller bin, or gives two for one,
     always the move that takes most out of it. Rounds over these bins, emptiest first, go on until none changes; no
@@ -119,40 +109,58 @@ def _best_move(sizes: np.ndarray, where: np.ndarray, fill: np.ndarray, a: int, c
 def pack(items: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, expected: int | None = None) -> DataFrame:
     """items(item, tokens) -> (item, part, first_token, tokens, container). No container holds more than capacity; an item is
     split only if it alone exceeds the capacity: into full containers and a remainder that is packed like an item.
-    Items without tokens or id are left out, repeated items count once (the longest). Items are dealt to blocks of about
-    `block` by hash and each block is packed by one task; a block leaves at most its last containers short.
+    Items without tokens or id are left out, repeated items count once (the longest).
+
+    Items are dealt to blocks of about `block` by hash. A block starts from next fit and is packed by local search, one task
+    for one or more blocks; the number of tasks follows the cores, not the items. The few containers that a block leaves
+    underfull are opened again and packed together with those of other blocks, until one block is left over.
     """
     kind = dict(items.dtypes)["item"]
     rows = items.where("item is not null and tokens > 0").groupBy("item").agg(F.max("tokens").alias("tokens"))
     blocks = max(1, -(-(expected if expected is not None else items.count()) // block))
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["tokens", "item"], ascending=[False, True], kind="stable")
-        size, ids = pdf["tokens"].to_numpy(np.int64), pdf["item"].to_numpy()
-        whole, rest = size // capacity, size % capacity
-        owner = np.repeat(np.arange(len(size)), whole)
-        part = np.arange(len(owner)) - np.repeat(np.cumsum(whole) - whole, whole)
-        small = np.flatnonzero(rest)
-        n = len(owner)
-        if len(small):
-            where, _ = best_fit(rest[small], capacity)
-            where = improve(rest[small], where, capacity)
-        else:
-            where = np.empty(0, np.int64)
-        return pd.DataFrame(
-            {
-                "item": np.concatenate((ids[owner], ids[small])),
-                "part": np.concatenate((part, whole[small])),
-                "first_token": np.concatenate((part * capacity, whole[small] * capacity)),
-                "tokens": np.concatenate((np.full(n, capacity), rest[small])),
-                "container": [f"{key[0]}-{c}" for c in np.concatenate((np.arange(n), n + where))],
-            }
-        )
-
-    keyed = rows.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)))
-    # a stated number of partitions, or the adaptive planner would give the few bytes of all blocks to one task
-    keyed = keyed.repartition(blocks, "block")
-    return keyed.groupBy("block").applyInPandas(run, f"item {kind}, part long, first_token long, tokens long, container string")
+    tasks = 8 * items.sparkSession.sparkContext.defaultParallelism
+
+    def run_level(level: int, final: bool):
+        def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(["item", "part"], kind="stable")
+            size, ids, begin, first = (pdf[c].to_numpy() for c in ("tokens", "item", "part", "first_token"))
+            whole, rest = size // capacity, size % capacity
+            owner = np.repeat(np.arange(len(size)), whole)
+            part = np.arange(len(owner)) - np.repeat(np.cumsum(whole) - whole, whole)
+            small = np.flatnonzero(rest)
+            n, where = len(owner), np.empty(0, np.int64)
+            again = np.empty(0, bool)
+            if len(small):
+                where = improve(rest[small], next_fit(rest[small], capacity), capacity)
+                again = (np.bincount(where, rest[small]) < REPACK * capacity)[where] & (not final)
+            return pd.DataFrame(
+                {
+                    "item": np.concatenate((ids[owner], ids[small])),
+                    "part": np.concatenate((begin[owner] + part, begin[small] + whole[small])),
+                    "first_token": np.concatenate((first[owner] + part * capacity, first[small] + whole[small] * capacity)),
+                    "tokens": np.concatenate((np.full(n, capacity), rest[small])),
+                    "container": [f"{level}-{key[0]}-{c}" for c in np.concatenate((np.arange(n), n + where))],
+                    "again": np.concatenate((np.zeros(n, bool), again)),
+                }
+            )
+
+        return run
+
+    out, level = None, 0
+    rows = rows.withColumn("part", F.lit(0).cast("bigint")).withColumn("first_token", F.lit(0).cast("bigint"))
+    while True:
+        keyed = rows.withColumn("block", F.pmod(F.xxhash64("item", F.lit(level)), F.lit(blocks)))
+        # a stated number of partitions, or the adaptive planner would give the few bytes of all blocks to one task
+        keyed = keyed.repartition(min(blocks, tasks), "block")
+        schema = f"item {kind}, part long, first_token long, tokens long, container string, again boolean"
+        packed = keyed.groupBy("block").applyInPandas(run_level(level, blocks == 1), schema)
+        if blocks > 1:
+            packed = materialize(packed)
+        done = packed.where("not again").drop("again")
+        out = done if out is None else out.unionByName(done)
+        if blocks == 1:
+            return out
+        rows, blocks, level = packed.where("again").drop("again", "container"), -(-blocks // MERGE), level + 1
 
 
 def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
