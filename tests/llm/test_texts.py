@@ -105,6 +105,29 @@ def test_local_search_empties_a_bin():
     assert len(fill) == 3 and fill.max() <= 10
 
 
+def test_search_does_the_packing():
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(40, 900, 3000)
+    start = P.next_fit(sizes, 2048)
+    assert np.bincount(start, sizes).max() <= 2048 and (np.diff(start) >= 0).all()
+    better, need = P.improve(sizes, start, 2048), -(-int(sizes.sum()) // 2048)
+    assert np.bincount(better, sizes).max() <= 2048 and better.max() + 1 <= need * 1.01 < (start.max() + 1) * 0.92
+
+
+def test_leftovers_of_blocks_are_packed_together(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.randint(1, 700)) for i in range(2000)] + [(9000 + k, 2048 * k + 5) for k in range(1, 4)]
+    want = dict(rows)
+    out = P.pack(spark.createDataFrame(rows, "item long, tokens long"), 2048, block=100).collect()
+    fill, got = {}, {}
+    for r in out:
+        fill[r["container"]] = fill.get(r["container"], 0) + r["tokens"]
+        got[r["item"]] = got.get(r["item"], 0) + r["tokens"]
+        assert r["first_token"] == r["part"] * 2048
+    assert got == want and max(fill.values()) <= 2048
+    assert sum(n < 0.95 * 2048 for n in fill.values()) <= 2  # 21 blocks, yet what they left short is packed
+
+
 def test_token_counts(spark):
     df = spark.createDataFrame([(1, "hello world", 3), (2, "", 3), (3, None, 3), (4, "<|endoftext|> ä" * 2000, 3)], "id int, body string, tokens int")
     got = {r["item"]: r["tokens"] for r in P.token_counts(df, "id", "body").collect()}
