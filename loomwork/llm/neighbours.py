@@ -13,8 +13,14 @@ from pyspark.sql import functions as F
 from loomwork.session import materialize
 from loomwork.tables import load
 
-#: Vectors on which the lists' centres are fitted, for each kind of vector at most; every vector is indexed.
-SAMPLE = 8192
+#: Vectors of a space (model and dimension) on which its lists' centres are fitted on the driver, and vectors a centre at
+#: least; every vector is indexed.
+SAMPLE, PER_CENTRE = 4096, 16
+#: A space of n vectors gets about sqrt(n) / ROOT lists. What SAMPLE can't fit is fitted by tasks, in a second level inside
+#: the lists of the first, up to MAX_LISTS lists a space (25 MB of centres at 384 numbers).
+ROOT, MAX_LISTS = 5, 16_384
+#: Spaces whose lists are fitted, the largest ones; any other is one list.
+MAX_SPACES = 64
 #: A vector is entered into its nearest list and up to SPREAD - 1 more whose similarity is within NEAR of the nearest.
 SPREAD, NEAR = 3, 0.06
 #: Rows of a list that meet in one task; larger lists are cut into blocks.
@@ -117,6 +123,120 @@ def _prepare(vectors: DataFrame) -> DataFrame:
     return rows.withColumn("space", F.concat_ws("|", dim.cast("string"), "model")).withColumn("node", key)
 
 
+class Lists:
+    """Centres of a space's lists. One level: mid. Two levels: under[k] holds the centres inside list k of mid, whose
+    numbers begin at offset[k]. blocks: into how many blocks each list is cut."""
+
+    def __init__(self, mid: np.ndarray, blocks: np.ndarray, under: list[np.ndarray] | None = None):
+        self.mid, self.blocks, self.under = mid, blocks, under
+        if under is not None:
+            self.offset = np.concatenate(([0], np.cumsum([len(u) for u in under])[:-1]))
+
+    def enter(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list) of the nearest list of every vector and of up to SPREAD - 1 more within NEAR of it."""
+        like = unit @ self.mid.T
+        top = np.argsort(-like, axis=1)[:, :SPREAD]
+        if self.under is None:
+            close = np.take_along_axis(like, top, 1)
+        else:  # the best SPREAD of all centres inside the nearest SPREAD lists
+            width = top.shape[1]
+            close, names = np.full((len(unit), width * SPREAD), -9.0, np.float32), np.zeros((len(unit), width * SPREAD), np.int64)
+            for k in np.unique(top):
+                r, c = np.nonzero(top == k)
+                inner = unit[r] @ self.under[k].T
+                best = np.argsort(-inner, axis=1)[:, :SPREAD]
+                at = c[:, None] * SPREAD + np.arange(best.shape[1])
+                close[r[:, None], at] = np.take_along_axis(inner, best, 1)
+                names[r[:, None], at] = self.offset[k] + best
+            order = np.argsort(-close, axis=1)[:, :SPREAD]
+            close, top = np.take_along_axis(close, order, 1), np.take_along_axis(names, order, 1)
+        r, c = np.nonzero((close >= close[:, :1] - NEAR) & (close > -5))
+        return r, top[r, c]
+
+
+def _stack(column) -> np.ndarray:
+    x = np.stack([np.asarray(v, np.float32) for v in column])
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _sampled(rows: DataFrame, fractions: dict[str, float], keep: int, by: list[str], seed: int) -> DataFrame:
+    """A share of each space's rows, different vectors only, at most `keep` for each value of `by`."""
+    part = Window.partitionBy(*by).orderBy(F.xxhash64("node", F.lit(seed)))
+    some = rows.sampleBy("space", fractions, seed).dropDuplicates(["space", "node"])
+    return some.withColumn("_n", F.row_number().over(part)).where(F.col("_n") <= keep).drop("_n")
+
+
+def fit_lists(rows: DataFrame) -> dict[str, Lists]:
+    """Lists of the spaces of rows(space, node, embedding)."""
+    sizes = {r[0]: r[1] for r in rows.groupBy("space").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "space").limit(MAX_SPACES).collect()}
+    some = _sampled(rows.select("space", "node", "embedding"), {s: min(1.0, 2 * SAMPLE / n) for s, n in sizes.items()}, SAMPLE, ["space"], 3)
+    fitted: dict[str, Lists] = {}
+    deeper: dict[str, int] = {}
+    for space, group in some.select("space", "embedding").toPandas().groupby("space"):
+        x = _stack(group["embedding"])
+        wanted = int(min(MAX_LISTS, max(1, round(sizes[space] ** 0.5 / ROOT))))
+        n = min(wanted, max(1, len(x) // PER_CENTRE))
+        if wanted > 1.5 * n:
+            # fewer and larger lists above, so that both levels have about as many centres to compare with
+            n = min(n, max(1, round((wanted * SPREAD) ** 0.5)))
+            deeper[space] = -(-wanted // n)
+        mid = centres(x, n)
+        share = np.bincount((x @ mid.T).argmax(axis=1), minlength=n) / len(x)
+        fitted[space] = Lists(mid, _blocks(share * sizes[space]))
+    if not deeper:
+        return fitted
+    plan, schema = rows.sparkSession.sparkContext.broadcast(fitted), "space string, list int, embedding array<float>, node string"
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for space, group in pdf.groupby("space"):
+                near = (_stack(group["embedding"]) @ plan.value[space].mid.T).argmax(axis=1)
+                yield pd.DataFrame({"space": space, "list": near.astype(np.int32), "embedding": group["embedding"].to_numpy(), "node": group["node"].to_numpy()})
+
+    def fit_below(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = _stack(pdf["embedding"])
+        n = min(deeper[key[0]], max(1, len(x) // PER_CENTRE))
+        mid = centres(x, n)
+        share = np.bincount((x @ mid.T).argmax(axis=1), minlength=n) / len(x)
+        return pd.DataFrame({"space": key[0], "list": key[1], "centre": list(mid.astype(np.float32)), "share": share * len(x)})
+
+    # this sample grows with the lists that are wanted, and is fitted by as many tasks as there are lists above
+    each = 4 * PER_CENTRE
+    fractions = {s: min(1.0, 2 * each * n * len(fitted[s].mid) / sizes[s]) for s, n in deeper.items()}
+    some = rows.where(F.col("space").isin(*deeper)).select("space", "node", "embedding")
+    some = some.sampleBy("space", fractions, 5).mapInPandas(nearest, schema).dropDuplicates(["space", "node"])
+    part = Window.partitionBy("space", "list").orderBy(F.xxhash64("node", F.lit(5)))
+    some = some.withColumn("_n", F.row_number().over(part)).where(F.col("_n") <= 4 * each * max(deeper.values())).drop("_n", "node")
+    below = some.groupBy("space", "list").applyInPandas(fit_below, "space string, list int, centre array<float>, share double").toPandas()
+    for space, group in below.groupby("space"):
+        above, at = fitted[space], {k: g for k, g in group.groupby("list")}
+        under = [np.stack([np.asarray(c, np.float32) for c in at[k]["centre"]]) if k in at else above.mid[k : k + 1] for k in range(len(above.mid))]
+        share = np.concatenate([at[k]["share"].to_numpy() if k in at else np.ones(1) for k in range(len(under))])
+        fitted[space] = Lists(above.mid, _blocks(share / share.sum() * sizes[space]), under)
+    return fitted
+
+
+def _blocks(rows_of: np.ndarray) -> np.ndarray:
+    """Into how many blocks lists of about so many vectors are cut; vectors lie in 1.6 lists on average."""
+    return np.ceil(rows_of * 1.6 / BLOCK).clip(1).astype(int)
+
+
+class _Seen(dict):
+    """Nodes that a task has entered, with whether they asked; forgets all at a million, so that memory stays bounded."""
+
+    def new(self, nodes: np.ndarray, asked: np.ndarray) -> np.ndarray:
+        """Rows that add something: the first of a node, and the first that asks."""
+        out = []
+        for k, (node, q) in enumerate(zip(nodes, asked, strict=True)):
+            had = self.get(node)
+            if had is None or (q and not had):
+                if len(self) > 1_000_000:
+                    self.clear()
+                self[node] = bool(q)
+                out.append(k)
+        return np.array(out, np.int64)
+
+
 def neighbours(vectors: DataFrame, k: int = 10, least: float = -1.0, is_query: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """vectors(id, model, embedding) -> (members, links).
 
@@ -124,62 +244,50 @@ def neighbours(vectors: DataFrame, k: int = 10, least: float = -1.0, is_query: C
     node that has a query row) its k most similar other nodes of the same model and dimension with a cosine of at least
     `least`. Null, empty and all-zero vectors and those with nulls or NaN have no part; repeated rows count once.
 
-    Lists are fitted on a sample of at most SAMPLE vectors a space, every vector is entered. Their number grows with the
-    root of the collection. The only table that moves holds 16-bit components; in a list's task one-bit codes choose
-    what is compared exactly. Lists that would be too large for a task are cut into blocks, all of which meet.
+    Lists are fitted on samples (fit_lists), every vector is entered. Their number grows with the root of a space's size, in
+    two levels where it gets large. A vector leaves a task once, however many ids have it. The only table that moves holds
+    16-bit components; in a list's task one-bit codes choose what is compared exactly. Lists that would be too large for a
+    task are cut into blocks, all of which meet.
     """
     rows = _prepare(vectors)
-    spark = vectors.sparkSession
-    total = vectors.count()
-    sample = rows.select("space", "embedding").sample(min(1.0, 4 * SAMPLE / max(1, total)), 3)
-    part = Window.partitionBy("space").orderBy(F.xxhash64("embedding"))
-    sample = sample.withColumn("_n", F.row_number().over(part)).where(F.col("_n") <= SAMPLE).drop("_n")
-    fitted: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    got = sample.toPandas()
-    for space, group in got.groupby("space"):
-        x = np.stack([np.asarray(v, np.float32) for v in group["embedding"]])
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        size = total * len(x) / max(1, len(got))
-        n = int(np.clip(round(size**0.5 / 5), 1, max(1, len(x) // 16)))
-        mid = centres(x, n)
-        share = np.bincount((x @ mid.T).argmax(axis=1), minlength=n) / len(x)
-        fitted[space] = (mid, np.ceil(share * size * 1.6 / BLOCK).clip(1).astype(int))
-    plan = spark.sparkContext.broadcast(fitted)
+    plan = vectors.sparkSession.sparkContext.broadcast(fit_lists(rows))
     flagged = rows.select("space", "node", "embedding", (is_query if is_query is not None else F.lit(True)).alias("q"))
+    schema = pa.schema([("key", pa.string()), ("node", pa.string()), ("role", pa.int32()), ("scale", pa.float32()), ("vec", pa.binary())])
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = plan.value
+        known, seen = plan.value, _Seen()
         for batch in batches:
+            fresh = seen.new(batch.column(1).to_numpy(zero_copy_only=False), batch.column(3).to_numpy(zero_copy_only=False))
+            batch = batch.take(pa.array(fresh))
             spaces = batch.column(0).to_numpy(zero_copy_only=False)
             for space in pd.unique(spaces):
                 part = batch.filter(pa.array(spaces == space))
                 ok, unit = _vectors(part.column(2))
+                if not len(unit):
+                    continue
                 nodes = part.column(1).to_numpy(zero_copy_only=False)[ok]
                 asked = part.column(3).to_numpy(zero_copy_only=False)[ok]
-                mid, blocks = known.get(space, (np.zeros((1, unit.shape[1]), np.float32), np.ones(1, int)))
-                like = unit @ mid.T
-                top = np.argsort(-like, axis=1)[:, :SPREAD]
-                close = np.take_along_axis(like, top, 1)
-                r, c = np.nonzero(close >= close[:, :1] - NEAR)
-                lists = top[r, c]
+                lists = known.get(space) or Lists(np.zeros((1, unit.shape[1]), np.float32), np.ones(1, int))
+                r, lst = lists.enter(unit)
                 scale = np.abs(unit).max(axis=1) / 32767
                 whole = np.rint(unit / scale[:, None]).astype("<i2")
-                raw = [w.tobytes() for w in whole]
-                out: dict[str, list] = {x: [] for x in ("key", "node", "role", "scale", "vec")}
-                for i, lst in zip(r, lists, strict=True):
-                    n = int(blocks[lst])
-                    mine = int(nodes[i][:8], 16) % n
-                    # as query in (mine, j), as base in (j, mine); both at once where they coincide
-                    for j in range(n):
-                        for a, b in {(mine, j), (j, mine)}:
-                            role = (1 if a == mine and asked[i] else 0) | (2 if b == mine else 0)
-                            if role:
-                                out["key"].append(f"{space}|{lst}|{a}|{b}")
-                                out["node"].append(nodes[i])
-                                out["role"].append(role)
-                                out["scale"].append(float(scale[i]))
-                                out["vec"].append(raw[i])
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("key", pa.string()), ("node", pa.string()), ("role", pa.int32()), ("scale", pa.float32()), ("vec", pa.binary())]))
+                # a vector asks in the blocks (mine, j) and is asked in (j, mine), j being any block of its list
+                n = lists.blocks[lst]
+                mine = np.array([int(x[:8], 16) for x in nodes], np.int64)[r] % n
+                at = np.repeat(np.arange(len(r)), n)
+                j = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+                m, same = mine[at], mine[at] == j
+                ask = asked[r[at]].astype(bool)
+                both = (at[same], m[same], m[same], 2 + ask[same])
+                asks = (at[~same & ask], m[~same & ask], j[~same & ask], np.ones(int((~same & ask).sum()), int))
+                told = (at[~same], j[~same], m[~same], np.full(int((~same).sum()), 2))
+                at, a, b, role = (np.concatenate(x) for x in zip(both, asks, told, strict=True))
+                keys = [f"{space}|{x}|{y}|{z}" for x, y, z in zip(lst[at].tolist(), a.tolist(), b.tolist(), strict=True)]
+                pick = pa.array(r[at])
+                raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * whole.shape[1]), len(whole), [None, pa.py_buffer(np.ascontiguousarray(whole))])
+                cols = [pa.array(keys, pa.string()), pa.array(nodes, pa.string()).take(pick), pa.array(role, pa.int32()), pa.array(scale, pa.float32()).take(pick), raw.take(pick).cast(pa.binary())]
+                for begin in range(0, len(at), 20_000):
+                    yield pa.RecordBatch.from_arrays([c.slice(begin, 20_000) for c in cols], schema=schema)
 
     entered = flagged.mapInArrow(enter, "key string, node string, role int, scale float, vec binary")
 
