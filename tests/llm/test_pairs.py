@@ -165,6 +165,39 @@ def test_blocks_meet(spark, vectors, monkeypatch):
     assert len(got & want) >= 0.9 * len(want) and len(got - want) <= 0.1 * len(want)
 
 
+def test_two_levels_of_lists(spark, vectors, monkeypatch):
+    monkeypatch.setattr(N, "SAMPLE", 160)
+    monkeypatch.setattr(N, "ROOT", 0.8)
+    monkeypatch.setattr(N, "PER_CENTRE", 8)
+    rows = [(f"{i:05d}", "m", v.tolist()) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "id string, model string, embedding array<float>")
+    lists = N.fit_lists(N._prepare(df))["48|m"]
+    assert lists.under is not None and len(lists.blocks) == sum(map(len, lists.under)) > 40 > len(lists.mid)
+    members, links = N.neighbours(df, 10)
+    got = {}
+    for r in N.similar_ids(members, links, 10).collect():
+        got.setdefault(int(r["id"]), set()).add(int(r["other"]))
+    like = vectors @ vectors.T
+    np.fill_diagonal(like, -2)
+    best = np.argsort(-like, axis=1)[:, :10]
+    assert np.mean([len(got.get(i, set()) & set(best[i])) / 10 for i in range(len(vectors))]) >= 0.9
+
+
+def test_a_vector_with_many_ids_is_entered_once_a_task(spark):
+    rng = np.random.default_rng(1)
+    hot = rng.standard_normal(16).astype(np.float32).tolist()
+    other = spark.createDataFrame([(f"o{i}", "m", (np.array(hot) + 0.1 * rng.standard_normal(16)).tolist()) for i in range(40)], "id string, model string, embedding array<float>")
+    copies = spark.range(0, 100_000, 1, 4).select(F.concat(F.lit("c"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("id"), F.lit("m").alias("model"), F.array(*map(F.lit, hot)).cast("array<float>").alias("embedding"))
+    seen = N._Seen()
+    nodes, asked = np.array(["a"] * 1000 + ["b"], object), np.array([False] * 500 + [True] * 501)
+    assert list(seen.new(nodes, asked)) == [0, 500, 1000] and not len(seen.new(nodes, asked))
+    members, links = N.neighbours(copies.unionByName(other), 3)
+    assert members.count() == 100_040 and links.groupBy("node").count().agg(F.max("count")).first()[0] == 3
+    got = N.similar_ids(members, links, 3)
+    assert got.groupBy("id").count().agg(F.count("*"), F.min("count"), F.max("count")).first()[:] == (100_040, 3, 3)
+    assert sorted(r["other"] for r in got.where("id = 'c070000'").collect()) == ["c000000", "c000001", "c000002"]
+
+
 def test_odd_vectors_copies_and_models(spark):
     v, w = [1.0, 0.0, 0.0], [0.9, 0.1, 0.0]
     rows = [(f"c{i:02d}", "m", v, "n") for i in range(30)] + [("near", "m", w, "n"), ("scaled", "m", [2.0, 0.0, 0.0], "n"), ("other", "k", v, "n"), ("zero", "m", [0.0] * 3, "n"), ("null", "m", None, "n"), ("none", None, v, "n"), ("long", "m", [1.0] * 5, "n"), ("nan", "m", [float("nan"), 1.0, 0.0], "n"), ("hole", "m", [None, 1.0, 0.0], "n"), ("void", "m", [], "n"), (None, "m", v, "n"), ("near", "m", w, "n")]
