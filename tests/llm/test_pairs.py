@@ -60,18 +60,27 @@ def test_overlap_equals_brute_force(spark):
     assert found(spark, texts + texts[:20], splits) == sorted(brute(texts, splits))
 
 
-def test_overlap_hot_bucket_goes_through_blocks(spark, monkeypatch):
+def test_overlap_heavy_buckets_meet_by_rare_shingles(spark, monkeypatch):
     monkeypatch.setattr(O, "LIGHT_PAIRS", 4)
-    monkeypatch.setattr(O, "BLOCK", 8)
+    monkeypatch.setattr(O, "MAX_BROADCAST_ROWS", 0)
     texts, splits = corpus(2, 90)
     assert found(spark, texts, splits) == sorted(brute(texts, splits))
 
 
-def test_overlap_copies_and_empty_tables(spark):
+def test_overlapping_records_are_those_of_the_pairs(spark):
+    texts, splits = corpus(5)
+    got = O.overlapping_records(spark.createDataFrame(texts, TEXTS), spark.createDataFrame(splits, SPLITS))
+    assert {tuple(r) for r in got.collect()} == {(k, x) for k, a, b in brute(texts, splits) for x in (a, b)}
+
+
+def test_overlap_copies_and_empty_tables(spark, monkeypatch):
+    monkeypatch.setattr(O, "PAIR_BLOCK", 7)
     same = " ".join(f"w{i}" for i in range(30))
     texts = [("resume", f"{i}", same) for i in range(6)]
     splits = [("resume", f"{i}", i < 3, i >= 3) for i in range(6)]
     assert len(found(spark, texts, splits)) == 9
+    texts, splits = [("resume", f"{i:04d}", same) for i in range(60)], [("resume", f"{i:04d}", i % 2 == 0, i % 2 == 1) for i in range(60)]
+    assert len(found(spark, texts, splits)) == 900
     empty = O.cross_split_pairs(spark.createDataFrame([], TEXTS), spark.createDataFrame([], SPLITS))
     assert empty.count() == 0
 
