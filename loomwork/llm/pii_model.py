@@ -108,21 +108,38 @@ def emissions(p: dict, ids: np.ndarray) -> np.ndarray:
     return out.transpose(1, 0, 2)
 
 
-def viterbi(scores: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    """Best tags (batch, time) under scores (batch, time, tags) and moves (from, to)."""
-    n, steps, tags = scores.shape
-    best = scores[:, 0] + moves[0]  # a text begins as if after O
-    back = np.empty((steps, n, tags), np.int8)
-    for t in range(1, steps):
-        total = best[:, :, None] + moves
-        back[t] = total.argmax(axis=1)
-        best = total.max(axis=1) + scores[:, t]
-    path = np.empty((n, steps), np.int8)
-    path[:, -1] = best.argmax(axis=1)
-    rows = np.arange(n)
-    for t in range(steps - 1, 0, -1):
-        path[:, t - 1] = back[t][rows, path[:, t]]
-    return path
+class Viterbi:
+    """Best tags of a few sequences under scores (sequence, time, tags), which may come in several pieces. Only one back
+    pointer a character and tag is kept."""
+
+    def __init__(self, moves: np.ndarray):
+        self.moves, self.best, self.back = moves, None, []
+
+    def feed(self, scores: np.ndarray, live: np.ndarray) -> None:
+        """The next piece: scores (sequence, time, tags); live (time): how many sequences, longest first, still go on."""
+        n, steps, _ = scores.shape
+        back = np.zeros((steps, n, scores.shape[2]), np.int8)
+        at = 0
+        if self.best is None:
+            self.best, at = scores[:, 0] + self.moves[0], 1  # a text begins as if after O
+        for t in range(at, steps):
+            k = live[t]
+            total = self.best[:k, :, None] + self.moves
+            back[t, :k] = total.argmax(axis=1)
+            self.best[:k] = total.max(axis=1) + scores[:k, t]
+        self.back.append(back)
+
+    def paths(self, lengths: np.ndarray) -> list[np.ndarray]:
+        back = np.concatenate(self.back) if len(self.back) > 1 else self.back[0]
+        n = len(lengths)
+        path = np.zeros((len(back), n), np.int8)
+        now = self.best.argmax(axis=1)  # frozen at each sequence's own end
+        rows = np.arange(n)
+        for t in range(int(lengths.max()) - 1, -1, -1):
+            k = int(np.searchsorted(-lengths, -t, "left"))  # sequences longer than t come first
+            path[t, :k] = now[:k]
+            now[:k] = back[t, rows[:k], now[:k]]
+        return [path[:m, i] for i, m in enumerate(lengths)]
 
 
 def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
@@ -192,31 +209,72 @@ def windows(length: int) -> list[int]:
     return list(range(0, max(1, length - OVERLAP), step))
 
 
-def decode_texts(p: dict, texts: list[str], batch: int = 128) -> list[list[tuple[int, int, str]]]:
-    """Spans of each text. Windows of all texts are decoded together; of two that overlap, each decides the half of the
-    overlap nearer to its own middle, and a span that crosses from one to the other is joined again."""
-    ids = [encode(t) for t in texts]
-    where = [(k, a) for k, x in enumerate(ids) for a in windows(len(x)) if len(x)]
-    tags = [np.zeros(len(x), np.int8) for x in ids]
-    moves = p["T"] + legal_moves()
+def text_scores(p: dict, ids: list[np.ndarray], begin: int, stop: int, batch: int = 128) -> list[np.ndarray]:
+    """Scores (characters, tags) of the characters begin..stop of each text; where windows overlap, their scores are averaged
+    with weights that fall towards a window's ends. begin must be the start of a window."""
+    tags = len(TAGS)
+    out = [np.zeros((max(0, min(stop, len(x)) - begin), tags), np.float32) for x in ids]
+    mass = [np.zeros(len(o), np.float32) for o in out]
+    ramp = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).clip(max=OVERLAP).astype(np.float32)
+    where = [(k, a) for k, x in enumerate(ids) for a in windows(len(x)) if len(x) and begin - WINDOW < a < stop]
     blank = _IDS[10]
     for at in range(0, len(where), batch):
         part = where[at : at + batch]
-        steps = max(min(WINDOW, len(ids[k]) - a) for k, a in part)
-        grid = np.full((len(part), steps), blank, np.uint8)
+        grid = np.full((len(part), WINDOW), blank, np.uint8)  # always the same width, so no text depends on others
         for r, (k, a) in enumerate(part):
             piece = ids[k][a : a + WINDOW]
             grid[r, : len(piece)] = piece
-        found = viterbi(emissions(p, grid), moves)
+        got = emissions(p, grid)
         for r, (k, a) in enumerate(part):
-            low = a + (OVERLAP // 2 if a else 0)
-            high = min(len(ids[k]), a + WINDOW)
-            tags[k][low:high] = found[r, low - a : high - a]
+            low, high = max(a, begin), min(len(ids[k]), a + WINDOW, stop)
+            if low < high:
+                weight = ramp[low - a : high - a].copy()
+                if a == 0:  # a text's own ends are no seams
+                    weight[: WINDOW // 2] = np.maximum(weight[: WINDOW // 2], 1)
+                out[k][low - begin : high - begin] += got[r, low - a : high - a] * weight[:, None]
+                mass[k][low - begin : high - begin] += weight
+    for o, m in zip(out, mass, strict=True):
+        o /= np.maximum(m, 1e-6)[:, None]
+    return out
+
+
+#: Characters of a text that are scored at once; a longer one comes in sections of so many, decoded as one all the same.
+SECTION = (WINDOW - OVERLAP) * 1024
+
+
+def decode_texts(p: dict, texts: list[str]) -> list[list[tuple[int, int, str]]]:
+    """Spans of each text. The windows of all texts are scored together, overlapping scores are averaged, and one path of
+    tags is decoded over each whole text, so no window's end decides anything."""
+    ids = [encode(t) for t in texts]
+    moves = p["T"] + legal_moves()
+    tags: list[np.ndarray] = [np.zeros(0, np.int8)] * len(ids)
+    order = sorted((k for k in range(len(ids)) if len(ids[k])), key=lambda k: -len(ids[k]))
+    long = [[k] for k in order if len(ids[k]) > SECTION]
+    short = [k for k in order if len(ids[k]) <= SECTION]
+    groups = long
+    for k in short:  # texts of like length together, at most SECTION characters with all as long as the first
+        if groups is long or (len(groups[-1]) + 1) * len(ids[groups[-1][0]]) > SECTION:
+            groups = [*groups, []]
+        groups[-1].append(k)
+    for group in groups:
+        some = [ids[k] for k in group]
+        lengths = np.array([len(x) for x in some])
+        decoder = Viterbi(moves)
+        for begin in range(0, int(lengths.max()), SECTION):
+            steps = min(SECTION, int(lengths.max()) - begin)
+            got = text_scores(p, some, begin, begin + steps)
+            grid = np.zeros((len(some), steps, len(TAGS)), np.float32)
+            for r, g in enumerate(got):
+                grid[r, : len(g)] = g
+            live = np.searchsorted(-lengths, -(begin + np.arange(steps)), "left")
+            decoder.feed(grid, live)
+        for k, path in zip(group, decoder.paths(lengths), strict=True):
+            tags[k] = path
     return [_spans(t) for t in tags]
 
 
 def _spans(tags: np.ndarray) -> list[tuple[int, int, str]]:
-    """Spans of equal types; an I whose B a neighbouring window saw elsewhere begins a span of its own."""
+    """Spans of equal types."""
     out: list[tuple[int, int, str]] = []
     for k in np.flatnonzero(tags):
         kind, begins = TYPES[(tags[k] - 1) // 2], (tags[k] - 1) % 2 == 0
