@@ -269,6 +269,40 @@ def test_tagger_on_other_rows():
     assert len(a & b) / len(a) > 0.97 and len(a & b) / len(b) > 0.97
 
 
+def test_findings_across_window_seams():
+    model = pii_model.load_model()
+    texts = ["word " * (n // 5) + "x" * (n % 5) + "\nHome: 44 Foundry Lane, Lumegrove 65966\n" + "and so on " * 40 for n in range(120, 420, 3)]
+    for spans in pii.findings(texts, model):
+        assert [k for _, _, k in spans] == ["address"]
+    assert len({t[a:b] for t, spans in zip(texts, pii.findings(texts, model), strict=True) for a, b, _ in spans}) == 1
+
+
+def test_one_path_over_pieces_and_lengths():
+    """The path of every text is the best of all, however texts are grouped and cut into sections."""
+    rng = np.random.default_rng(6)
+    moves = pii_model.legal_moves()[:5, :5] + rng.standard_normal((5, 5)).astype(np.float32)
+    lengths, scores = np.array([7, 5, 5, 2]), [rng.standard_normal((n, 5)).astype(np.float32) for n in (7, 5, 5, 2)]
+    grid = np.zeros((4, 7, 5), np.float32)
+    for r, x in enumerate(scores):
+        grid[r, : len(x)] = x
+    for cut in (7, 3):
+        decoder = pii_model.Viterbi(moves)
+        for at in range(0, 7, cut):
+            steps = min(cut, 7 - at)
+            decoder.feed(grid[:, at : at + steps], np.searchsorted(-lengths, -(at + np.arange(steps)), "left"))
+        for x, path in zip(scores, decoder.paths(lengths), strict=True):
+            total = lambda tags, x=x: moves[0, tags[0]] + x[0, tags[0]] + sum(moves[a, b] + x[i + 1, b] for i, (a, b) in enumerate(zip(tags, tags[1:], strict=False)))
+            every = [np.unravel_index(k, (5,) * len(x)) for k in range(5 ** len(x))] if len(x) < 6 else []
+            assert not every or total([int(t) for t in path]) == pytest.approx(max(total(t) for t in every), abs=1e-4)
+
+
+def test_sections_change_nothing(monkeypatch):
+    model, texts = pii_model.load_model(), [(CV + "\n") * 9, CV, "", "plain"]
+    whole = pii_model.decode_texts(model, texts)
+    monkeypatch.setattr(pii_model, "SECTION", (pii_model.WINDOW - pii_model.OVERLAP) * 2)
+    assert pii_model.decode_texts(model, texts) == whole
+
+
 def test_gradient_is_right():
     rng = np.random.default_rng(0)
     p = {k: v.astype(np.float64) for k, v in pii_model.start(6, 5).items()}
