@@ -16,7 +16,9 @@ def top_n_per_group(
 
     order: sort columns, best first; item is appended as the last tie breaker, so equal scores always give the same
     rows. Two stages: each group is hashed by item into `salts` subgroups, where every item is reduced to its best row,
-    ranked and cut to n, and the at most n * salts survivors of a group are ranked again.
+    ranked and cut to n, and the at most n * salts survivors of a group are ranked again. Rows move by group and item, so
+    a hot group lies evenly over all tasks, whatever `salts` is; each task cuts its part of a subgroup to n before the
+    subgroups come together.
 
     Rows with a null group or item are left out. Repeated rows of an item count once, whatever their order; the best of
     them stays. Null scores sort where `order` puts them. An empty table gives an empty result. All columns of
@@ -30,8 +32,6 @@ def top_n_per_group(
     keys = [*order, F.col(item).asc()]
     rows = df.where(F.col(group).isNotNull() & F.col(item).isNotNull())
     rows = rows.withColumn(salt, F.pmod(F.xxhash64(F.col(item)), F.lit(salts)))
-    # partitioned by group and salt alone, which serves both windows: all rows of an item have one salt
-    rows = rows.repartition(F.col(group), F.col(salt))
     per_item = Window.partitionBy(group, salt, item).orderBy(*order)
     once = rows.withColumn(first, F.row_number().over(per_item)).where(F.col(first) == 1)
     subgroup = Window.partitionBy(group, salt).orderBy(*keys)
