@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwork.llm.common import records
-from loomwork.session import materialize
+from loomwork.session import drop_path, materialize, shared_dir
 from loomwork.tables import load
 
 #: Strength of a cut after a character: space < sentence end < line break < blank line.
@@ -134,22 +135,32 @@ def ranges_of(items: DataFrame, range_bytes: int = 1 << 18) -> DataFrame:
     )
 
 
+def files_below(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
+    """(URI, bytes) of the data files in a folder of any file system Hadoop knows."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [(s.getPath().toUri().toString(), s.getLen()) for s in system.listStatus(where) if s.isFile()]
+    return sorted(f for f in found if not f[0].rsplit("/", 1)[1].startswith(("_", ".")))
+
+
 def ranges_of_files(spark: SparkSession, files: list[tuple[str, int]], limit: int, range_bytes: int = 1 << 22) -> DataFrame:
-    """The same for UTF-8 files of (path, bytes) on a file system that all executors mount: each task seeks to its
-    range and reads that and the halo only."""
+    """The same for UTF-8 files of (URI or path, bytes): each task opens its file through Arrow's file systems (local,
+    HDFS, object stores), and reads its range and the halo only."""
     own, halo = max(range_bytes, 16 * limit), 4 * limit
     plan = spark.createDataFrame(files, "id string, size long").withColumn(
         "range_no", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / own)))
     )
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 begin, stop = r.range_no * own, min(r.range_no * own + own, r.size)
                 lead = min(begin, halo)
-                with open(r.id, "rb") as f:
-                    f.seek(begin - lead)
-                    data = f.read(lead + (stop - begin) + halo)
+                system, path = fs.FileSystem.from_uri(r.id) if ":/" in r.id else (fs.LocalFileSystem(), r.id)
+                with system.open_input_file(path) as f:
+                    data = f.read_at(lead + (stop - begin) + halo, begin - lead)
                 row = ("file", r.id, limit, limit // 10, r.range_no, data, lead, stop - begin, stop == r.size)
                 yield pd.DataFrame([row], columns=["kind", "id", "size_limit", "overlap", "range_no", "data", "lead", "own", "last"])
 
@@ -228,6 +239,19 @@ def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumnsRenamed({"kind": "item_kind", "id": "item_id", "text": "piece"})
 
 
+def p7_files(spark: SparkSession, sf_dir: str, limit: int = 3000, range_bytes: int = 1 << 20) -> DataFrame:
+    """Giant files: the resumes written as text files into the shared folder, cut by byte range without loading a file.
+    Every file is one item; start and stop are code points in it."""
+    folder = f"{shared_dir(spark).rstrip('/')}/loomwork-files-{uuid.uuid4().hex}"
+    load(spark, sf_dir, "resumes").select(F.col("raw_text").alias("value")).where("value is not null").write.text(folder)
+    files = files_below(spark, folder)
+    if not any(n for _, n in files):
+        return spark.createDataFrame([], "file string, piece_index long, start long, stop long, piece string")
+    pieces, _ = split_ranges(ranges_of_files(spark, files, limit, range_bytes))
+    drop_path(spark, folder)  # the pieces are written
+    return pieces.select(F.element_at(F.split("id", "/"), -1).alias("file"), "piece_index", "start", "stop", F.col("text").alias("piece"))
+
+
 _ITEMS_SQL = """
 with t as (select distinct 'resume' item_kind, id item_id, raw_text x, 3000 lim from resumes
            union all select distinct 'chunk', id, chunk_text, 400 from text_embeddings),
@@ -236,7 +260,7 @@ w as (select item_kind, item_id, lim, unnest(regexp_extract_all(x, '[^ \\t\\n\\r
 m as (select item_kind, item_id, max(length(run)) longest, any_value(lim) lim from w group by item_kind, item_id)
 """
 
-QUERIES = {"p7_found": p7_found, "p7_pieces": p7_pieces}
+QUERIES = {"p7_found": p7_found, "p7_pieces": p7_pieces, "p7_files": p7_files}
 ORACLE = {
     "p7_found": _ITEMS_SQL
     + """select item_kind, item_id, 'oversize' as case_kind from o
