@@ -74,6 +74,29 @@ def test_files_are_read_by_range(spark, tmp_path):
     assert items.first()["chars"] == len(text)
 
 
+def test_files_of_a_folder(spark, tmp_path):
+    text = "".join(f"Zeile {i} mit ä und 漢.\n" for i in range(3000))
+    (tmp_path / "a.txt").write_text(text, encoding="utf-8")
+    (tmp_path / "_SUCCESS").write_text("x")
+    files = S.files_below(spark, f"file://{tmp_path}")
+    assert [(f.rsplit("/", 1)[1], n) for f, n in files] == [("a.txt", len(text.encode()))]
+    pieces, _ = S.split_ranges(S.ranges_of_files(spark, files, 200, 4096))
+    check_pieces(text, pieces.orderBy("piece_index").collect(), 200, 20)
+
+
+def test_pieces_of_written_files_cover_every_text(spark):
+    from pyspark.sql import Window
+
+    got = S.p7_files(spark, "/root/testdata/sf0.001", range_bytes=1 << 14)
+    texts = spark.read.parquet("/root/testdata/sf0.001/resumes.parquet").where("raw_text is not null")
+    want = texts.agg(F.sum(F.length("raw_text") + 1)).first()[0]
+    order = Window.partitionBy("file").orderBy("piece_index")
+    rows = got.withColumn("before", F.lag("stop").over(order))
+    odd = rows.where("length(piece) > 3000 or stop - start <> length(piece) or before is not null and before - start <> 300")
+    assert odd.count() == 0 and rows.where("before is null").agg(F.max("start")).first()[0] == 0
+    assert got.groupBy("file").agg(F.max("stop").alias("n")).agg(F.sum("n")).first()[0] == want
+
+
 def test_split_of_nothing(spark):
     pieces, items = S.split_items(spark.createDataFrame([], ITEMS))
     assert pieces.count() == 0 and items.count() == 0
