@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space that is stripped from lines, no-break space included.
+#: White space that is stripped from lines, no-break space included; the patterns below it are fixed values.
 BLANK = r"[\s\x{0b}\x{a0}]"
 STRIP = rf"^{BLANK}+|{BLANK}+$"
 LINE_BREAK = r"\r\n|\n|\r"
@@ -16,7 +16,7 @@ URL = r"https?://\S+|www\.\S+"
 CITY_STATE = r"\b[A-Z][a-zA-Z.]+(?:\s[A-Z][a-zA-Z.]+)*,\s*[A-Z]{2}\b"
 EXPERIENCE_HEADER = r"^([^,]+),\s*([^,]+?)\s+(?:--|–|—)\s+(.+)$"
 DATE_RANGE = r"(?i)^(.+?)\s+to\s+(.+)$"
-DEGREE = r"^(Ph\.D\.|B\.S\.|M\.S\.|B\.A\.|M\.A\.|MBA|Diploma|Bachelor'?s?|Master'?s?|Associate'?s?)\s+(.+)$"
+DEGREE = r"^(Ph\.D\.|B\.S\.|M\.S\.|B\.A\.|M\.A\.|MBA|Bachelor'?s?|Master'?s?|Associate'?s?)\s+(.+)$"
 YEAR = r"\b(?:19|20)\d{2}\b"
 YEARS_ASKED = r"(\d+)\+?\s*years?"
 NUMBER = r"\d+(?:\.\d+)?"

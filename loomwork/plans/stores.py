@@ -127,6 +127,69 @@ def ev_attach_text(spark, d):
     return E.validate(_claims(spark, d), _paths(spark, d)[0]).where("kept and not is_inference").select("doc", "claim_id", F.col("resolved").alias("evidence"))
 
 
+#: For each responsibility a faithful suggestion, one with a number it lacks, and one that is based on nothing.
+_RECS = _CLAIMS + """, rc as (select doc, 'faithful-' || i rec_id, t txt, 'responsibilities[' || i || ']' as ref, t res from rs
+    union all select doc, 'changed-' || i, t || ' 4711', 'responsibilities[' || i || ']', t from rs union all select doc, 'baseless-' || i, t, null, null from rs),
+rk as (select doc, rec_id, case when ref is null then 'no reference' when len(list_filter(regexp_extract_all(txt, '\\d+(?:\\.\\d+)?'), lambda x: not list_contains(regexp_extract_all(res, '\\d+(?:\\.\\d+)?'), x))) > 0 then 'fabricated number' end why from rc)"""
+
+
+def _recs(spark, d):
+    _, r = _paths(spark, d)
+    ref = F.concat(F.lit("responsibilities["), F.col("idx").cast("string"), F.lit("]"))
+    part = lambda kind, text, at: r.select("doc", F.concat(F.lit(kind + "-"), F.col("idx").cast("string")).alias("rec_id"), text.alias("suggestion"), at.alias("based_on"))
+    faithful, changed = part("faithful", F.col("text"), ref), part("changed", F.concat(F.col("text"), F.lit(" 4711")), ref)
+    return faithful.unionByName(changed).unionByName(part("baseless", F.col("text"), F.lit(None).cast("string")))
+
+
+@_add("ev_validate_recommendations", f"with {_RECS} select doc, rec_id, why is null as kept, why as drop_reason from rk")
+def ev_validate_recommendations(spark, d):
+    return E.validate_recommendations(_recs(spark, d), _paths(spark, d)[0]).select("doc", "rec_id", "kept", "drop_reason")
+
+
+_GAPS = """ls as (select id doc, unnest(parsed_profile.skills) skill from resumes), said as (select distinct doc, skill from ls union select doc, canonical_name from (select distinct doc from ls), (select canonical_name from skills order by 1 limit 3)),
+gap as (select distinct canonical_name skill from skills where category = (select min(category) from skills))"""
+
+
+def _said_and_gaps(spark, d):
+    """What a document says is missing (its own skills and the first three names) and what is (names of one category)."""
+    listed = load(spark, d, "resumes").select(F.col("id").alias("doc"), F.explode("parsed_profile.skills").alias("skill"))
+    names = load(spark, d, "skills").select("canonical_name", "category")
+    first = names.agg(F.slice(F.array_sort(F.collect_list("canonical_name")), 1, 3).alias("n"))  # the fixed skill table
+    more = listed.select("doc").distinct().crossJoin(F.broadcast(first)).select("doc", F.explode("n").alias("skill"))
+    said = listed.unionByName(more).distinct()
+    least = names.agg(F.min("category").alias("category"))
+    gaps = names.join(least, "category").select(F.col("canonical_name").alias("skill")).distinct()
+    return said, said.join(gaps, "skill", "left_semi").select("doc", "skill")
+
+
+@_add("ev_missing_skills", f"with {_GAPS} select doc, skill, skill in (select skill from gap) as kept from said")
+def ev_missing_skills(spark, d):
+    return E.validate_missing(*_said_and_gaps(spark, d)).select("doc", "skill", "kept")
+
+
+@_add("ev_explanation_passed", f"with {_RECS}, b as (select doc, why is null k from ck union all select doc, why is null from rk) select doc, count(*) as statements, count(*) filter (k) as kept, bool_and(k) as passed from b group by doc")
+def ev_explanation_passed(spark, d):
+    paths = _paths(spark, d)[0]
+    return E.explanation_passed(E.validate(_claims(spark, d), paths), E.validate_recommendations(_recs(spark, d), paths))
+
+
+@_add("prj_evidence_payload", """with r as (select id doc, unnest(range(len(parsed_profile.responsibilities))) i, unnest(parsed_profile.responsibilities) t from jobs),
+    l as (select id doc, 0 p, 0 i, '[title] "' || parsed_profile.title || '"' x from jobs union all select id, 1, 0, '[about] "' || parsed_profile.about || '"' from jobs union all select doc, 2, i, '[responsibilities[' || i || ']] "' || t || '"' from r)
+    select doc, string_agg(x, chr(10) order by p, i) as payload from l where x is not null group by doc""")
+def prj_evidence_payload(spark, d):
+    """Every line of a job that may be cited, tagged with its reference."""
+    return E.payload(json_resolve_ref(spark, d), ["title", "about", "responsibilities[#]"])
+
+
+@_add("prj_prompt", """with q as (select id, list_sort(list_transform(parsed_profile.skills, lambda x: lower(x))) s from resumes)
+    select id as doc, 'Skills: ' || coalesce(array_to_string(s, ', '), '') || chr(10) || 'Count: ' || coalesce(cast(len(s) as varchar), '') as prompt from q""")
+def prj_prompt(spark, d):
+    """A template filled from columns; the wording is a parameter."""
+    skills = F.array_sort(F.transform("parsed_profile.skills", F.lower))
+    rows = load(spark, d, "resumes").select(F.col("id").alias("doc"), skills.alias("s"))
+    return rows.select("doc", E.fill("Skills: {skills}\nCount: {n}", {"skills": F.array_join("s", ", "), "n": F.when(F.col("s").isNotNull(), F.size("s"))}).alias("prompt"))
+
+
 @_add("json_resolve_ref", "with r as (select id doc, unnest(range(len(parsed_profile.responsibilities))) i, unnest(parsed_profile.responsibilities) t from jobs) select doc, 'responsibilities[' || i || ']' as ref, t as \"text\" from r union all select id, 'title', parsed_profile.title from jobs where parsed_profile.title is not null union all select id, 'about', parsed_profile.about from jobs where parsed_profile.about is not null")
 def json_resolve_ref(spark, d):
     _, r = _paths(spark, d)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions import text as T
+from loomwork.functions.redaction import redacted
 from loomwork.functions.dates import parse_resume_date
 from loomwork.operators import documents as D
 from loomwork.operators import features as X
@@ -247,17 +248,12 @@ def prj_chunks(spark, d):
     return load(spark, d, "jobs").select("id", F.posexplode("parsed_profile.responsibilities").alias("chunk_index", "chunk_text")).withColumn("chunk_index", F.col("chunk_index").cast("bigint"))
 
 
-@_add("prj_evidence_payload", "select id, array_to_string(list_transform(range(len(a)), lambda i: '[responsibilities[' || i || ']] \"' || a[i + 1] || '\"'), chr(10)) as payload from (select id, parsed_profile.responsibilities a from jobs where len(parsed_profile.responsibilities) > 0)")
-def prj_evidence_payload(spark, d):
-    tagged = F.transform("parsed_profile.responsibilities", lambda t, i: F.concat(F.lit("[responsibilities["), i.cast("string"), F.lit(']] "'), t, F.lit('"')))
-    return load(spark, d, "jobs").where(F.size("parsed_profile.responsibilities") > 0).select("id", F.array_join(tagged, "\n").alias("payload"))
-
-
-@_add("prj_redact_log", "select id, case when parsed_profile.contact.email is not null then '***' end as email, case when parsed_profile.contact.phone is not null then '***' end as phone, parsed_profile.contact.location as location from resumes")
+@_add("prj_redact_log", """select id, created_at, case when raw_text is not null then '[REDACTED]' end as raw_text, case when parsed_profile is not null then '[REDACTED]' end as parsed_profile,
+    cast(len(raw_text) as bigint) as n from resumes""")
 def prj_redact_log(spark, d):
-    c = F.col("parsed_profile.contact")
-    hide = lambda x: F.when(x.isNotNull(), "***")
-    return load(spark, d, "resumes").select("id", hide(c["email"]).alias("email"), hide(c["phone"]).alias("phone"), c["location"].alias("location"))
+    """Rows as they may be logged: sensitive columns are masked at any depth."""
+    rows = load(spark, d, "resumes").select("id", "created_at", "raw_text", "parsed_profile", F.length("raw_text").cast("bigint").alias("n"))
+    return redacted(rows)
 
 
 @_add("agg_median", f"with {S.lines('resumes')} select doc, median(cast(length(\"text\") as double)) as body from lines group by doc")
