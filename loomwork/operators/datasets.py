@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.operators.features import rank_within
+
 #: Labels of the pair files. Fixed values.
 FIT_LABELS = {"No Fit": 0.0, "Potential Fit": 0.5, "Good Fit": 1.0}
 
@@ -42,6 +46,43 @@ def sample_per_group(df: DataFrame, groups: list[str], item: str, n: int, seed:
     return df.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= n).drop("_k")
 
 
+def _start(c: str, among: Column, seed: int) -> Column:
+    """A seeded number below `among` for each value."""
+    return F.pmod(F.conv(F.substring(hash_order(c, seed=seed), 1, 8), 16, 10).cast("bigint"), among)
+
+
+def generate_pairs(left: DataFrame, right: DataFrame, positives: int = 2, negatives: int = 2, seed: int = 42) -> DataFrame:
+    """left(ref, grp), right(ref, grp) -> (left_ref, right_ref, label): for each left ref up to `positives` right refs of its own
+    group, labelled as pair_label does, and up to `negatives` of other known groups. Refs without a group have no pairs; each
+    side holds a ref once.
+
+    No pair is built that isn't kept: right refs get places, in shuffled order inside their group and group by group, and each
+    left ref takes the places behind a seeded start of its own: of its group's places, or of all others, going round. A place
+    is one row, so the joins are even however large a group is.
+    """
+    known = right.where("ref is not null and grp is not null").select("ref", "grp").distinct().withColumn("_h", hash_order("ref", seed=seed))
+    placed = rank_within(known, "grp", "_h", "ref").select("grp", F.col("ref").alias("right_ref"), (F.col("rank") - 1).alias("_i"))
+    sizes = known.groupBy("grp").agg(F.count("*").alias("_m"))
+    before = Window.orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)  # over groups, not rows
+    sizes = sizes.select("grp", "_m", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_a"), F.sum("_m").over(Window.partitionBy(F.lit(1))).alias("_all"))
+    places = placed.join(sizes, "grp").select("right_ref", (F.col("_a") + F.col("_i")).alias("_place"))
+    total = sizes.agg(F.max("_all").alias("_total"))
+    asked = left.where("ref is not null and grp is not null").select(F.col("ref").alias("left_ref"), "grp").distinct()
+    asked = asked.join(sizes.drop("_all"), "grp", "left").fillna(0, ["_m", "_a"]).crossJoin(F.broadcast(total))  # one row
+
+    def take(n: int, among: Column, salt: int, place: Callable[[Column], Column], a: Column, b: Column) -> DataFrame:
+        rows = asked.where(among > 0).withColumn("_k", F.explode(F.sequence(F.lit(0), F.least(F.lit(n), among).cast("int") - 1)))
+        at = F.pmod(_start("left_ref", among, seed + salt) + F.col("_k"), among)
+        return rows.select("left_ref", place(at).alias("_place"), pair_label(a, b).alias("label")).join(places, "_place").select("left_ref", "right_ref", "label")
+
+    a, m, same, other = F.col("_a"), F.col("_m"), F.lit(0), F.lit(1)
+    out = take(positives, m, 1, lambda at: a + at, same, same) if positives else None
+    if negatives:
+        more = take(negatives, F.col("_total") - m, 2, lambda at: F.when(at < a, at).otherwise(at + m), same, other)
+        out = more if out is None else out.unionByName(more)
+    return out
+
+
 def grouped_split(rows: DataFrame, group: str, train: float = 0.7, val: float = 0.15, seed: int = 42, cells: int = 4096) -> DataFrame:
     """(group, n, split): whole groups in shuffled order go to train until it has int(train * total) rows, then to val
     until int(val * total), the rest to test. The running count is a prefix sum over hash cells first and inside each

@@ -127,14 +127,17 @@ def rule_score(weights: dict[str, float] | None = None, prefix: str = "") -> Col
 
 
 def rank_within(df: DataFrame, group: str, score: str, tie: str) -> DataFrame:
-    """df with the rank of every row in its group, best score first, nulls last, ties to the smaller `tie`.
+    """df with the rank of every row in its group, best score first, nulls last, ties to the smaller `tie`; rows without a
+    group are a group of their own.
 
     Rows are range-partitioned by group, score and tie, so a hot group spreads over many tasks; each part is numbered by
     itself and starts where the parts before it end. Only (group, part) counts are put in order across parts.
     """
-    part, ahead = fresh(df.columns, "_part"), fresh(df.columns, "_ahead")
+    part, ahead, other = fresh(df.columns, "_part"), fresh(df.columns, "_ahead"), fresh(df.columns, "_other")
     ranged = materialize(df.repartitionByRange(F.col(group), F.desc(score), F.col(tie)).withColumn(part, F.spark_partition_id()))
     before = Window.partitionBy(group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = ranged.where(F.col(group).isNotNull()).groupBy(group, part).agg(F.count("*").alias(ahead)).withColumn(ahead, F.coalesce(F.sum(ahead).over(before), F.lit(0)))
+    sizes = ranged.groupBy(group, part).agg(F.count("*").alias(ahead)).withColumn(ahead, F.coalesce(F.sum(ahead).over(before), F.lit(0)))
+    sizes = sizes.select(F.col(group).alias(other), F.col(part).alias(other + "_part"), ahead)
     here = F.row_number().over(Window.partitionBy(group, part).orderBy(F.desc(score), tie))
-    return ranged.join(sizes, [group, part]).withColumn("rank", here + F.col(ahead)).drop(part, ahead)
+    at = ranged.join(sizes, ranged[group].eqNullSafe(sizes[other]) & (ranged[part] == sizes[other + "_part"]))
+    return at.withColumn("rank", here + F.col(ahead)).drop(part, ahead, other, other + "_part")

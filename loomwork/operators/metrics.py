@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.session import fresh, materialize
 
-def ndcg(df: DataFrame, group: list[str], relevance: str, score: str, order: str | None = None, k: int = 5) -> DataFrame:
+
+def ndcg(df: DataFrame, group: list[str], relevance: str, score: str, order: str | None = None, k: int = 5, weight: str | None = None) -> DataFrame:
     """(group, items, ndcg) of groups with at least two items: linear gain, discount 1/log2(rank + 1), tied scores share
-    the mean gain of their places, 0 if the ideal gain is 0. `order` is not needed, since ties share.
+    the mean gain of their places, 0 if the ideal gain is 0. `order` is not needed, since ties share. With weight a row
+    stands for so many.
 
     Rows are first summed by distinct score, and for the ideal by distinct relevance; only those are put in order, so a
     group with a third of all rows is no larger a window than its number of different scores.
     """
-    rows = df.where(F.col(relevance).isNotNull() & F.col(score).isNotNull()).select(*group, F.col(relevance).cast("double").alias("_rel"), F.col(score).cast("double").alias("_s"))
+    rows = df.where(F.col(relevance).isNotNull() & F.col(score).isNotNull()).select(*group, F.col(relevance).cast("double").alias("_rel"), F.col(score).cast("double").alias("_s"), (F.col(weight) if weight else F.lit(1)).alias("_w"))
 
     def gained(value: str, gain: Column) -> DataFrame:
-        per = rows.groupBy(*group, value).agg(F.count("*").alias("_n"), F.avg("_rel").alias("_a"))
+        per = rows.groupBy(*group, value).agg(F.sum("_w").alias("_n"), (F.sum(F.col("_rel") * F.col("_w")) / F.sum("_w")).alias("_a"))
         ahead = F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         per = per.withColumn("_b", ahead)
         places = sum((F.when((F.col("_b") < r) & (F.col("_b") + F.col("_n") >= r), 1 / F.log2(F.lit(r + 1.0))).otherwise(0.0) for r in range(1, k + 1)), F.lit(0.0))
@@ -39,33 +42,44 @@ def mrr(df: DataFrame, group: list[str], relevance: str, score: str, order: str,
     return counted.select(*group, "items", F.when(F.col("_f").isNull(), F.lit(0.0)).otherwise(F.lit(1.0) / (F.col("_n") + 1)).alias("rr"))
 
 
-def confusion(df: DataFrame, group: list[str], relevance: str, score: str, threshold: float = 0.5) -> DataFrame:
+def confusion(df: DataFrame, group: list[str], relevance: str, score: str, threshold: float = 0.5, weight: str | None = None) -> DataFrame:
     """(group, n, precision, recall, f1); divisions by zero give 0."""
     hit, said = F.col(relevance) >= threshold, F.col(score) >= threshold
+    many = lambda c: F.sum(F.when(c, F.col(weight) if weight else F.lit(1)).otherwise(F.lit(0)))
     per = df.where(F.col(relevance).isNotNull() & F.col(score).isNotNull()).groupBy(*group).agg(
-        F.count("*").alias("n"), F.count_if(hit & said).alias("_tp"), F.count_if(~hit & said).alias("_fp"), F.count_if(hit & ~said).alias("_fn")
+        many(F.lit(True)).alias("n"), many(hit & said).alias("_tp"), many(~hit & said).alias("_fp"), many(hit & ~said).alias("_fn")
     )
     safe = lambda a, b: F.when(b == 0, F.lit(0.0)).otherwise(a / b)
     tp, fp, fn = F.col("_tp"), F.col("_fp"), F.col("_fn")
     return per.select(*group, "n", safe(tp, tp + fp).alias("precision"), safe(tp, tp + fn).alias("recall"), safe(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
-def roc_auc(df: DataFrame, group: list[str], relevance: str, score: str, threshold: float = 0.5) -> DataFrame:
+def roc_auc(df: DataFrame, group: list[str], relevance: str, score: str, threshold: float = 0.5, weight: str | None = None) -> DataFrame:
     """(group, auc): by ranks, ties at their mean, null if a group has one class only. Distinct scores are counted
     before they are ranked, so a group's window holds scores instead of rows."""
     rows = df.where(F.col(relevance).isNotNull() & F.col(score).isNotNull())
-    per = rows.groupBy(*group, F.col(score).alias("_s")).agg(F.count_if(F.col(relevance) >= threshold).alias("_p"), F.count_if(F.col(relevance) < threshold).alias("_n"))
+    per = rows.groupBy(*group, F.col(score).alias("_s")).agg(*[F.sum(F.when(c, F.col(weight) if weight else F.lit(1)).otherwise(F.lit(0))).alias(x) for c, x in ((F.col(relevance) >= threshold, "_p"), (F.col(relevance) < threshold, "_n"))])
     below = Window.partitionBy(*group).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("_b", F.coalesce(F.sum("_n").over(below), F.lit(0)))
     out = per.groupBy(*group).agg(F.sum("_p").alias("_p"), F.sum("_n").alias("_n"), F.sum(F.col("_p") * (F.col("_b") + F.col("_n") / F.lit(2.0))).alias("_w"))
     return out.select(*group, F.when((F.col("_p") > 0) & (F.col("_n") > 0), F.col("_w") / (F.col("_p") * F.col("_n"))).alias("auc"))
 
 
-def min_max(score: str, group: list[str]) -> Column:
-    """Scaled to 0..1 inside a group; 0.5 where all are equal."""
-    w = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(1))
-    low, high = F.min(score).over(w), F.max(score).over(w)
-    return F.when(high == low, F.lit(0.5)).otherwise((F.col(score) - low) / (high - low))
+def min_max(df: DataFrame, score: str, group: list[str], to: str = "scaled") -> DataFrame:
+    """df with the score scaled to 0..1 inside its group (without groups: over the whole table); 0.5 where all are equal. Two
+    numbers a group are aggregated and joined back, so no group is one task's work; a group may be null."""
+    keys = [fresh(df.columns, f"_key{i}") for i in range(len(group))]
+    low, high = fresh(df.columns, "_low"), fresh(df.columns, "_high")
+    ends = df.groupBy(*[F.col(g).alias(k) for g, k in zip(group, keys, strict=True)]).agg(F.min(score).alias(low), F.max(score).alias(high))
+    if group:
+        same = F.lit(True)
+        for g, k in zip(group, keys, strict=True):
+            same = same & df[g].eqNullSafe(ends[k])
+        rows = df.join(ends, same, "left")
+    else:
+        rows = df.crossJoin(F.broadcast(ends))  # one row
+    value = F.when(F.col(high) == F.col(low), F.lit(0.5)).otherwise((F.col(score) - F.col(low)) / (F.col(high) - F.col(low)))
+    return rows.withColumn(to, value).drop(low, high, *keys)
 
 
 def clip(c: Column) -> Column:
@@ -78,8 +92,13 @@ def grade(label: Column) -> Column:
 
 
 def metrics_by(df: DataFrame, by: list[str], query: str, relevance: str, score: str, order: str) -> DataFrame:
-    """All metrics for each model and label source, never blended."""
-    out = confusion(df, by, relevance, score).join(roc_auc(df, by, relevance, score), by, "left")
-    n = ndcg(df, [*by, query], relevance, score, order).groupBy(*by).agg(F.avg("ndcg").alias("ndcg5"))
-    r = mrr(df, [*by, query], relevance, score, order).groupBy(*by).agg(F.avg("rr").alias("mrr"))
+    """All metrics for each model and label source, never blended. The rows are reduced once, to how often a query has a score
+    and a relevance; what the metrics need is derived from that written table."""
+    rows = df.where(F.col(relevance).isNotNull() & F.col(score).isNotNull())
+    keys = [*by, query]
+    cells = materialize(rows.groupBy(*keys, F.col(relevance).alias("_rel"), F.col(score).alias("_s")).agg(F.count("*").alias("_w")))
+    pooled = cells.groupBy(*by, "_rel", "_s").agg(F.sum("_w").alias("_w"))
+    out = confusion(pooled, by, "_rel", "_s", weight="_w").join(roc_auc(pooled, by, "_rel", "_s", weight="_w"), by, "left")
+    n = ndcg(cells, keys, "_rel", "_s", weight="_w").groupBy(*by).agg(F.avg("ndcg").alias("ndcg5"))
+    r = mrr(rows, keys, relevance, score, order).groupBy(*by).agg(F.avg("rr").alias("mrr"))
     return out.join(n, by, "left").join(r, by, "left")

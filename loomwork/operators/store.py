@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +49,30 @@ def flatten_metrics(df: DataFrame, keys: list[str], metrics: list[str]) -> DataF
     return df.select(*keys, F.explode(pairs).alias("metric", "value")).where("value is not null")
 
 
+def source_metrics(df: DataFrame, source: str, metrics: list[str]) -> DataFrame:
+    """(metric, value) named source__metric, without the ones that could not be worked out (null)."""
+    return flatten_metrics(df, [source], metrics).select(F.concat_ws("__", source, "metric").alias("metric"), "value")
+
+
+def log_run(runs: str, name: str, model_type: str, dataset_version: str, features: list[str], hyperparameters: dict, metrics: DataFrame, commit: str | None = None) -> DataFrame:
+    """Appends one run to the Parquet table at `runs` and returns its row: who, on what, with which features and parameters, and
+    the metrics of source_metrics as a map. Earlier runs are never touched."""
+    spark = metrics.sparkSession
+    kept = metrics.where("value is not null").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("metrics"))
+    run_id = uuid.uuid4().hex
+    about = [F.lit(x).cast("string") for x in (run_id, name, model_type, dataset_version)]
+    row = kept.select(
+        *[c.alias(n) for c, n in zip(about, ("run_id", "name", "model_type", "dataset_version"), strict=True)],
+        F.array(*map(F.lit, features)).cast("array<string>").alias("features"),
+        F.lit(json.dumps(hyperparameters, sort_keys=True)).alias("hyperparameters"),
+        "metrics",
+        F.lit(commit).cast("string").alias("git_commit"),
+        F.current_timestamp().alias("logged_at"),
+    )
+    row.write.mode("append").parquet(runs)
+    return spark.read.schema(row.schema).parquet(runs).where(F.col("run_id") == run_id)
+
+
 def update_values(df: DataFrame, new: DataFrame, key: str, column: str) -> DataFrame:
     """df with `column` replaced where new(key, column) has a row for the key, null included; new holds a key once."""
     other = new.select(F.col(key).alias("_k"), F.col(column).alias("_v"), F.lit(True).alias("_hit"))

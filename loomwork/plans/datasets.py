@@ -108,13 +108,24 @@ def limit_pairs(spark, d):
     return p.orderBy(B.hash_order("resume_id", "job_id"), "resume_id", "job_id").limit(500)
 
 
-@_add("pair_generation", "select m.resume_id, m.job_id, max(case when r.k = j.k then 1 else 0 end) as same from (select distinct resume_id, job_id from matches where resume_id is not null) m join (select id, file_type k from resumes) r on r.id = m.resume_id join (select id, case when source = 'uploaded' then 'pdf' else 'docx' end k from jobs) j on j.id = m.job_id group by all")
+_PAIR_START = lambda seed, among: f"(cast('0x' || substr(md5('{seed}|' || l.ref), 1, 8) as bigint) % {among})"
+
+
+@_add("pair_generation", f"""with l as (select id ref, file_type grp from resumes where file_type is not null),
+    r as (select distinct id ref, case source when 'uploaded' then 'pdf' else 'docx' end grp from jobs where source is not null),
+    g as (select grp, count(*) m from r group by grp), gg as (select grp, m, coalesce(sum(m) over (order by grp rows between unbounded preceding and 1 preceding), 0) a, sum(m) over () n from g),
+    p as (select r.ref, a + row_number() over (partition by r.grp order by md5('42|' || r.ref) desc, r.ref) - 1 place from r join gg on gg.grp = r.grp),
+    q as (select distinct l.ref, coalesce(gg.m, 0) m, coalesce(gg.a, 0) a, (select sum(m) from g) n from l left join gg on gg.grp = l.grp),
+    k as (select unnest(range(2)) k),
+    pos as (select l.ref, l.a + ({_PAIR_START(43, 'l.m')} + k) % l.m place, cast(0.8 as double) label from q l, k where k < l.m),
+    oth as (select l.ref, l.a, l.m, ({_PAIR_START(44, '(l.n - l.m)')} + k) % (l.n - l.m) v from q l, k where k < l.n - l.m),
+    neg as (select ref, case when v < a then v else v + m end place, cast(0.2 as double) label from oth)
+    select u.ref as left_ref, p.ref as right_ref, u.label from (select * from pos union all select * from neg) u join p on p.place = u.place""")
 def pair_generation(spark, d):
-    """Candidate pairs marked by whether both sides share a group; the pairs come from an equi-join, not a product."""
-    m = load(spark, d, "matches").where("resume_id is not null").select("resume_id", "job_id").distinct()
-    r = load(spark, d, "resumes").select(F.col("id").alias("resume_id"), F.col("file_type").alias("a"))
-    j = load(spark, d, "jobs").select(F.col("id").alias("job_id"), F.when(F.col("source") == "uploaded", "pdf").otherwise("docx").alias("b"))
-    return m.join(r, "resume_id").join(j, "job_id").select("resume_id", "job_id", F.when(F.col("a") == F.col("b"), 1).otherwise(0).cast("int").alias("same"))
+    """Two jobs of each resume's own group and two of others, labelled; groups stand in for occupations."""
+    left = load(spark, d, "resumes").select(F.col("id").alias("ref"), F.col("file_type").alias("grp"))
+    right = load(spark, d, "jobs").where("source is not null").select(F.col("id").alias("ref"), F.when(F.col("source") == "uploaded", "pdf").otherwise("docx").alias("grp"))
+    return B.generate_pairs(left, right)
 
 
 _GRAPH = """with recursive e as (select distinct resume_id a, job_id b from training_labels where resume_id is not null and job_id is not null),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.operators import metrics as M
-from loomwork.operators.store import flatten_metrics
+from loomwork.operators.store import flatten_metrics, source_metrics
 from loomwork.plans.datasets import _LABELS, labels
 from loomwork.tables import load
 
@@ -86,9 +86,16 @@ def sink_metric_flatten(spark, d):
     return flatten_metrics(rows, ["src"], ["precision", "recall", "f1"]).withColumn("value", F.round("value", 6))
 
 
+@_add("sink_experiment_metrics", f"with {_X}, {_CONF} select src || '__' || unnest(['precision', 'recall', 'f1']) as metric, round(unnest([p, r, f]), 6) as value from pr where src is not null")
+def sink_experiment_metrics(spark, d):
+    """Metrics of a run under the names an experiment log keeps."""
+    rows = M.confusion(ranked(spark, d).where("src is not null"), ["src"], "rel", "sc")
+    return source_metrics(rows, "src", ["precision", "recall", "f1"]).withColumn("value", F.round("value", 6))
+
+
 @_add("math_minmax", f"with {_X} select i, round(case when max(sc) over (partition by q) = min(sc) over (partition by q) then 0.5 else (sc - min(sc) over (partition by q)) / (max(sc) over (partition by q) - min(sc) over (partition by q)) end, 6) as scaled from x")
 def math_minmax(spark, d):
-    return ranked(spark, d).select("i", F.round(M.clip(M.min_max("sc", ["q"])), 6).alias("scaled"))
+    return M.min_max(ranked(spark, d), "sc", ["q"]).select("i", F.round(M.clip(F.col("scaled")), 6).alias("scaled"))
 
 
 @_add("math_grade", f"with {_LABELS} select id, cast(least(greatest(round_even(label * 4, 0), 0), 4) as int) as grade from lb where label is not null")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,15 +81,16 @@ def join_fuzzy_term(spark, d):
     return K.normalize_skills(load(spark, d, "normalization_results"), terms(spark, d), partners(spark, d))
 
 
-_CHUNK_VECS = "(select id, any_value(cast(embedding as double[])) e from text_embeddings where embedding is not null and embedding_model = 'minilm-384-a' and entity_type = 'job_responsibility' group by id)"
-_SKILL_VECS = "(select canonical_name item, cast(embedding as double[]) e from skills where embedding is not null)"
-_NORM = "sqrt(list_sum(list_transform({0}, lambda x: x * x)))"
-_KNN = f"""q as (select id, e, {_NORM.format('e')} n from {_CHUNK_VECS}), b as (select item, e, {_NORM.format('e')} n from {_SKILL_VECS}),
-s as (select q.id, b.item, list_inner_product(list_transform(q.e, lambda x: x / q.n), list_transform(b.e, lambda x: x / b.n)) v from q, b where q.n > 0 and b.n > 0)"""
+_CHUNK_VECS = """(select id, any_value(cast(embedding as double[384])) e from text_embeddings
+    where embedding is not null and embedding_model = 'minilm-384-a' group by id)"""
+_SKILL_VECS = "(select canonical_name item, cast(embedding as double[384]) e from skills where embedding is not null)"
+_KNN = f"""q as (select id, e, sqrt(array_inner_product(e, e)) n from {_CHUNK_VECS}),
+b as (select item, e, sqrt(array_inner_product(e, e)) n from {_SKILL_VECS}),
+s as (select q.id, b.item, array_inner_product(q.e, b.e) / (q.n * b.n) v from q, b where q.n > 0 and b.n > 0)"""
 
 
 def _queries_and_base(spark, d):
-    q = load(spark, d, "text_embeddings").where("embedding is not null and embedding_model = 'minilm-384-a' and entity_type = 'job_responsibility'")
+    q = load(spark, d, "text_embeddings").where("embedding is not null and embedding_model = 'minilm-384-a'")  # the model of the skills
     q = q.dropDuplicates(["id"]).select(F.col("id").alias("query"), F.col("embedding").alias("vec"))
     return q, load(spark, d, "skills").where("embedding is not null").select(F.col("canonical_name").alias("item"), F.col("embedding").alias("vec"))
 
@@ -98,16 +101,23 @@ def knn_topk(spark, d):
     return K.knn(q, b, 3, -1.0).select("query", "item", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("bigint").alias("rank"))
 
 
-@_add("knn_argmax_floor", f"with {_KNN} select id as query, item, round(v, 6) as similarity from s where v >= 0.1 qualify row_number() over (partition by id order by v desc, item) = 1")
+@_add("knn_argmax_floor", f"with {_KNN} select id as query, item, round(v, 6) as similarity from s where v >= 0.5 qualify row_number() over (partition by id order by v desc, item) = 1")
 def knn_argmax_floor(spark, d):
-    """One nearest name above a floor (here 0.1, vectors of the tables lie wide apart)."""
+    """One nearest name, none below the floor of the occupation inference."""
     q, b = _queries_and_base(spark, d)
-    return K.knn(q, b, 1, 0.1).select("query", "item", F.round("similarity", 6).alias("similarity"))
+    return K.infer_occupation(q, b).select("query", "item", F.round("similarity", 6).alias("similarity"))
 
 
 @_add("anti_blocklist", f"""with {_TERMS}, {_PARTNERS}, g as (select distinct raw_text, canonical_name c from normalization_results where raw_text is not null and canonical_name is not null)
     select raw_text, c as canonical from g where not exists (select 1 from pb join tm on tm.canonical = pb.skill_b where pb.skill_a = g.c and {_JAC(S.norm_term('g.raw_text'), 'tm.term')} >= 0.75)""")
 def anti_blocklist(spark, d):
+    stored = load(spark, d, "normalization_results").where("raw_text is not null and canonical_name is not null").select("raw_text", F.col("canonical_name").alias("canonical")).distinct()
+    return K.drop_blocked(stored, terms(spark, d), partners(spark, d), sequence=False)
+
+
+@_add("anti_blocklist_sequence")
+def anti_blocklist_sequence(spark, d):
+    """The same with the sequence ratio, which SQL lacks."""
     stored = load(spark, d, "normalization_results").where("raw_text is not null and canonical_name is not null").select("raw_text", F.col("canonical_name").alias("canonical")).distinct()
     return K.drop_blocked(stored, terms(spark, d), partners(spark, d))
 
@@ -127,13 +137,17 @@ def lookup_pk(spark, d):
     return m.join(r, "resume_id").join(j, "job_id").select("id", "original_filename", "title")
 
 
-@_add("vec_cosine", f"with {_KNN.replace('b as', 'bb as').split('s as (')[0].rstrip().rstrip(',')} select p.id, round(list_inner_product(p.e, q2.e) / (p.n * q2.n), 6) as cosine from (select t.id, t.entity_id, t.chunk_index, q.e, q.n from q join (select distinct id, entity_id, chunk_index from text_embeddings) t on t.id = q.id) p join (select t.id, t.entity_id, t.chunk_index, q.e, q.n from q join (select distinct id, entity_id, chunk_index from text_embeddings) t on t.id = q.id) q2 on q2.entity_id = p.entity_id and q2.chunk_index = p.chunk_index + 1 where p.n > 0 and q2.n > 0")
+@_add("vec_cosine", """with t as (select id, entity_type, entity_id, chunk_index, embedding_model m, any_value(cast(embedding as double[384])) e from text_embeddings
+    where embedding is not null group by all), u as (select *, sqrt(array_inner_product(e, e)) n from t)
+    select a.id, b.id as next_id, round(array_inner_product(a.e, b.e) / (a.n * b.n), 6) as cosine from u a join u b on a.entity_type = b.entity_type
+    and a.entity_id = b.entity_id and a.chunk_index + 1 = b.chunk_index and a.m = b.m where a.n > 0 and b.n > 0""")
 def vec_cosine(spark, d):
-    """Cosine of neighbouring chunks of one job."""
-    rows = load(spark, d, "text_embeddings").where("embedding is not null and embedding_model = 'minilm-384-a' and entity_type = 'job_responsibility'").dropDuplicates(["id"])
-    rows = rows.select("id", "entity_id", "chunk_index", "embedding").where(V.norm("embedding") > 0)
-    other = rows.select("entity_id", (F.col("chunk_index") - 1).alias("chunk_index"), F.col("embedding").alias("b"))
-    return rows.join(other, ["entity_id", "chunk_index"]).select("id", F.round(V.cosine("embedding", "b"), 6).alias("cosine"))
+    """Cosine of neighbouring chunks of one resume or job, where one model made both."""
+    rows = load(spark, d, "text_embeddings").where("embedding is not null").dropDuplicates(["id"])
+    rows = rows.select("id", "entity_type", "entity_id", "chunk_index", F.col("embedding_model").alias("m"), "embedding").where(V.norm("embedding") > 0)
+    other = rows.select(F.col("id").alias("next_id"), "entity_type", "entity_id", (F.col("chunk_index") - 1).alias("chunk_index"), "m", F.col("embedding").alias("b"))
+    both = rows.join(other, ["entity_type", "entity_id", "chunk_index", "m"])
+    return both.select("id", "next_id", F.round(V.cosine("embedding", "b"), 6).alias("cosine"))
 
 
 # --- features ---------------------------------------------------------------------------------------------------------
@@ -259,9 +273,9 @@ def feat_responsibility(spark, d):
 def feat_doc_cosine(spark, d):
     """Whole documents: the mean of a document's chunk vectors, compared by cosine."""
     v = load(spark, d, "text_embeddings").where("embedding is not null and embedding_model = 'minilm-384-a'").select("entity_id", "entity_type", "chunk_index", "embedding").distinct()
-    flat = v.select("entity_id", "entity_type", F.posexplode("embedding").alias("i", "x"))
-    mean = flat.groupBy("entity_id", "entity_type", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    doc = mean.groupBy("entity_id", "entity_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("vec"))
+    # the mean of vectors as one partially aggregated value, not one of each of their numbers
+    doc = v.groupBy("entity_id", "entity_type").agg(Summarizer.mean(array_to_vector("embedding")).alias("m"))
+    doc = doc.select("entity_id", "entity_type", vector_to_array("m").alias("vec"))
     side = lambda kind, c: doc.where(F.col("entity_type") == kind).select(F.col("entity_id").alias(c), V.unit("vec").alias(c + "_v"))
     rows = pairs(spark, d).join(side("resume_experience", "cand"), "cand").join(side("job_responsibility", "job"), "job")
     return rows.where("cand_v is not null and job_v is not null").select("cand", "job", F.round(V.dot("cand_v", "job_v"), 6).alias("similarity"))
