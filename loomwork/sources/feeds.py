@@ -26,10 +26,12 @@ def labelled_pairs(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def hot_technologies(spark: SparkSession, path: str, rename: dict[str, str] | None = None, source: str = "feed") -> DataFrame:
-    """(name, category) of the rows flagged Y: cleaned names, the first category of a name by code wins, sorted."""
+    """(name, category) of the rows flagged Y: cleaned names, sorted. A name with several categories keeps that of its smallest
+    occupation code, then of its smallest element id, whatever order and partitions the file is read in."""
     schema = "code string, title string, example string, element_id string, element string, hot string, in_demand string"
-    rows = read_csv(spark, path, schema).where("hot = 'Y'").withColumn("_o", F.monotonically_increasing_id())
-    named = rows.select(T.clean_name("example", rename).alias("name"), T.category_key("element", source).alias("category"), "_o")
+    rows = read_csv(spark, path, schema).where("hot = 'Y'")
+    place = F.struct("code", "element_id", "element")
+    named = rows.select(T.clean_name("example", rename).alias("name"), T.category_key("element", source).alias("category"), place.alias("_o"))
     return named.groupBy("name").agg(F.min_by("category", "_o").alias("category")).orderBy("name")
 
 
@@ -38,8 +40,16 @@ def occupations(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, "code string, title string").select("code", "title", F.split_part("code", F.lit("-"), F.lit(1)).alias("major_group"))
 
 
-def profiles(spark: SparkSession, path: str) -> DataFrame:
-    """(ref, profile) of a JSON file that maps refs to profiles."""
+def write_profiles(rows: DataFrame, path: str) -> None:
+    """Writes rows(ref, profile) as JSON, one profile a line, by all tasks at once; null fields are written, too."""
+    rows.select("ref", "profile").write.option("ignoreNullFields", "false").mode("overwrite").json(path)
+
+
+def profiles(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(ref, profile) of profiles as write_profiles leaves them (lines), which are read in splits, or of a small JSON file that
+    maps refs to profiles, which is one task's work."""
+    if lines:
+        return spark.read.schema(f"ref string, profile {PROFILE}").json(path)
     raw = spark.read.text(path, wholetext=True)
     table = F.from_json("value", f"map<string, {PROFILE}>")
     return raw.select(F.explode(table).alias("ref", "profile"))
