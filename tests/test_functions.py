@@ -95,3 +95,41 @@ def test_sequence_ratio_depends_on_order(spark):
 def test_token_jaccard(spark):
     df = spark.createDataFrame([("react native", "react"), ("a b", "b a"), ("", "a")], "a string, b string")
     assert [r[0] for r in df.select(similarity.token_jaccard("a", "b")).collect()] == [0.5, 1.0, 0.0]
+
+
+def test_redaction_at_any_depth(spark):
+    from loomwork.functions.redaction import MASK, MaskingFilter, mask, redacted
+
+    schema = "id int, raw_text string, p struct<text: string, n: int, l: array<struct<Text: string, k: int>>>, m map<string, string>, a array<string>"
+    df = spark.createDataFrame([(1, "body", ("t", 2, [("x", 3), (None, 4)]), {"text": "t", "k": "v"}, ["s"]), (2, None, None, None, None)], schema)
+    got = [r.asDict(True) for r in redacted(df).orderBy("id").collect()]
+    assert got[0] == {"id": 1, "raw_text": MASK, "p": {"text": MASK, "n": 2, "l": [{"Text": MASK, "k": 3}, {"Text": None, "k": 4}]}, "m": {"text": MASK, "k": "v"}, "a": ["s"]}
+    assert got[1] == {"id": 2, "raw_text": None, "p": None, "m": None, "a": None}
+    assert mask({"a": [{"raw_text": "x", "b": ({"text": "y"},)}]}) == {"a": [{"raw_text": MASK, "b": ({"text": MASK},)}]}
+    import logging
+
+    record = logging.LogRecord("x", 20, "f", 1, {"raw_text": "x"}, None, None)
+    assert MaskingFilter().filter(record) and record.msg == {"raw_text": MASK}
+
+
+def test_strict_schema_and_failures(spark):
+    from loomwork.functions import structured as S
+
+    schema = {"type": "object", "properties": {"a": {"type": "string"}, "b": {"$ref": "#/$defs/B"}}, "required": ["a"], "$defs": {"B": {"properties": {"c": {"type": "array", "items": {"type": "object"}}}, "additionalProperties": True}}}
+    strict = S.strict_schema(schema)
+    assert strict["required"] == ["a", "b"] and strict["additionalProperties"] is False and schema["required"] == ["a"]
+    assert strict["$defs"]["B"] == {"properties": {"c": {"type": "array", "items": {"type": "object", "additionalProperties": False}}}, "additionalProperties": True, "required": ["c"]}
+
+    class Model:
+        name = "echo"
+
+        def generate(self, prompt, schema):
+            if prompt == "bad":
+                raise ValueError("no answer")
+            return {"said": prompt, "keys": sorted(schema["properties"])}
+
+    df = spark.createDataFrame([(1, "hi"), (2, "bad"), (3, None), (4, "")], "k int, prompt string")
+    rows = S.generate(df, "k", "prompt", Model, schema)
+    got = {r["k"]: (r["answer"], r["error"]) for r in rows.collect()}
+    assert got[1] == ('{"said": "hi", "keys": ["a", "b"]}', None) and got[2] == (None, "ValueError: no answer") and got[3][1] == "no text" and got[4][1] is None
+    assert {r["error"]: r["rows"] for r in S.failures(rows).collect()} == {None: 2, "ValueError": 1, "no text": 1}

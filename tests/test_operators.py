@@ -108,6 +108,38 @@ def test_knn_paths_agree(spark):
         assert got == [("q", "a", 1), ("q", "b", 2)]
 
 
+def test_knn_in_blocks_equals_broadcast(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    make = lambda n, c: spark.createDataFrame([(f"{c}{i:03d}", rng.standard_normal(6 if i % 7 else 4).round(1).tolist()) for i in range(n)], f"{'query' if c == 'q' else 'item'} string, vec array<double>")
+    q, b = make(90, "q"), make(130, "b")
+    a, c = ([(r["query"], r["item"], r["rank"], round(r["similarity"], 9)) for r in K.knn(q, b, 4, 0.1, most).orderBy("query", "rank").collect()] for most in (1000, 20))
+    assert a == c and len(a) > 300
+    assert K.knn(q.limit(0), b, 2, 0.1, 20).count() == 0 and K.infer_occupation(q, b, 0.99).count() < 90
+
+
+def test_fuzzy_candidates_lose_none(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(1, 16)))
+    left, right = sorted({word() for _ in range(70)} | {"ab ab", "abcabcabcabc"}), sorted({word() for _ in range(90)} | {"axbxcxdx", "abcd"})
+    for t in (0.6, 0.7, 0.8):
+        got = K.fuzzy_candidates(spark.createDataFrame([(x, x) for x in left], "raw_text string, norm string"), spark.createDataFrame([(x, x) for x in right], "term string, canonical string"), t)
+        want = {(a, b) for a in left for b in right if SequenceMatcher(None, a, b).ratio() >= t}
+        assert want - {(r["norm"], r["term"]) for r in got.collect()} == set()
+
+
+def test_blocklist_by_tokens_and_sequence(spark):
+    terms = spark.createDataFrame([("react native", "React Native"), ("react", "React")], "term string, canonical string")
+    partners = spark.createDataFrame([("React", "React Native")], "skill_a string, skill_b string")
+    said = spark.createDataFrame([("reactnative", "React"), ("native react", "React"), ("reac", "React")], "raw_text string, canonical string")
+    assert {r["raw_text"] for r in K.drop_blocked(said, terms, partners).collect()} == {"reac"}
+    assert {r["raw_text"] for r in K.drop_blocked(said, terms, partners, sequence=False).collect()} == {"reac", "reactnative"}
+
+
 def test_coverage_and_breakdown(spark):
     pairs = spark.createDataFrame([("c", "j"), ("c", "none")], "cand string, job string")
     have = spark.createDataFrame([("c", "SQL")], "cand string, skill string")
@@ -153,7 +185,9 @@ def test_tied_scores_share_gain(spark):
 def test_grade_and_minmax(spark):
     df = spark.createDataFrame([(0.125,), (0.375,), (1.2,), (-1.0,)], "v double")
     assert [r[0] for r in df.select(M.grade(F.col("v"))).collect()] == [0, 2, 4, 0]
-    assert {r[0] for r in spark.createDataFrame([(3.0,), (3.0,)], "v double").select(M.min_max("v", [])).collect()} == {0.5}
+    assert {r[1] for r in M.min_max(spark.createDataFrame([(3.0,), (3.0,)], "v double"), "v", []).collect()} == {0.5}
+    rows = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("a", 2.0), (None, 5.0), (None, 7.0), ("b", 4.0)], "g string, scaled double")
+    assert sorted((str(r["g"]), r["out"]) for r in M.min_max(rows, "scaled", ["g"], "out").collect()) == [("None", 0.0), ("None", 1.0), ("a", 0.0), ("a", 0.5), ("a", 1.0), ("b", 0.5)]
 
 
 def test_grouped_split_shares(spark):
@@ -214,7 +248,7 @@ def test_rank_of_a_hot_group(spark):
     df = spark.createDataFrame(rows, "g string, s int, t string")
     got = {r["t"]: r["rank"] for r in X.rank_within(df, "g", "s", "t").collect()}
     want = {t: k for k, (_, t) in enumerate(sorted((-s, t) for g, s, t in rows if g == "hot"), 1)}
-    assert got == want | {"b": 1, "a": 2}
+    assert got == want | {"b": 1, "a": 2, "c": 1}
 
 
 def test_ranker_pairs_all_scores_of_a_tied_group(spark):
@@ -241,3 +275,52 @@ def test_names_of_any_length_and_mark_are_found(spark):
     texts = spark.createDataFrame([(1, "CI/CD with Spring Boot"), (2, "amazon elastic container service anywhere"), (3, "net CI, CD springs"), (4, "C# and .NET"), (5, "")], "doc int, text string")
     got = {(r["doc"], r["name"]) for r in D.scan_names(texts, names, ["doc"]).collect()}
     assert got == {(1, "CI/CD"), (1, "Spring"), (1, "Spring Boot"), (2, "Amazon Elastic Container Service Anywhere"), (4, ".NET")}
+
+
+def test_recommendations_and_gaps(spark):
+    paths = spark.createDataFrame([("d", "title", "Lead of 3 teams"), ("d", "experience[0].bullets[1]", "Cut costs by 60 percent")], "doc string, ref string, text string")
+    recs = spark.createDataFrame([("d", 1, "Say how you cut 60%", "experience[0].bullets[1]"), ("d", 2, "Say 61%", "experience[0].bullets[1]"), ("d", 3, "x", "experience[9].bullets[1]"), ("d", 4, "x", "anything"), ("d", 5, "x", None), ("e", 6, "Lead of 3", "title")], "doc string, rec_id int, suggestion string, based_on string")
+    got = {r["rec_id"]: r["drop_reason"] for r in E.validate_recommendations(recs, paths).collect()}
+    assert got == {1: None, 2: "fabricated number", 3: "does not resolve", 4: "unknown form", 5: "no reference", 6: "does not resolve"}
+    missing = E.validate_missing(spark.createDataFrame([("d", "SQL"), ("d", "Go")], "doc string, skill string"), spark.createDataFrame([("d", "SQL"), ("d", "SQL")], "doc string, skill string"))
+    assert {r["skill"]: r["kept"] for r in missing.collect()} == {"SQL": True, "Go": False}
+    passed = {r["doc"]: (r["statements"], r["passed"]) for r in E.explanation_passed(missing.where("kept"), E.validate_recommendations(recs.where("rec_id = 1"), paths)).collect()}
+    assert passed == {"d": (2, True)}
+
+
+def test_payload_and_template(spark):
+    paths = spark.createDataFrame([("d", f"experience[0].bullets[{k}]", f"b{k}") for k in (10, 2)] + [("d", "summary", "s"), ("d", "other", "no")], "doc string, ref string, text string")
+    got = E.payload(paths, ["summary", "experience[#].bullets[#]"]).first()["payload"]
+    assert got == '[summary] "s"\n[experience[0].bullets[2]] "b2"\n[experience[0].bullets[10]] "b10"'
+    row = spark.createDataFrame([("x", None)], "a string, b int").select(E.fill("<{a}|{b}|{a}>", {"a": F.col("a"), "b": F.col("b")}).alias("t")).first()
+    assert row["t"] == "<x||x>"
+
+
+def test_generated_pairs(spark):
+    left = spark.createDataFrame([(f"l{i}", ["a", "b", "z", None][i % 4]) for i in range(40)] + [("l0", "a")], "ref string, grp string")
+    right = spark.createDataFrame([(f"r{i:02d}", "a" if i < 30 else "b" if i < 31 else None) for i in range(35)], "ref string, grp string")
+    rows = B.generate_pairs(left, right, 3, 2).collect()
+    group = {f"r{i:02d}": "a" if i < 30 else "b" for i in range(31)}
+    assert len({(r["left_ref"], r["right_ref"]) for r in rows}) == len(rows)
+    per = {}
+    for r in rows:
+        own = ["a", "b", "z", None][int(r["left_ref"][1:]) % 4]
+        assert own is not None and (r["label"] == 0.8) == (group[r["right_ref"]] == own)
+        per.setdefault((own, r["left_ref"], r["label"]), []).append(r["right_ref"])
+    size = lambda own, label: {len(v) for k, v in per.items() if k[0] == own and k[2] == label}
+    assert (size("a", 0.8), size("a", 0.2)) == ({3}, {1}) and (size("b", 0.8), size("b", 0.2)) == ({1}, {2}) and (size("z", 0.8), size("z", 0.2)) == (set(), {2})
+    assert B.generate_pairs(left, right.limit(0)).count() == 0 and B.generate_pairs(left.limit(0), right).count() == 0
+
+
+def test_rank_keeps_rows_without_a_group(spark):
+    df = spark.createDataFrame([("g", 1.0, "a"), ("g", 2.0, "b"), (None, 5.0, "c"), (None, 6.0, "d"), ("h", None, "e")], "g string, s double, t string")
+    assert {(r["t"], r["rank"]) for r in X.rank_within(df, "g", "s", "t").collect()} == {("a", 2), ("b", 1), ("c", 2), ("d", 1), ("e", 1)}
+
+
+def test_runs_are_appended(spark, tmp_path):
+    where = str(tmp_path / "runs")
+    rows = R.source_metrics(spark.createDataFrame([("s", 0.5, None)], "src string, f1 double, auc double"), "src", ["f1", "auc"])
+    assert [tuple(r) for r in rows.collect()] == [("s__f1", 0.5)]
+    first = R.log_run(where, "one", "forest", "v1", ["a", "b"], {"trees": 3}, rows).first()
+    assert first["metrics"] == {"s__f1": 0.5} and first["features"] == ["a", "b"] and first["hyperparameters"] == '{"trees": 3}' and first["git_commit"] is None
+    assert R.log_run(where, "two", "forest", "v1", [], {}, rows.limit(0), "abc").first()["metrics"] == {} and spark.read.parquet(where).count() == 2

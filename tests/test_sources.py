@@ -73,6 +73,20 @@ def test_feeds(spark, tmp_path):
     assert got["ref"] == "r1" and got["profile"]["skills"] == ["SQL"] and got["profile"]["contact"]["name"] == "A B"
 
 
+def test_profiles_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([("r1", (("A B", None, None, None, []), None, ["SQL"]))], f"ref string, profile {feeds.PROFILE}")
+    feeds.write_profiles(rows, str(tmp_path / "p"))
+    assert feeds.profiles(spark, str(tmp_path / "p"), lines=True).collect() == rows.collect()
+
+
+def test_first_category_ignores_the_order_of_lines(spark, tmp_path):
+    head = "Code,Title,Workplace Example,Element ID,Element Name,Hot Technology,In Demand\n"
+    lines = ["2,x,Foo,9,Late,Y,N", "1,x,Foo,5,Early,Y,N", "1,x,Foo,7,Later,Y,N"]
+    for k, order in enumerate((lines, lines[::-1])):
+        (tmp_path / f"t{k}.csv").write_text(head + "\n".join(order) + "\n")
+        assert [tuple(r) for r in feeds.hot_technologies(spark, str(tmp_path / f"t{k}.csv")).collect()] == [("Foo", "feed:early")]
+
+
 def test_cache_follows_fingerprint(spark, tmp_path):
     built = []
 
