@@ -11,6 +11,10 @@ from loomwork.operators.graph import components
 from loomwork.session import materialize
 from loomwork.tables import load
 
+#: Strata that are balanced one by one.
+MAX_STRATA = 256
+
+
 def ref_key(ref: str | Column) -> Column:
     """A ref of 16 hexadecimal digits, not all zeros, once trimmed and lower-cased, as the bigint with the same bits;
     anything else is null and links nothing."""
@@ -82,17 +86,22 @@ def assign_splits(
     Groups with more than `large` of all rows (never more than 1/large of them, so they fit the driver) are placed
     greedily, largest first, where the squared deviation of stratum counts from the target is least. The others are
     ordered by hash in their main stratum and cut at the shares of what the large ones left, by prefix sums: over at
-    most `cells` hash cells a stratum first, then inside each cell, so no task ever sorts a whole stratum.
+    most `cells` hash cells a stratum first, then inside each cell, so no task ever sorts a whole stratum. The MAX_STRATA - 1
+    largest strata are balanced each by itself, all others together as one, so what reaches the driver (MAX_STRATA squared
+    numbers) doesn't grow with the labels; no row is left out.
     """
     shares = shares or {"train": 0.70, "val": 0.15, "test": 0.15}
-    rows = groups.select(F.col(group).alias("_g"), stratum.cast("string").alias("_s")).where(F.col("_g").isNotNull())
-    counts = rows.groupBy("_g", F.coalesce("_s", F.lit("")).alias("_s")).agg(F.count("*").alias("n"))
+    rows = groups.select(F.col(group).alias("_g"), F.coalesce(stratum.cast("string"), F.lit("")).alias("_s")).where(F.col("_g").isNotNull())
+    kinds = rows.groupBy("_s").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_s").limit(MAX_STRATA + 1).collect()
+    if len(kinds) > MAX_STRATA:
+        rows = rows.withColumn("_s", F.when(F.col("_s").isin([r[0] for r in kinds[: MAX_STRATA - 1]]), F.col("_s")).otherwise(F.lit("\x00rare")))
+    counts = rows.groupBy("_g", "_s").agg(F.count("*").alias("n"))
     per = counts.groupBy("_g").agg(
         F.sum("n").alias("n"), F.max_by("_s", F.struct("n", "_s")).alias("_s"), F.collect_list(F.struct("_s", "n")).alias("parts")
     )
     per = materialize(per)
     total = per.agg(F.sum("n")).first()[0] or 0
-    strata = {r[0]: r[1] for r in counts.groupBy("_s").agg(F.sum("n")).collect()}
+    strata = {r[0]: r[1] for r in counts.groupBy("_s").agg(F.sum("n")).collect()}  # at most MAX_STRATA
     names = list(shares)
     big = per.where(F.col("n") > large * total).orderBy(F.desc("n"), "_g").collect()
     held = {s: dict.fromkeys(strata, 0) for s in names}
@@ -148,6 +157,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(torn, "group_id").select("group_id", F.col("id").alias("label_id"))
 
 
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linked groups by size."""
+    sizes = _labels(spark, sf_dir).groupBy("group_id").agg(F.count("*").alias("labels"))
+    return sizes.groupBy("labels").agg(F.count("*").alias("groups"), F.min("group_id").alias("first_group"))
+
+
 def p2_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New split of every label row."""
     rows = materialize(_labels(spark, sf_dir))
@@ -170,5 +185,10 @@ t as (select group_id from g join y using (id) group by group_id having count(di
 select group_id, id as label_id from g join t using (group_id)
 """
 
-QUERIES = {"p2_found": p2_found, "p2_assigned": p2_assigned}
-ORACLE = {"p2_found": _FOUND_SQL}
+_GROUPS_SQL = (
+    _FOUND_SQL[: _FOUND_SQL.index("t as (select")].rstrip().rstrip(",")
+    + """, w as (select y.id, coalesce(g.group_id, y.id) group_id from y left join g on g.id = y.id), z as (select group_id, count(*) labels from w group by group_id)
+select labels, count(*) as groups, min(group_id) as first_group from z group by labels"""
+)
+QUERIES = {"p2_found": p2_found, "p2_assigned": p2_assigned, "p2_groups": p2_groups}
+ORACLE = {"p2_found": _FOUND_SQL, "p2_groups": _GROUPS_SQL}
