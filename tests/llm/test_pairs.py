@@ -131,6 +131,30 @@ def test_assigned_shares_and_strata(spark):
     assert G.assign_splits(df.limit(0), "g", F.col("s")).count() == 0
 
 
+def test_rare_strata_are_pooled(spark, monkeypatch):
+    monkeypatch.setattr(G, "MAX_STRATA", 4)
+    rng = random.Random(2)
+    rows = [(f"g{i // 2}", rng.choice("abc" + "defghijklm" * 1)) for i in range(2000)]
+    df = spark.createDataFrame(rows + [("gnull", None)], "g string, s string")
+    out = G.assign_splits(df, "g", F.col("s"))
+    assert out.count() == 1001 and out.agg(F.sum("rows")).first()[0] == 2001
+    share = {r["split"]: r["n"] / 2001 for r in out.groupBy("split").agg(F.sum("rows").alias("n")).collect()}
+    assert share == pytest.approx({"train": 0.70, "val": 0.15, "test": 0.15}, abs=0.03)
+
+
+def test_assigned_labels_against_sql_counts(spark, duck_small):
+    """Every label once, groups whole, shares as asked, and label kinds spread over the splits."""
+    got = G.p2_assigned(spark, "/root/testdata/sf0.001").toPandas()
+    n = duck_small.sql("select count(distinct id) from training_labels").fetchall()[0][0]
+    assert len(got) == got["label_id"].nunique() == n
+    assert got.groupby("group_id")["split"].nunique().max() == 1
+    duck_small.register("assigned", got)
+    torn = duck_small.sql(f"select count(*) from ({G.ORACLE['p2_found']}) f left join assigned a using (label_id) where a.group_id is distinct from f.group_id").fetchall()[0][0]
+    assert torn == 0
+    shares = dict(duck_small.sql(f"select split, count(*) / {n}.0 from assigned group by split").fetchall())
+    assert shares == pytest.approx({"train": 0.70, "val": 0.15, "test": 0.15}, abs=0.08)
+
+
 def test_codes_estimate_within_bounds():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((400, 384)).astype(np.float32)
