@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import text as T
 
+#: Names up to which a scan broadcasts them; some hundred bytes each.
+MAX_BROADCAST_NAMES = 200_000
+
 
 def text_lines(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """(doc, pos, text): stripped, non-blank lines numbered from 0. Map-only: blank lines go before the explode."""
@@ -169,13 +172,17 @@ def job_title(segmented: DataFrame) -> DataFrame:
 
 def scan_names(lines: DataFrame, names: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """(key, name) for every listed name that occurs as whole words in a line: runs of words, as long as the longest name,
-    meet the names in an equi-join, so neither the number of lines nor of names multiplies. A contained name is found too.
+    meet the names in an equi-join, so neither the number of lines nor of names multiplies. While the names number at most
+    MAX_BROADCAST_NAMES, which is checked, they are broadcast, and of all runs only hits leave a task. A contained name is found
+    too.
     A name with marks that terms lack (CI/CD, .NET) meets the run of its terms and must then stand in the line as it is."""
     plain = lambda c: F.regexp_replace(F.lower(c), r"\s+", " ")
     terms = F.regexp_extract_all(F.lower("name"), F.lit(T.TERM), 0)
     listed = names.select(F.array_join(terms, " ").alias("_g"), "name", F.size(terms).alias("_n")).where("_n > 0").distinct()
     marked = F.col("_g") != plain("name")
-    longest, any_marked = listed.agg(F.coalesce(F.max("_n"), F.lit(1)), F.coalesce(F.max(marked), F.lit(False))).first()
+    longest, any_marked, many = listed.agg(F.coalesce(F.max("_n"), F.lit(1)), F.coalesce(F.max(marked), F.lit(False)), F.count("*")).first()
+    if many <= MAX_BROADCAST_NAMES:
+        listed = F.broadcast(listed)
     kept = [plain(text).alias("_line")] if any_marked else []
     grams = lines.select(*key, *kept, F.explode(T.term_ngrams(text, longest)).alias("_g"))
     hits = grams.join(listed, "_g")

@@ -8,6 +8,8 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -82,13 +84,41 @@ def _drop_quietly(spark: SparkSession, path: str) -> None:
         pass
 
 
+_left: set[str] = set()
+_open: list[list[str]] = []
+
+
+def _drop_left(spark: SparkSession) -> None:
+    for path in sorted(_left):
+        _drop_quietly(spark, path)
+    _left.clear()
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes, on leaving, every table that materialize() wrote inside: `with temporary_tables(spark): query(...).write...`.
+    Results must be written or collected inside. Scopes may be nested; long sessions keep the shared folder small so."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            _drop_quietly(spark, path)
+            _left.discard(path)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: lineage ends there, and a lost executor costs
-    nothing that was finished. The table goes when the process ends, or earlier through release()."""
+    nothing that was finished. The table goes at the end of the temporary_tables() scope around it, through release(), or
+    when the process ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/loomwork-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_drop_quietly, spark, path)
+    if not _left:
+        atexit.register(_drop_left, spark)
+    _left.add(path)
+    if _open:
+        _open[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._loomwork_path = path  # noqa: SLF001
     return out
@@ -99,6 +129,7 @@ def release(df: DataFrame) -> None:
     path = getattr(df, "_loomwork_path", None)
     if path:
         _drop_quietly(df.sparkSession, path)
+        _left.discard(path)
 
 
 def fresh(columns: list[str], base: str) -> str:

@@ -117,3 +117,18 @@ def test_stream_windows(spark, tmp_path):
     q = tumbling(rows, "1 hour", "10 minutes").writeStream.format("memory").queryName("tumbled").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("tumbled").select(F.col("n")).collect()[0][0] == 1
+
+
+def test_tables_go_with_their_scope(spark, tmp_path):
+    import os
+
+    from loomwork.session import materialize, temporary_tables
+
+    path = lambda df: df._loomwork_path.removeprefix("file://")
+    with temporary_tables(spark):
+        outer = materialize(spark.range(3))
+        with temporary_tables(spark):
+            inner = materialize(outer)
+            assert inner.count() == 3
+        assert not os.path.exists(path(inner)) and outer.count() == 3
+    assert not os.path.exists(path(outer))
