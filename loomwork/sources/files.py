@@ -1,9 +1,11 @@
-"""Reading uploaded documents: text, DOCX and (through a pluggable parser) PDF, each as lines."""
+"""Reading uploaded documents: text, DOCX and PDF, each as lines; parsers can be exchanged."""
 
 from __future__ import annotations
 
 import io
 import re
+import signal
+import threading
 import xml.etree.ElementTree as ElementTree
 import zipfile
 from collections.abc import Callable, Iterator
@@ -15,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.functions import text as T
+from loomwork.sources import pdf
 
 #: Limits of an upload, of a part of a DOCX file and of the time a parser may take.
 UPLOAD_BYTES, PART_BYTES, PARSE_SECONDS = 5 << 20, 20 << 20, 10
@@ -88,16 +91,14 @@ def _bold(node: ElementTree.Element) -> bool:
 
 
 def parse_pdf(content: bytes) -> Parsed:
-    """Uses pypdf where it is installed; other parsers can be passed to read_documents."""
+    """Lines with font size and weight; other parsers can be passed to read_documents."""
     try:
-        import pypdf
-    except ImportError as e:
-        raise ParseError("no PDF parser is installed") from e
-    try:
-        pages = [page.extract_text() or "" for page in pypdf.PdfReader(io.BytesIO(content)).pages]
-    except Exception as e:  # parsers fail in many ways on damaged files
+        lines = pdf.layout(content)
+    except pdf.PdfError as e:
         raise ParseError(f"cannot open: {e}") from e
-    return parse_text("\n".join(pages).encode())
+    if not lines:
+        raise ParseError("no text")
+    return [(text, size, bold, None) for text, size, bold in lines]
 
 
 PARSERS: dict[str, Callable[[bytes], Parsed]] = {"txt": parse_text, "docx": parse_docx, "pdf": parse_pdf}
@@ -105,19 +106,39 @@ MAGIC = {"pdf": b"%PDF-", "docx": b"PK\x03\x04"}
 
 
 def parse_any(path: str, content: bytes, parsers: dict[str, Callable[[bytes], Parsed]] = PARSERS, seconds: float = PARSE_SECONDS) -> tuple[str | None, str | None, Parsed]:
-    """(kind, error, lines) by the file's extension; a parser that takes longer than `seconds` is left behind."""
+    """(kind, error, lines) by the file's extension. A parser that takes longer than `seconds` is interrupted where this runs in
+    a process's main thread, as it does in Spark's workers; elsewhere it is left behind."""
     tail = path.rpartition(".")[2].lower() if "." in path else ""
     if tail not in parsers:
         return None, f"unsupported type: {tail or 'none'}", []
     if not content.startswith(MAGIC.get(tail, b"")):
         return tail, "content does not match the type", []
-    pool = ThreadPoolExecutor(1)
     try:
-        return tail, None, pool.submit(parsers[tail], content).result(seconds)
+        return tail, None, _within(seconds, parsers[tail], content)
     except Late:
         return tail, "timed out", []
     except ParseError as e:
         return tail, str(e), []
+    except Exception as e:  # parsers fail in many ways on damaged files; one row's failure stops no other
+        return tail, f"cannot open: {type(e).__name__}", []
+
+
+def _within(seconds: float, parser: Callable[[bytes], Parsed], content: bytes) -> Parsed:
+    if threading.current_thread() is threading.main_thread():
+
+        def late(*_: object) -> None:
+            raise Late
+
+        before = signal.signal(signal.SIGALRM, late)
+        signal.setitimer(signal.ITIMER_REAL, seconds)
+        try:
+            return parser(content)
+        finally:
+            signal.setitimer(signal.ITIMER_REAL, 0)
+            signal.signal(signal.SIGALRM, before)
+    pool = ThreadPoolExecutor(1)
+    try:
+        return pool.submit(parser, content).result(seconds)
     finally:
         pool.shutdown(wait=False, cancel_futures=True)
 
