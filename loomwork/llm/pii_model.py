@@ -119,14 +119,15 @@ class Viterbi:
         """The next piece: scores (sequence, time, tags); live (time): how many sequences, longest first, still go on."""
         n, steps, _ = scores.shape
         back = np.zeros((steps, n, scores.shape[2]), np.int8)
-        at = 0
+        at, into = 0, np.ascontiguousarray(self.moves.T)
         if self.best is None:
             self.best, at = scores[:, 0] + self.moves[0], 1  # a text begins as if after O
         for t in range(at, steps):
             k = live[t]
-            total = self.best[:k, :, None] + self.moves
-            back[t, :k] = total.argmax(axis=1)
-            self.best[:k] = total.max(axis=1) + scores[:k, t]
+            total = self.best[:k, None, :] + into
+            chosen = total.argmax(axis=2)
+            back[t, :k] = chosen
+            self.best[:k] = np.take_along_axis(total, chosen[:, :, None], 2)[:, :, 0] + scores[:k, t]
         self.back.append(back)
 
     def paths(self, lengths: np.ndarray) -> list[np.ndarray]:
@@ -209,7 +210,7 @@ def windows(length: int) -> list[int]:
     return list(range(0, max(1, length - OVERLAP), step))
 
 
-def text_scores(p: dict, ids: list[np.ndarray], begin: int, stop: int, batch: int = 128) -> list[np.ndarray]:
+def text_scores(p: dict, ids: list[np.ndarray], begin: int, stop: int, batch: int = 256) -> list[np.ndarray]:
     """Scores (characters, tags) of the characters begin..stop of each text; where windows overlap, their scores are averaged
     with weights that fall towards a window's ends. begin must be the start of a window."""
     tags = len(TAGS)
@@ -252,8 +253,8 @@ def decode_texts(p: dict, texts: list[str]) -> list[list[tuple[int, int, str]]]:
     long = [[k] for k in order if len(ids[k]) > SECTION]
     short = [k for k in order if len(ids[k]) <= SECTION]
     groups = long
-    for k in short:  # texts of like length together, at most SECTION characters with all as long as the first
-        if groups is long or (len(groups[-1]) + 1) * len(ids[groups[-1][0]]) > SECTION:
+    for k in short:  # texts of like length together, at most 4 * SECTION characters with all as long as the first
+        if groups is long or (len(groups[-1]) + 1) * len(ids[groups[-1][0]]) > 4 * SECTION:
             groups = [*groups, []]
         groups[-1].append(k)
     for group in groups:
