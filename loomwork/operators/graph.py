@@ -23,22 +23,20 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     mapping = materialize(now.select(F.col("l").alias("node"), F.col("l").alias("component")).distinct())
     for _ in range(MAX_ROUNDS):
         least = now.groupBy("r").agg(F.min("l").alias("m"))
-        # the smallest label among a node's right neighbours' smallest
-        step = now.join(least, "r").groupBy("l").agg(F.min("m").alias("m"))
-        step = materialize(step.where(F.col("m") < F.col("l")))  # only what changes
-        if step.isEmpty():
-            release(step)
-            break
-        # pointer jump: the label of the label
+        # the smallest label among a node's right neighbours' smallest, and that label's own: only what changes
+        step = now.join(least, "r").groupBy("l").agg(F.min("m").alias("m")).where(F.col("m") < F.col("l"))
         jump = step.select(F.col("l").alias("m"), F.col("m").alias("m2"))
         moved = materialize(step.join(jump, "m", "left").select("l", F.coalesce("m2", "m").alias("m")))
+        if moved.isEmpty():
+            release(moved)
+            break
         after = now.join(moved, "l", "left").select(F.coalesce("m", "l").alias("l"), "r").distinct()
         # a right node with one left neighbour joins nothing any more
         alone = after.groupBy("r").agg(F.count("*").alias("n")).where("n > 1").select("r")
         after = materialize(after.join(alone, "r", "left_semi"))
         composed = mapping.join(moved.select(F.col("l").alias("component"), "m"), "component", "left")
         composed = materialize(composed.select("node", F.coalesce("m", "component").alias("component")))
-        for old in (now, mapping, step, moved):
+        for old in (now, mapping, moved):
             release(old)
         now, mapping = after, composed
     else:

@@ -49,6 +49,20 @@ def flatten_metrics(df: DataFrame, keys: list[str], metrics: list[str]) -> DataF
     return df.select(*keys, F.explode(pairs).alias("metric", "value")).where("value is not null")
 
 
+def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], value: str, order: str, decimals: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(table, outcome): existing with one row a key of incoming (the last by `order`), which replaces the stored one or is added,
+    its value rounded, halves up, to `decimals`; outcome(keys, inserted) holds 1 for new keys and 0 for known ones. A null in a
+    key makes no match, as in a unique index. Both tables have the same columns."""
+    last = incoming.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in incoming.columns if c not in keys]), order).alias("_row"))
+    last = last.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in incoming.columns if c not in keys])
+    if decimals is not None:
+        last = last.withColumn(value, F.round(value, decimals))
+    known = existing.select(*keys).distinct().withColumn("_known", F.lit(True))
+    outcome = last.select(*keys).join(known, keys, "left").select(*keys, F.when(F.col("_known"), 0).otherwise(1).alias("inserted"))
+    table = existing.join(last.select(*keys), keys, "left_anti").unionByName(last.select(*existing.columns))
+    return table, outcome
+
+
 def source_metrics(df: DataFrame, source: str, metrics: list[str]) -> DataFrame:
     """(metric, value) named source__metric, without the ones that could not be worked out (null)."""
     return flatten_metrics(df, [source], metrics).select(F.concat_ws("__", source, "metric").alias("metric"), "value")

@@ -324,3 +324,12 @@ def test_runs_are_appended(spark, tmp_path):
     first = R.log_run(where, "one", "forest", "v1", ["a", "b"], {"trees": 3}, rows).first()
     assert first["metrics"] == {"s__f1": 0.5} and first["features"] == ["a", "b"] and first["hyperparameters"] == '{"trees": 3}' and first["git_commit"] is None
     assert R.log_run(where, "two", "forest", "v1", [], {}, rows.limit(0), "abc").first()["metrics"] == {} and spark.read.parquet(where).count() == 2
+
+
+def test_upsert_tells_new_from_known(spark):
+    schema = "k string, label double, at int"
+    old = spark.createDataFrame([("a", 0.5, 1), ("b", 0.25, 1), (None, 0.1, 1)], schema)
+    new = spark.createDataFrame([("a", 0.125, 2), ("a", 0.876, 3), ("c", 1.0, 2)], schema)
+    table, outcome = R.upsert(old, new, ["k"], "label", "at", 2)
+    assert sorted(map(str, (tuple(r) for r in table.collect()))) == ["('a', 0.88, 3)", "('b', 0.25, 1)", "('c', 1.0, 2)", "(None, 0.1, 1)"]
+    assert {r["k"]: r["inserted"] for r in outcome.collect()} == {"a": 0, "c": 1}
