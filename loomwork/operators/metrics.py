@@ -91,14 +91,26 @@ def grade(label: Column) -> Column:
     return F.least(F.greatest(F.bround(label * 4, 0), F.lit(0.0)), F.lit(4.0)).cast("int")
 
 
-def metrics_by(df: DataFrame, by: list[str], query: str, relevance: str, score: str, order: str) -> DataFrame:
+def metrics_by(df: DataFrame, by: list[str], query: str, relevance: str, score: str, order: str, relevant: float = 0.5) -> DataFrame:
     """All metrics for each model and label source, never blended. The rows are reduced once, to how often a query has a score
-    and a relevance; what the metrics need is derived from that written table."""
+    and a relevance; what the metrics need is derived from that written table. The rows themselves are looked at once more,
+    for those that tie with a query's best relevant one."""
     rows = df.where(F.col(relevance).isNotNull() & F.col(score).isNotNull())
     keys = [*by, query]
-    cells = materialize(rows.groupBy(*keys, F.col(relevance).alias("_rel"), F.col(score).alias("_s")).agg(F.count("*").alias("_w")))
+    cells = materialize(rows.groupBy(*keys, F.col(relevance).alias("_rel"), F.col(score).alias("_s")).agg(F.count("*").alias("_w"), F.min(order).alias("_o")))
     pooled = cells.groupBy(*by, "_rel", "_s").agg(F.sum("_w").alias("_w"))
-    out = confusion(pooled, by, "_rel", "_s", weight="_w").join(roc_auc(pooled, by, "_rel", "_s", weight="_w"), by, "left")
+    out = confusion(pooled, by, "_rel", "_s", relevant, weight="_w").join(roc_auc(pooled, by, "_rel", "_s", relevant, weight="_w"), by, "left")
     n = ndcg(cells, keys, "_rel", "_s", weight="_w").groupBy(*by).agg(F.avg("ndcg").alias("ndcg5"))
-    r = mrr(rows, keys, relevance, score, order).groupBy(*by).agg(F.avg("rr").alias("mrr"))
-    return out.join(n, by, "left").join(r, by, "left")
+    hit = F.col("_rel") >= relevant
+    top = F.max(F.when(hit, F.col("_s"))).over(Window.partitionBy(*keys))
+    per = cells.withColumn("_m", top).groupBy(*keys).agg(
+        F.sum("_w").alias("_items"),
+        F.first("_m").alias("_m"),
+        F.sum(F.when(F.col("_s") > F.col("_m"), F.col("_w"))).alias("_higher"),
+        F.min(F.when(hit & (F.col("_s") == F.col("_m")), F.col("_o"))).alias("_f"),
+    )
+    best = per.where("_items >= 2")
+    tied = rows.join(best.where("_f is not null"), keys).where((F.col(score) == F.col("_m")) & (F.col(order) < F.col("_f"))).groupBy(*keys).agg(F.count("*").alias("_tied"))
+    rank = F.coalesce("_higher", F.lit(0)) + F.coalesce("_tied", F.lit(0)) + 1
+    r = best.join(tied, keys, "left").select(*by, F.when(F.col("_f").isNull(), F.lit(0.0)).otherwise(F.lit(1.0) / rank).alias("rr"))
+    return out.join(n, by, "left").join(r.groupBy(*by).agg(F.avg("rr").alias("mrr")), by, "left")
