@@ -26,6 +26,8 @@ FLOOR = 1 - (1 - LEAST_COSINE) / MARGIN
 #: Weight of an n-gram: its inverse document frequency to this power. Weights of overlapping spans: cosine times a power of
 #: their length, so of equally sure spans the longer one counts.
 IDF_POWER, LENGTH_POWER = 0.25, 0.10
+#: Stands for the cosine of a name that is typed exactly: more than any length can make up for.
+EXACT = 1e6
 #: Reference entries up to which the index is broadcast; beyond, n-grams meet in a join.
 MAX_BROADCAST_ENTRIES = 50_000
 #: A span has up to this many words more than the longest name, for blanks typed inside names.
@@ -125,7 +127,7 @@ class Index:
 
     def judge(self, key: str) -> tuple[str | None, float] | None:
         if key in self.exact:
-            return (next(iter(self.exact[key])) if len(self.exact[key]) == 1 else None), 2.0
+            return (next(iter(self.exact[key])) if len(self.exact[key]) == 1 else None), EXACT
         near = self.nearest(key)
         return accept(*near) if near else None
 
@@ -137,16 +139,29 @@ def accept(skill: str, cosine: float, second: float) -> tuple[str | None, float]
     return (skill if 1 - cosine <= MARGIN * (1 - second) else None), cosine
 
 
+def _by_weight(judged: list[tuple]) -> list[tuple]:
+    return sorted(judged, key=lambda s: (-s[4] * len(s[2]) ** LENGTH_POWER, s[0], s[2]))
+
+
+def taken(judged: list[tuple]) -> list[tuple[int, int]]:
+    """The words that the spans that win take."""
+    out: list[tuple[int, int]] = []
+    for i, j, *_ in _by_weight(judged):
+        if not any(i < b and a < j for a, b in out):
+            out.append((i, j))
+    return out
+
+
 def decide(judged: list[tuple[int, int, str, str | None, float]]) -> tuple[str | None, str, float]:
-    """(skill, stage, confidence) of a value from its spans (start, stop, key, skill, cosine; 2 for an exact name): of
+    """(skill, stage, confidence) of a value from its spans (start, stop, key, skill, cosine; EXACT for an exact name): of
     spans that overlap exact names and then the surer ones win; what is left must name exactly one skill."""
-    skills, taken, stage, confidence = set(), [], "exact", 1.0
-    for i, j, _, skill, cosine in sorted(judged, key=lambda s: (-s[4] * len(s[2]) ** LENGTH_POWER, s[0], s[2])):
-        if any(i < b and a < j for a, b in taken):
+    skills, used, stage, confidence = set(), [], "exact", 1.0
+    for i, j, _, skill, cosine in _by_weight(judged):
+        if any(i < b and a < j for a, b in used):
             continue
-        taken.append((i, j))
+        used.append((i, j))
         skills.add(skill)
-        stage, confidence = ("exact", 1.0) if cosine > 1.5 else ("fuzzy", cosine)
+        stage, confidence = ("exact", 1.0) if cosine == EXACT else ("fuzzy", cosine)
     if len(skills) != 1 or None in skills:
         return None, "unmatched", 0.0
     return skills.pop(), stage, confidence
@@ -178,8 +193,13 @@ def match_values(values: DataFrame, entries: DataFrame, max_broadcast: int = MAX
             for pdf in batches:
                 out = []
                 for value in pdf["value"]:
-                    got = [(i, j, key, judge(key)) for i, j, key in spans(tokens(value), index.most_words)]
-                    out.append((value, *decide([(i, j, key, *g) for i, j, key, g in got if g])))
+                    every = list(spans(tokens(value), index.most_words))
+                    # exact names win over all they overlap, so nothing that does needs a cosine
+                    sure = [(i, j, key, *judge(key)) for i, j, key in every if key in index.exact]
+                    kept = taken(sure)
+                    free = [(i, j, key) for i, j, key in every if not any(i < b and a < j for a, b in kept)]
+                    near = [(i, j, key, *g) for i, j, key in free if (g := judge(key))]
+                    out.append((value, *decide(sure + near)))
                 yield pd.DataFrame(out, columns=["value", "skill_id", "stage", "confidence"])
 
         # values are few bytes and much work: without a stated number the adaptive planner would give one task all of them
@@ -257,7 +277,7 @@ def _match_by_join(distinct: DataFrame, rows: DataFrame) -> DataFrame:
             for value, each in zip(pdf["value"], pdf["spans"], strict=True):
                 kept = []
                 for s in each if each is not None else ():
-                    got = ((s["exact"] if s["same"] == 1 else None), 2.0) if s["same"] else accept(s["skill"], s["cosine"], s["second"])
+                    got = ((s["exact"] if s["same"] == 1 else None), EXACT) if s["same"] else accept(s["skill"], s["cosine"], s["second"])
                     if got:
                         kept.append((s["i"], s["j"], s["key"], *got))
                 out.append((value, *decide(kept)))

@@ -239,6 +239,19 @@ def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumnsRenamed({"kind": "item_kind", "id": "item_id", "text": "piece"})
 
 
+def p7_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each item that is cut: its code points, where its pieces end, whether every piece keeps to the limit and whether each
+    but the first starts a tenth of the limit before the end of the one before."""
+    pieces, items = split_items(_items(spark, sf_dir))
+    limit = F.when(F.col("kind") == "resume", 3000).otherwise(400)
+    order = Window.partitionBy("kind", "id").orderBy("piece_index")
+    rows = pieces.withColumn("before", F.lag("stop").over(order))
+    fits = (F.length("text") <= limit) & (F.length("text") == F.col("stop") - F.col("start"))
+    joins = F.when(F.col("piece_index") == 0, F.col("start") == 0).otherwise(F.col("before") - F.col("start") == limit / 10)
+    per = rows.groupBy("kind", "id").agg(F.max("stop").alias("covered"), F.bool_and(fits).alias("fits"), F.bool_and(joins).alias("joins"))
+    return items.join(per, ["kind", "id"]).select(F.col("kind").alias("item_kind"), F.col("id").alias("item_id"), "chars", "covered", "fits", "joins")
+
+
 def p7_files(spark: SparkSession, sf_dir: str, limit: int = 3000, range_bytes: int = 1 << 20) -> DataFrame:
     """Giant files: the resumes written as text files into the shared folder, cut by byte range without loading a file.
     Every file is one item; start and stop are code points in it."""
@@ -260,8 +273,9 @@ w as (select item_kind, item_id, lim, unnest(regexp_extract_all(x, '[^ \\t\\n\\r
 m as (select item_kind, item_id, max(length(run)) longest, any_value(lim) lim from w group by item_kind, item_id)
 """
 
-QUERIES = {"p7_found": p7_found, "p7_pieces": p7_pieces, "p7_files": p7_files}
+QUERIES = {"p7_found": p7_found, "p7_pieces": p7_pieces, "p7_coverage": p7_coverage, "p7_files": p7_files}
 ORACLE = {
+    "p7_coverage": _ITEMS_SQL + "select item_kind, item_id, length(x) as chars, length(x) as covered, true as fits, true as joins from o",
     "p7_found": _ITEMS_SQL
     + """select item_kind, item_id, 'oversize' as case_kind from o
          union all select item_kind, item_id, 'unbroken' from m where longest > lim"""
