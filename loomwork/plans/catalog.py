@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomwork.plans import datasets, evaluation, matching, stores, texts
+from loomwork.plans import datasets, evaluation, matching, services, stores, texts
 
-_MODULES = [texts, matching, datasets, evaluation, stores]
+_MODULES = [texts, matching, datasets, evaluation, stores, services]
 
 
 def queries() -> dict:
