@@ -23,7 +23,9 @@ def _add(name: str, sql: str | None = None):
 
 
 _SPLIT = "nullif(lower(trim(dataset_split)), '')"
-_LABELS = f"lb as (select id, any_value(resume_id) resume_id, any_value(job_id) job_id, any_value(external_resume_ref) r, any_value(external_job_ref) j, cast(any_value(label) as double) as label, any_value(label_source) label_source, any_value({_SPLIT}) s from training_labels group by id)"
+_LABELS = f"""lb as (select id, any_value(resume_id) resume_id, any_value(job_id) job_id, any_value(external_resume_ref) r,
+    any_value(external_job_ref) j, cast(any_value(label) as double) as label, any_value(label_source) label_source, any_value({_SPLIT}) s
+    from training_labels group by id)"""
 
 
 def labels(spark, d) -> DataFrame:
@@ -33,18 +35,25 @@ def labels(spark, d) -> DataFrame:
     return t.select("id", "resume_id", "job_id", F.col("external_resume_ref").alias("r"), F.col("external_job_ref").alias("j"), F.col("label").cast("double").alias("label"), "label_source", F.when(split != "", split).alias("s")).dropDuplicates(["id"])
 
 
-@_add("src_label_map", f"with {_LABELS}, n as (select id, case label when 0 then 'No Fit' when 0.5 then 'Potential Fit' when 1 then 'Good Fit' end as name from lb) select id, name, cast(case name when 'No Fit' then 0 when 'Potential Fit' then 0.5 else 1 end as double) as value from n where name is not null")
+@_add("src_label_map", f"""with {_LABELS}, n as (select id,
+    case label when 0 then 'No Fit' when 0.5 then 'Potential Fit' when 1 then 'Good Fit' end as name from lb) select id, name,
+    cast(case name when 'No Fit' then 0 when 'Potential Fit' then 0.5 else 1 end as double) as value from n where name is not null""")
 def src_label_map(spark, d):
     name = F.when(F.col("label") == 0, "No Fit").when(F.col("label") == 0.5, "Potential Fit").when(F.col("label") == 1, "Good Fit")
     return labels(spark, d).select("id", name.alias("name")).where("name is not null").select("id", "name", B.fit_label("name").alias("value"))
 
 
-@_add("prj_tier_label", "select id, cast(case when rule_based_score >= 70 then 0.9 when rule_based_score >= 40 then 0.5 else 0.1 end as double) as tier from matches where rule_based_score is not null group by all")
+@_add("prj_tier_label", """select id,
+    cast(case when rule_based_score >= 70 then 0.9 when rule_based_score >= 40 then 0.5 else 0.1 end as double) as tier from matches
+    where rule_based_score is not null group by all""")
 def prj_tier_label(spark, d):
     return load(spark, d, "matches").where("rule_based_score is not null").select("id", B.tier_label(F.col("rule_based_score").cast("double")).alias("tier")).distinct()
 
 
-@_add("prj_pair_label", "select a.id, cast(case when a.seniority is null or b.seniority is null then null when a.seniority = b.seniority then 0.8 else 0.2 end as double) as label from (select id, company, parsed_profile.seniority from jobs) a(id, company, seniority) join (select company, min(parsed_profile.seniority) from jobs group by company) b(company, seniority) using (company)")
+@_add("prj_pair_label", """select a.id,
+    cast(case when a.seniority is null or b.seniority is null then null when a.seniority = b.seniority then 0.8 else 0.2 end as double) as label
+    from (select id, company, parsed_profile.seniority from jobs) a(id, company, seniority) join (select company, min(parsed_profile.seniority)
+    from jobs group by company) b(company, seniority) using (company)""")
 def prj_pair_label(spark, d):
     """A job's level against the first level of its company: equal, different or unknown."""
     j = load(spark, d, "jobs").select("id", "company", F.col("parsed_profile.seniority").alias("a"))
@@ -66,7 +75,9 @@ def agg_distinct_text(spark, d):
     return r.groupBy("ref").agg(F.count("*").alias("copies"), F.min("id").alias("first_id"))
 
 
-@_add("set_union_all", "select 'label' as kind, label_source as source, cast(label as double) as value from training_labels union all select 'match', scoring_model_version, cast(rule_based_score as double) from matches union all select 'match_ml', scoring_model_version, cast(ml_score as double) from matches where ml_score is not null")
+@_add("set_union_all", """select 'label' as kind, label_source as source, cast(label as double) as value from training_labels
+    union all select 'match', scoring_model_version, cast(rule_based_score as double) from matches union all select 'match_ml', scoring_model_version,
+    cast(ml_score as double) from matches where ml_score is not null""")
 def set_union_all(spark, d):
     m = load(spark, d, "matches")
     part = lambda df, k, s, v: df.select(F.lit(k).alias("kind"), F.col(s).alias("source"), F.col(v).cast("double").alias("value"))
@@ -77,13 +88,15 @@ def set_union_all(spark, d):
     )
 
 
-@_add("set_union_distinct", "select resume_id, job_id from training_labels where resume_id is not null and job_id is not null union select resume_id, job_id from matches where resume_id is not null")
+@_add("set_union_distinct", """select resume_id, job_id from training_labels where resume_id is not null and job_id is not null
+    union select resume_id, job_id from matches where resume_id is not null""")
 def set_union_distinct(spark, d):
     a = load(spark, d, "training_labels").where("resume_id is not null and job_id is not null").select("resume_id", "job_id")
     return a.union(load(spark, d, "matches").where("resume_id is not null").select("resume_id", "job_id")).distinct()
 
 
-@_add("join_label_profiles", f"with {_LABELS} select case when r.id is not null and j.id is not null then 'kept' else 'skipped' end as outcome, count(*) as n from lb left join resumes r on r.id = lb.resume_id left join jobs j on j.id = lb.job_id group by 1")
+@_add("join_label_profiles", f"""with {_LABELS} select case when r.id is not null and j.id is not null then 'kept' else 'skipped' end as outcome,
+    count(*) as n from lb left join resumes r on r.id = lb.resume_id left join jobs j on j.id = lb.job_id group by 1""")
 def join_label_profiles(spark, d):
     kept, skipped = B.join_profiles(labels(spark, d), load(spark, d, "resumes").select(F.col("id").alias("resume_id")), load(spark, d, "jobs").select(F.col("id").alias("job_id")))
     return kept.select(F.lit("kept").alias("outcome")).unionByName(skipped.select(F.lit("skipped").alias("outcome"))).groupBy("outcome").agg(F.count("*").alias("n"))
@@ -92,7 +105,9 @@ def join_label_profiles(spark, d):
 _HASH = "md5('42|' || resume_id || '|' || kind || '|' || job_id)"
 
 
-@_add("sample_per_group", f"""with p as (select distinct m.resume_id, m.job_id, case when m.rule_based_score >= 50 then 'positive' else 'negative' end kind from matches m where resume_id is not null and rule_based_score is not null)
+@_add("sample_per_group", f"""with p as (select distinct m.resume_id, m.job_id,
+    case when m.rule_based_score >= 50 then 'positive' else 'negative' end kind from matches m
+    where resume_id is not null and rule_based_score is not null)
     select resume_id, kind, job_id from p qualify row_number() over (partition by resume_id, kind order by {_HASH}, job_id) <= 2""")
 def sample_per_group(spark, d):
     """At most two positive and two negative jobs a candidate (a sample is what is asked for)."""
@@ -101,7 +116,8 @@ def sample_per_group(spark, d):
     return B.sample_per_group(p, ["resume_id", "kind"], "job_id", 2).select("resume_id", "kind", "job_id")
 
 
-@_add("limit_pairs", "select resume_id, job_id from (select distinct resume_id, job_id from matches where resume_id is not null) order by md5('42|' || resume_id || '|' || job_id), resume_id, job_id limit 500")
+@_add("limit_pairs", """select resume_id, job_id from (select distinct resume_id, job_id from matches where resume_id is not null)
+    order by md5('42|' || resume_id || '|' || job_id), resume_id, job_id limit 500""")
 def limit_pairs(spark, d):
     """The first 500 pairs of a seeded shuffle (the size of the sample is a parameter of the operator)."""
     p = load(spark, d, "matches").where("resume_id is not null").select("resume_id", "job_id").distinct()
@@ -113,8 +129,10 @@ _PAIR_START = lambda seed, among: f"(cast('0x' || substr(md5('{seed}|' || l.ref)
 
 @_add("pair_generation", f"""with l as (select id ref, file_type grp from resumes where file_type is not null),
     r as (select distinct id ref, case source when 'uploaded' then 'pdf' else 'docx' end grp from jobs where source is not null),
-    g as (select grp, count(*) m from r group by grp), gg as (select grp, m, coalesce(sum(m) over (order by grp rows between unbounded preceding and 1 preceding), 0) a, sum(m) over () n from g),
-    p as (select r.ref, a + row_number() over (partition by r.grp order by md5('42|' || r.ref) desc, r.ref) - 1 place from r join gg on gg.grp = r.grp),
+    g as (select grp, count(*) m from r group by grp), gg as (select grp, m,
+    coalesce(sum(m) over (order by grp rows between unbounded preceding and 1 preceding), 0) a, sum(m) over () n from g),
+    p as (select r.ref, a + row_number() over (partition by r.grp order by md5('42|' || r.ref) desc, r.ref) - 1 place from r
+    join gg on gg.grp = r.grp),
     q as (select distinct l.ref, coalesce(gg.m, 0) m, coalesce(gg.a, 0) a, (select sum(m) from g) n from l left join gg on gg.grp = l.grp),
     k as (select unnest(range(2)) k),
     pos as (select l.ref, l.a + ({_PAIR_START(43, 'l.m')} + k) % l.m place, cast(0.8 as double) label from q l, k where k < l.m),
@@ -140,9 +158,12 @@ def graph_components(spark, d):
 
 
 def _split_sql(src: str) -> str:
-    return f"""g as (select k, count(*) n from {src} where k is not null group by k), p as (select k, n, coalesce(sum(n) over (order by md5('42|' || k), k rows between unbounded preceding and 1 preceding), 0) px, sum(n) over () tot from g),
+    return f"""g as (select k, count(*) n from {src} where k is not null group by k), p as (select k, n,
+    coalesce(sum(n) over (order by md5('42|' || k), k rows between unbounded preceding and 1 preceding), 0) px, sum(n) over () tot from g),
     t as (select coalesce(min(case when px >= floor(tot * cast(0.7 as double)) then px end), max(tot)) tt from p)
-    select k, n, case when px < floor(tot * cast(0.7 as double)) then 'train' when px - tt < floor(tot * cast(0.15 as double)) then 'val' else 'test' end as split from p, t"""
+    select k, n,
+    case when px < floor(tot * cast(0.7 as double)) then 'train' when px - tt < floor(tot * cast(0.15 as double)) then 'val' else 'test' end as split
+    from p, t"""
 
 
 @_add("split_group_resume", f"with {_LABELS}, x as (select resume_id k from lb), {_split_sql('x')}")
@@ -163,7 +184,9 @@ def agg_split_counts(spark, d):
     return labels(spark, d).groupBy(F.coalesce("s", F.lit("none")).alias("split"), "label_source").agg(F.count("*").alias("n"))
 
 
-@_add("agg_leakage", f"with {_LABELS} select 'resume' as axis, resume_id as ref, count(distinct s) as splits from lb where resume_id is not null and s is not null group by resume_id having count(distinct s) > 1 union all select 'job', job_id, count(distinct s) from lb where job_id is not null and s is not null group by job_id having count(distinct s) > 1")
+@_add("agg_leakage", f"""with {_LABELS} select 'resume' as axis, resume_id as ref, count(distinct s) as splits from lb
+    where resume_id is not null and s is not null group by resume_id having count(distinct s) > 1 union all select 'job', job_id, count(distinct s)
+    from lb where job_id is not null and s is not null group by job_id having count(distinct s) > 1""")
 def agg_leakage(spark, d):
     part = lambda axis, c: B.leaked(labels(spark, d), c, "s").select(F.lit(axis).alias("axis"), F.col(c).alias("ref"), "splits")
     return part("resume", "resume_id").unionByName(part("job", "job_id"))

@@ -45,13 +45,18 @@ def partners(spark, d) -> DataFrame:
     return head.join(s, F.col("skill_a") == F.col("canonical_name"), "left_semi").select("skill_a", "skill_b")
 
 
-_TERMS = f"""tm_u as (select {S.norm_term('canonical_name')} term, canonical_name c, 0 k from skills union all select {S.norm_term('a.alias')}, s.canonical_name, 1 from skill_aliases a join skills s on s.id = a.skill_id),
+_TERMS = f"""tm_u as (select {S.norm_term('canonical_name')} term, canonical_name c, 0 k from skills union all select {S.norm_term('a.alias')},
+    s.canonical_name, 1 from skill_aliases a join skills s on s.id = a.skill_id),
 tm as (select term, arg_min(c, {{'k': k, 'c': c}}) canonical from tm_u where term <> '' group by term)"""
-_PARTNERS = "pt as (select regexp_extract(canonical_name, '^(\\S+) ', 1) skill_a, canonical_name skill_b from skills where regexp_extract(canonical_name, '^(\\S+) ', 1) in (select canonical_name from skills)), pb as (select * from pt union select skill_b, skill_a from pt)"
+_PARTNERS = """pt as (select regexp_extract(canonical_name, '^(\\S+) ', 1) skill_a, canonical_name skill_b from skills
+    where regexp_extract(canonical_name, '^(\\S+) ', 1) in (select canonical_name from skills)), pb as (select * from pt union select skill_b, skill_a
+    from pt)"""
 _TOK = lambda c: f"list_distinct(list_filter(regexp_split_to_array({c}, '\\s+'), lambda x: x <> ''))"
-_JAC = lambda a, b: f"case when len({_TOK(a)}) = 0 or len({_TOK(b)}) = 0 then 0 else len(list_intersect({_TOK(a)}, {_TOK(b)})) / cast(len(list_distinct(list_concat({_TOK(a)}, {_TOK(b)}))) as double) end"
+_JAC = lambda a, b: f"""case when len({_TOK(a)}) = 0 or len({_TOK(b)}) = 0 then 0 else len(list_intersect({_TOK(a)},
+    {_TOK(b)})) / cast(len(list_distinct(list_concat({_TOK(a)}, {_TOK(b)}))) as double) end"""
 _VALUES = f"vals as (select distinct raw_text, {S.norm_term('raw_text')} norm from normalization_results where raw_text is not null)"
-_FUZZY = f"""nr as (select v.raw_text, t.canonical, max({_JAC('v.norm', 't.term')}) score from (select v.* from vals v left join tm on tm.term = v.norm where tm.term is null) v, tm t group by v.raw_text, t.canonical having max({_JAC('v.norm', 't.term')}) >= 0.3 - 1e-9),
+_FUZZY = f"""nr as (select v.raw_text, t.canonical, max({_JAC('v.norm', 't.term')}) score from (select v.* from vals v left
+    join tm on tm.term = v.norm where tm.term is null) v, tm t group by v.raw_text, t.canonical having max({_JAC('v.norm', 't.term')}) >= 0.3 - 1e-9),
 bs as (select * from nr where score >= 0.4 - 1e-9 qualify row_number() over (partition by raw_text order by score desc, canonical) = 1)"""
 
 
@@ -68,7 +73,9 @@ def join_jaccard(spark, d):
     return near.groupBy("raw_text", "canonical").agg(F.round(F.max("score"), 6).alias("score"))
 
 
-@_add("anti_competitive", f"with {_TERMS}, {_VALUES}, {_PARTNERS}, {_FUZZY} select raw_text, canonical, round(score, 6) as score from bs where not exists (select 1 from pb join nr on nr.canonical = pb.skill_b where pb.skill_a = bs.canonical and nr.raw_text = bs.raw_text and nr.score >= bs.score - 0.1 - 1e-9)")
+@_add("anti_competitive", f"""with {_TERMS}, {_VALUES}, {_PARTNERS}, {_FUZZY} select raw_text, canonical, round(score, 6) as score from bs
+    where not exists (select 1 from pb join nr on nr.canonical = pb.skill_b
+    where pb.skill_a = bs.canonical and nr.raw_text = bs.raw_text and nr.score >= bs.score - 0.1 - 1e-9)""")
 def anti_competitive(spark, d):
     """Winners from 0.4 by token similarity, without those a confusable partner comes close to."""
     rest = K.resolve_exact(load(spark, d, "normalization_results"), terms(spark, d)).where("canonical is null")
@@ -95,21 +102,25 @@ def _queries_and_base(spark, d):
     return q, load(spark, d, "skills").where("embedding is not null").select(F.col("canonical_name").alias("item"), F.col("embedding").alias("vec"))
 
 
-@_add("knn_topk", f"with {_KNN} select id as query, item, round(v, 6) as similarity, cast(row_number() over (partition by id order by v desc, item) as bigint) as rank from s qualify row_number() over (partition by id order by v desc, item) <= 3")
+@_add("knn_topk", f"""with {_KNN} select id as query, item, round(v, 6) as similarity, cast(row_number() over (partition by id order by v desc,
+    item) as bigint) as rank from s qualify row_number() over (partition by id order by v desc, item) <= 3""")
 def knn_topk(spark, d):
     q, b = _queries_and_base(spark, d)
     return K.knn(q, b, 3, -1.0).select("query", "item", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("bigint").alias("rank"))
 
 
-@_add("knn_argmax_floor", f"with {_KNN} select id as query, item, round(v, 6) as similarity from s where v >= 0.5 qualify row_number() over (partition by id order by v desc, item) = 1")
+@_add("knn_argmax_floor", f"""with {_KNN} select id as query, item, round(v, 6) as similarity from s where v >= 0.5
+    qualify row_number() over (partition by id order by v desc, item) = 1""")
 def knn_argmax_floor(spark, d):
     """One nearest name, none below the floor of the occupation inference."""
     q, b = _queries_and_base(spark, d)
     return K.infer_occupation(q, b).select("query", "item", F.round("similarity", 6).alias("similarity"))
 
 
-@_add("anti_blocklist", f"""with {_TERMS}, {_PARTNERS}, g as (select distinct raw_text, canonical_name c from normalization_results where raw_text is not null and canonical_name is not null)
-    select raw_text, c as canonical from g where not exists (select 1 from pb join tm on tm.canonical = pb.skill_b where pb.skill_a = g.c and {_JAC(S.norm_term('g.raw_text'), 'tm.term')} >= 0.75)""")
+@_add("anti_blocklist", f"""with {_TERMS}, {_PARTNERS}, g as (select distinct raw_text, canonical_name c from normalization_results
+    where raw_text is not null and canonical_name is not null)
+    select raw_text, c as canonical from g where not exists (select 1 from pb join tm on tm.canonical = pb.skill_b
+    where pb.skill_a = g.c and {_JAC(S.norm_term('g.raw_text'), 'tm.term')} >= 0.75)""")
 def anti_blocklist(spark, d):
     stored = load(spark, d, "normalization_results").where("raw_text is not null and canonical_name is not null").select("raw_text", F.col("canonical_name").alias("canonical")).distinct()
     return K.drop_blocked(stored, terms(spark, d), partners(spark, d), sequence=False)
@@ -122,14 +133,16 @@ def anti_blocklist_sequence(spark, d):
     return K.drop_blocked(stored, terms(spark, d), partners(spark, d))
 
 
-@_add("join_taxonomy_browse", "select canonical_name, category, count(alias) as aliases, coalesce(string_agg(trim(alias), '|' order by trim(alias)), '') as names from skills s left join skill_aliases a on a.skill_id = s.id group by canonical_name, category")
+@_add("join_taxonomy_browse", """select canonical_name, category, count(alias) as aliases, coalesce(string_agg(trim(alias), '|' order by trim(alias)),
+    '') as names from skills s left join skill_aliases a on a.skill_id = s.id group by canonical_name, category""")
 def join_taxonomy_browse(spark, d):
     a = load(spark, d, "skill_aliases").select("skill_id", F.trim("alias").alias("alias"))
     rows = load(spark, d, "skills").join(a, F.col("id") == F.col("skill_id"), "left").groupBy("canonical_name", "category")
     return rows.agg(F.count("alias").alias("aliases"), F.array_join(F.array_sort(F.collect_list("alias")), "|").alias("names"))
 
 
-@_add("lookup_pk", "select m.id, r.original_filename, j.title from (select distinct id, resume_id, job_id from matches) m join resumes r on r.id = m.resume_id join jobs j on j.id = m.job_id")
+@_add("lookup_pk", """select m.id, r.original_filename, j.title from (select distinct id, resume_id, job_id from matches) m
+    join resumes r on r.id = m.resume_id join jobs j on j.id = m.job_id""")
 def lookup_pk(spark, d):
     m = load(spark, d, "matches").select("id", "resume_id", "job_id").distinct()
     r = load(spark, d, "resumes").select(F.col("id").alias("resume_id"), "original_filename")
@@ -172,11 +185,16 @@ def job_skills(spark, d) -> DataFrame:
 
 _PAIRS = "prs as (select distinct resume_id cand, job_id job from training_labels where resume_id is not null and job_id is not null)"
 _HAVE = f"hv as (select distinct r.id cand, tm.canonical skill from (select id, unnest(parsed_profile.skills) s from resumes) r join tm on tm.term = {S.norm_term('r.s')})"
-_WANT = f"wg as (select doc, idx, level, unnest({S.ngrams(chr(34) + 'text' + chr(34))}) g from req), wt as (select doc job, canonical_name skill, level, count(distinct idx) w from wg join skills on g = lower(canonical_name) group by doc, canonical_name, level)"
+_WANT = f"""wg as (select doc, idx, level, unnest({S.ngrams(chr(34) + 'text' + chr(34))}) g from req), wt as (select doc job, canonical_name skill,
+    level, count(distinct idx) w from wg join skills on g = lower(canonical_name) group by doc, canonical_name, level)"""
 _COVER = f"""{S.job_sections()}, {S.requirements()}, {_TERMS}, {_PAIRS}, {_HAVE}, {_WANT},
-tot as (select job, cast(sum(case level when 'required' then w else 0 end) as double) tr, cast(sum(case level when 'preferred' then w else 0 end) as double) tp from wt group by job),
-hit as (select p.cand, p.job, cast(sum(case level when 'required' then w else 0 end) as double) mr, cast(sum(case level when 'preferred' then w else 0 end) as double) mp from prs p join wt on wt.job = p.job join hv on hv.cand = p.cand and hv.skill = wt.skill group by p.cand, p.job),
-cov as (select p.cand, p.job, case when coalesce(tr, 0) = 0 then cast(0.7 as double) else coalesce(mr, 0) / tr end f1, case when coalesce(tp, 0) = 0 then cast(0.7 as double) else coalesce(mp, 0) / tp end f2,
+tot as (select job, cast(sum(case level when 'required' then w else 0 end) as double) tr,
+    cast(sum(case level when 'preferred' then w else 0 end) as double) tp from wt group by job),
+hit as (select p.cand, p.job, cast(sum(case level when 'required' then w else 0 end) as double) mr,
+    cast(sum(case level when 'preferred' then w else 0 end) as double) mp from prs p join wt on wt.job = p.job
+    join hv on hv.cand = p.cand and hv.skill = wt.skill group by p.cand, p.job),
+cov as (select p.cand, p.job, case when coalesce(tr, 0) = 0 then cast(0.7 as double) else coalesce(mr, 0) / tr end f1, case when coalesce(tp,
+    0) = 0 then cast(0.7 as double) else coalesce(mp, 0) / tp end f2,
     case when 2 * coalesce(tr, 0) + coalesce(tp, 0) = 0 then cast(0.7 as double) else (2 * coalesce(mr, 0) + coalesce(mp, 0)) / (2 * tr + tp) end f10
     from prs p left join tot on tot.job = p.job left join hit on hit.cand = p.cand and hit.job = p.job)"""
 
@@ -247,16 +265,19 @@ def feat_project_relevance(spark, d):
 
 
 @_add("feat_domain", f"""with {_PAIRS} select p.cand, p.job, round(coalesce({_STUB_COS(_AX('s'), _AX('a'))}, 0), 6) as similarity from prs p
-    left join (select id, parsed_profile.summary s from resumes where trim(coalesce(parsed_profile.summary, '')) <> '') r on r.id = p.cand left join (select id, parsed_profile.about a from jobs where trim(coalesce(parsed_profile.about, '')) <> '') j on j.id = p.job""")
+    left join (select id, parsed_profile.summary s from resumes where trim(coalesce(parsed_profile.summary, '')) <> '') r on r.id = p.cand left
+    join (select id, parsed_profile.about a from jobs where trim(coalesce(parsed_profile.about, '')) <> '') j on j.id = p.job""")
 def feat_domain(spark, d):
     left = load(spark, d, "resumes").where(F.trim("parsed_profile.summary") != "").select(F.col("id").alias("cand"), stub("parsed_profile.summary").alias("vec"))
     right = load(spark, d, "jobs").where(F.trim("parsed_profile.about") != "").select(F.col("id").alias("job"), stub("parsed_profile.about").alias("vec"))
     return X.document_similarity(pairs(spark, d), left, right).withColumn("similarity", F.round("similarity", 6))
 
 
-@_add("feat_responsibility", f"""with {S.resume_sections()}, {S.entries('experience')}, {_PAIRS}, t as (select doc, string_agg(b, ' ' order by e, k) b from (select doc, entry_no e, unnest(range(len(bullets))) k, unnest(bullets) b from ent) group by doc)
+@_add("feat_responsibility", f"""with {S.resume_sections()}, {S.entries('experience')}, {_PAIRS}, t as (select doc, string_agg(b, ' ' order by e,
+    k) b from (select doc, entry_no e, unnest(range(len(bullets))) k, unnest(bullets) b from ent) group by doc)
     select p.cand, p.job, round(coalesce({_STUB_COS(_AX('t.b'), _AX('j.r'))}, 0), 6) as similarity from prs p left join t on t.doc = p.cand
-    left join (select id, array_to_string(parsed_profile.responsibilities, ' ') r from jobs where len(parsed_profile.responsibilities) > 0) j on j.id = p.job""")
+    left join (select id, array_to_string(parsed_profile.responsibilities, ' ') r from jobs
+    where len(parsed_profile.responsibilities) > 0) j on j.id = p.job""")
 def feat_responsibility(spark, d):
     e = D.entries(resume_segments(spark, d), "experience").where("bullet is not null")
     told = e.groupBy(F.col("doc").alias("cand")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("entry_no", "bullet_no", "bullet"))), lambda s: s["bullet"]), " ").alias("b"))
@@ -265,11 +286,15 @@ def feat_responsibility(spark, d):
 
 
 
-@_add("feat_doc_cosine", f"""with {_PAIRS}, v as (select distinct entity_id, entity_type, chunk_index, cast(embedding as double[]) e from text_embeddings where embedding is not null and embedding_model = 'minilm-384-a'),
-    u as (select entity_id, entity_type, unnest(range(384)) i, unnest(e) x from v), m as (select entity_id, entity_type, i, avg(x) x from u group by all),
+@_add("feat_doc_cosine", f"""with {_PAIRS}, v as (select distinct entity_id, entity_type, chunk_index, cast(embedding as double[]) e
+    from text_embeddings where embedding is not null and embedding_model = 'minilm-384-a'),
+    u as (select entity_id, entity_type, unnest(range(384)) i, unnest(e) x from v), m as (select entity_id, entity_type, i, avg(x) x from u
+    group by all),
     n as (select entity_id, entity_type, sqrt(sum(x * x)) n from m group by all having sum(x * x) > 0),
-    s as (select p.cand, p.job, sum(a.x * b.x) s from prs p join m a on a.entity_id = p.cand and a.entity_type = 'resume_experience' join m b on b.entity_id = p.job and b.entity_type = 'job_responsibility' and a.i = b.i group by p.cand, p.job)
-    select s.cand, s.job, round(s / (na.n * nb.n), 6) as similarity from s join n na on na.entity_id = s.cand and na.entity_type = 'resume_experience' join n nb on nb.entity_id = s.job and nb.entity_type = 'job_responsibility'""")
+    s as (select p.cand, p.job, sum(a.x * b.x) s from prs p join m a on a.entity_id = p.cand and a.entity_type = 'resume_experience'
+    join m b on b.entity_id = p.job and b.entity_type = 'job_responsibility' and a.i = b.i group by p.cand, p.job)
+    select s.cand, s.job, round(s / (na.n * nb.n), 6) as similarity from s join n na on na.entity_id = s.cand and na.entity_type = 'resume_experience'
+    join n nb on nb.entity_id = s.job and nb.entity_type = 'job_responsibility'""")
 def feat_doc_cosine(spark, d):
     """Whole documents: the mean of a document's chunk vectors, compared by cosine."""
     v = load(spark, d, "text_embeddings").where("embedding is not null and embedding_model = 'minilm-384-a'").select("entity_id", "entity_type", "chunk_index", "embedding").distinct()
@@ -281,13 +306,19 @@ def feat_doc_cosine(spark, d):
     return rows.where("cand_v is not null and job_v is not null").select("cand", "job", F.round(V.dot("cand_v", "job_v"), 6).alias("similarity"))
 
 
-_ASKED = lambda expr, c: f"(select doc, arg_min(v, (case level when 'required' then 0 else 1 end) * 1000000 + idx) {c} from (select doc, level, idx, {expr} v from req) where v is not null group by doc)"
+_ASKED = lambda expr, c: f"""(select doc, arg_min(v, (case level when 'required' then 0 else 1 end) * 1000000 + idx) {c} from (select doc, level, idx,
+    {expr} v from req) where v is not null group by doc)"""
 _YEARS = f"try_cast(nullif(regexp_extract(\"text\", '{T.YEARS_ASKED}', 1), '') as int)"
 
 
-@_add("feat_education", f"""with {S.resume_sections()}, {S.job_sections('js')}, {S.requirements('js')}, {_PAIRS}, a as {_ASKED(S.degree(chr(34) + 'text' + chr(34)), 'asked')},
-    h as (select doc, max({S.degree("nullif(regexp_extract(plain, '" + S.q(T.DEGREE) + "', 1), '')")}) has from (select doc, {S.strip("regexp_replace(" + S.strip("regexp_replace(" + chr(34) + "text" + chr(34) + ", '^(.*?)" + T.YEAR + "', '\\1')") + ", ',+$', '')")} plain from seg where section_type = 'education' and not is_header) group by doc)
-    select p.cand, p.job, cast(case when asked is null then cast(0.7 as double) when has is null or has < asked then cast(0.3 as double) else cast(1 as double) end as double) as education_match from prs p left join a on a.doc = p.job left join h on h.doc = p.cand""")
+@_add("feat_education", f"""with {S.resume_sections()}, {S.job_sections('js')}, {S.requirements('js')}, {_PAIRS},
+    a as {_ASKED(S.degree(chr(34) + 'text' + chr(34)), 'asked')},
+    h as (select doc, max({S.degree("nullif(regexp_extract(plain, '" + S.q(T.DEGREE) + "', 1), '')")}) has from (select doc,
+    {S.strip("regexp_replace(" + S.strip("regexp_replace(" + chr(34) + "text" + chr(34) + ", '^(.*?)" + T.YEAR + "', '\\1')") + ", ',+$', '')")} plain
+    from seg where section_type = 'education' and not is_header) group by doc)
+    select p.cand, p.job,
+    cast(case when asked is null then cast(0.7 as double) when has is null or has < asked then cast(0.3 as double) else cast(1 as double) end as double) as education_match
+    from prs p left join a on a.doc = p.job left join h on h.doc = p.cand""")
 def feat_education(spark, d):
     asked = X.asked_degree(D.requirements(job_segments(spark, d))).withColumnRenamed("doc", "job")
     has = D.education(resume_segments(spark, d)).groupBy(F.col("doc").alias("cand")).agg(F.max(T.degree_rank("degree")).alias("has"))
@@ -295,9 +326,12 @@ def feat_education(spark, d):
     return rows.select("cand", "job", X.education_match(F.col("asked_degree"), F.col("has")).alias("education_match"))
 
 
-@_add("feat_years", f"""with {S.resume_sections()}, {S.entries('experience')}, {S.experience()}, {S.job_sections('js')}, {S.requirements('js')}, {_PAIRS}, a as {_ASKED(_YEARS, 'asked')},
-    h as (select doc, coalesce(greatest(date_diff('day', min({S.resume_date('start_date', AS_OF)}), max({S.resume_date('end_date', AS_OF)})) / cast(365.25 as double), 0), 0) has from expr group by doc)
-    select p.cand, p.job, round(case when asked is null or asked = 0 then cast(0.7 as double) else least(coalesce(has, 0) / asked, cast(1.5 as double)) end, 6) as years_experience_match from prs p left join a on a.doc = p.job left join h on h.doc = p.cand""")
+@_add("feat_years", f"""with {S.resume_sections()}, {S.entries('experience')}, {S.experience()}, {S.job_sections('js')}, {S.requirements('js')},
+    {_PAIRS}, a as {_ASKED(_YEARS, 'asked')},
+    h as (select doc, coalesce(greatest(date_diff('day', min({S.resume_date('start_date', AS_OF)}),
+    max({S.resume_date('end_date', AS_OF)})) / cast(365.25 as double), 0), 0) has from expr group by doc)
+    select p.cand, p.job, round(case when asked is null or asked = 0 then cast(0.7 as double) else least(coalesce(has, 0) / asked,
+    cast(1.5 as double)) end, 6) as years_experience_match from prs p left join a on a.doc = p.job left join h on h.doc = p.cand""")
 def feat_years(spark, d):
     asked = X.asked_years(D.requirements(job_segments(spark, d))).withColumnRenamed("doc", "job")
     has = X.experience_years(D.experience(resume_segments(spark, d)), AS_OF).withColumnRenamed("doc", "cand")
@@ -308,8 +342,10 @@ def feat_years(spark, d):
 _RANK = lambda c: f"case {c} when 'junior' then 0 when 'mid' then 1 when 'senior' then 2 when 'staff' then 3 end"
 
 
-@_add("feat_seniority", f"""with {S.resume_sections()}, {S.entries('experience')}, {S.experience()}, {_PAIRS}, t as (select doc, arg_min(coalesce(title, ''), entry_no) t from expr group by doc)
-    select p.cand, p.job, round(coalesce(1 - abs({_RANK(S.seniority('t.t'))} - {_RANK(S.seniority('j.title'))}) / cast(3 as double), 0.7), 6) as seniority_match from prs p left join t on t.doc = p.cand left join jobs j on j.id = p.job""")
+@_add("feat_seniority", f"""with {S.resume_sections()}, {S.entries('experience')}, {S.experience()}, {_PAIRS}, t as (select doc,
+    arg_min(coalesce(title, ''), entry_no) t from expr group by doc)
+    select p.cand, p.job, round(coalesce(1 - abs({_RANK(S.seniority('t.t'))} - {_RANK(S.seniority('j.title'))}) / cast(3 as double), 0.7),
+    6) as seniority_match from prs p left join t on t.doc = p.cand left join jobs j on j.id = p.job""")
 def feat_seniority(spark, d):
     first = D.experience(resume_segments(spark, d)).groupBy(F.col("doc").alias("cand")).agg(F.min_by("title", "entry_no").alias("t"))
     j = load(spark, d, "jobs").select(F.col("id").alias("job"), "title")
@@ -347,8 +383,10 @@ def feature_vectors(spark, d) -> DataFrame:
 _ALL_SQL = " join ".join(f"(select cand, job, {c} as {f} from ({ORACLE[n]})) {f}_t" + (" using (cand, job)" if k else "") for k, (f, (n, c)) in enumerate(_PARTS.items()))
 
 
-@_add("feat_vector", f"""select cand, job, {", ".join(X.FEATURES)}, round(cast(0.35 as double) * required_skill_coverage + cast(0.2 as double) * semantic_experience_similarity + cast(0.15 as double) * project_relevance_similarity
-    + cast(0.1 as double) * preferred_skill_coverage + cast(0.1 as double) * education_match + cast(0.1 as double) * (seniority_match + years_experience_match) / 2 + 1e-9, 6) as score from {_ALL_SQL}""")
+@_add("feat_vector", f"""select cand, job, {", ".join(X.FEATURES)},
+    round(cast(0.35 as double) * required_skill_coverage + cast(0.2 as double) * semantic_experience_similarity + cast(0.15 as double) * project_relevance_similarity
+    + cast(0.1 as double) * preferred_skill_coverage + cast(0.1 as double) * education_match + cast(0.1 as double) * (seniority_match + years_experience_match) / 2 + 1e-9,
+    6) as score from {_ALL_SQL}""")
 def feat_vector(spark, d):
     """The whole vector and its score."""
     rows = feature_vectors(spark, d)
@@ -369,13 +407,15 @@ def score_rule_based(spark, d):
     return scored(spark, d).withColumn("score", F.round("score", 6))
 
 
-@_add("win_rank_jobs", "select id, resume_id, cast(row_number() over (partition by resume_id order by rule_based_score desc, id) as bigint) as rank from (select distinct id, resume_id, rule_based_score from matches where resume_id is not null and rule_based_score is not null)")
+@_add("win_rank_jobs", """select id, resume_id, cast(row_number() over (partition by resume_id order by rule_based_score desc, id) as bigint) as rank
+    from (select distinct id, resume_id, rule_based_score from matches where resume_id is not null and rule_based_score is not null)""")
 def win_rank_jobs(spark, d):
     m = load(spark, d, "matches").where("resume_id is not null and rule_based_score is not null").select("id", "resume_id", "rule_based_score").distinct()
     return X.rank_within(m, "resume_id", "rule_based_score", "id").select("id", "resume_id", F.col("rank").cast("bigint").alias("rank"))
 
 
-@_add("sort_matches", "select resume_id, id, cast(rule_based_score as double) as score from (select distinct id, resume_id, rule_based_score from matches where resume_id is not null)")
+@_add("sort_matches", """select resume_id, id, cast(rule_based_score as double) as score from (select distinct id, resume_id, rule_based_score
+    from matches where resume_id is not null)""")
 def sort_matches(spark, d):
     """Every candidate's matches, best first: ranges of candidate, score and id, sorted inside, so that a candidate with
     very many matches spreads over several tasks and the files are in order as a whole."""
@@ -384,8 +424,10 @@ def sort_matches(spark, d):
     return m.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-@_add("prj_score_bars", f"""select id, metric, round(value, 6) as value, cast(least(greatest(round(value * 100, 6), 0), 100) as double) as width, case when value * 100 >= 70 then 'green' when value * 100 >= 40 then 'amber' else 'red' end as colour from
-    (select id, unnest([{", ".join("'" + f + "'" for f in X.FEATURES)}]) metric, unnest([{", ".join(_V(f) for f in X.FEATURES)}]) value from (select distinct id, feature_vector from matches)) where value is not null""")
+@_add("prj_score_bars", f"""select id, metric, round(value, 6) as value, cast(least(greatest(round(value * 100, 6), 0), 100) as double) as width,
+    case when value * 100 >= 70 then 'green' when value * 100 >= 40 then 'amber' else 'red' end as colour from
+    (select id, unnest([{", ".join("'" + f + "'" for f in X.FEATURES)}]) metric, unnest([{", ".join(_V(f) for f in X.FEATURES)}]) value
+    from (select distinct id, feature_vector from matches)) where value is not null""")
 def prj_score_bars(spark, d):
     m = load(spark, d, "matches").select("id", "feature_vector").distinct()
     long = m.select("id", F.explode(F.arrays_zip(F.array(*map(F.lit, X.FEATURES)).alias("metric"), F.array(*[F.col(f"feature_vector.{f}") for f in X.FEATURES]).alias("value"))).alias("p"))
@@ -394,7 +436,9 @@ def prj_score_bars(spark, d):
     return rows.select("id", F.col("p.metric").alias("metric"), F.round(value, 6).alias("value"), F.least(F.greatest(F.round(percent, 6), F.lit(0.0)), F.lit(100.0)).alias("width"), F.when(percent >= 70, "green").when(percent >= 40, "amber").otherwise("red").alias("colour"))
 
 
-@_add("dash_avg_top", "select resume_id, count(*) as matches, round(avg(cast(rule_based_score as double)) + 1e-9, 6) as average, arg_max(job_id, (rule_based_score, id)) as top_job from (select distinct id, resume_id, job_id, rule_based_score from matches where resume_id is not null and rule_based_score is not null) group by resume_id")
+@_add("dash_avg_top", """select resume_id, count(*) as matches, round(avg(cast(rule_based_score as double)) + 1e-9, 6) as average, arg_max(job_id,
+    (rule_based_score, id)) as top_job from (select distinct id, resume_id, job_id, rule_based_score from matches
+    where resume_id is not null and rule_based_score is not null) group by resume_id""")
 def dash_avg_top(spark, d):
     """Mean score and best job; the tiny addend keeps exact halves from rounding apart between engines."""
     m = load(spark, d, "matches").where("resume_id is not null and rule_based_score is not null").select("id", "resume_id", "job_id", "rule_based_score").distinct()
@@ -405,13 +449,17 @@ def _gaps(spark, d) -> DataFrame:
     return X.skill_breakdown(pairs(spark, d), candidate_skills(spark, d), job_skills(spark, d)).select("cand", "job", "missing_required")
 
 
-@_add("dash_common_gaps", f"with {_COVER} select w.skill, count(*) as n from prs p join (select distinct job, skill from wt where level = 'required') w on w.job = p.job left join hv h on h.cand = p.cand and h.skill = w.skill where h.skill is null group by w.skill order by n desc, w.skill limit 5")
+@_add("dash_common_gaps", f"""with {_COVER} select w.skill, count(*) as n from prs p join (select distinct job, skill from wt
+    where level = 'required') w on w.job = p.job left join hv h on h.cand = p.cand and h.skill = w.skill where h.skill is null group by w.skill
+    order by n desc, w.skill limit 5""")
 def dash_common_gaps(spark, d):
     """The five skills that are missing most often."""
     return _gaps(spark, d).select(F.explode("missing_required").alias("skill")).groupBy("skill").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "skill").limit(5)
 
 
-@_add("dash_opportunity", f"""with {_COVER}, g as (select p.cand, p.job, count(w.skill) filter (h.skill is null) n from prs p left join (select distinct job, skill from wt where level = 'required') w on w.job = p.job left join hv h on h.cand = p.cand and h.skill = w.skill group by p.cand, p.job)
+@_add("dash_opportunity", f"""with {_COVER}, g as (select p.cand, p.job, count(w.skill) filter (h.skill is null) n from prs p left
+    join (select distinct job, skill from wt where level = 'required') w on w.job = p.job left join hv h on h.cand = p.cand and h.skill = w.skill
+    group by p.cand, p.job)
     select cand, job, n as missing from g where n > 0 qualify row_number() over (partition by cand order by n, job) = 1""")
 def dash_opportunity(spark, d):
     """For every candidate the job with the fewest, but some, missing required skills."""
@@ -431,7 +479,8 @@ def set_except(spark, d):
     return load(spark, d, "skills").select(F.lower("canonical_name").alias("skill")).exceptAll(a.distinct())
 
 
-@_add("semi_missing_skills", f"with {_COVER}, c as (select distinct p.cand, p.job, w.skill from prs p join wt w on w.job = p.job) select c.cand, c.job, c.skill from c where not exists (select 1 from hv where hv.cand = c.cand and hv.skill = c.skill)")
+@_add("semi_missing_skills", f"""with {_COVER}, c as (select distinct p.cand, p.job, w.skill from prs p join wt w on w.job = p.job) select c.cand,
+    c.job, c.skill from c where not exists (select 1 from hv where hv.cand = c.cand and hv.skill = c.skill)""")
 def semi_missing_skills(spark, d):
     """Claimed gaps (every skill a job names) that are gaps indeed."""
     claims = pairs(spark, d).join(job_skills(spark, d).select("job", "skill").distinct(), "job")
@@ -440,7 +489,10 @@ def semi_missing_skills(spark, d):
     return claims.join(real, ["cand", "job", "skill"], "left_semi").select("cand", "job", "skill")
 
 
-@_add("txt_token_jaccard", f"select a.canonical_name as a, b.canonical_name as b, round({_JAC('lower(a.canonical_name)', 'lower(b.canonical_name)')}, 6) as score from skills a join skills b on a.category = b.category and a.canonical_name < b.canonical_name where {_JAC('lower(a.canonical_name)', 'lower(b.canonical_name)')} > 0")
+@_add("txt_token_jaccard", f"""select a.canonical_name as a, b.canonical_name as b,
+    round({_JAC('lower(a.canonical_name)', 'lower(b.canonical_name)')}, 6) as score from skills a
+    join skills b on a.category = b.category and a.canonical_name < b.canonical_name
+    where {_JAC('lower(a.canonical_name)', 'lower(b.canonical_name)')} > 0""")
 def txt_token_jaccard(spark, d):
     s = load(spark, d, "skills").select("category", F.col("canonical_name").alias("a"))
     rows = s.join(s.withColumnRenamed("a", "b"), "category").where("a < b")

@@ -89,9 +89,11 @@ def api_match(spark, d) -> DataFrame:
 
 @_add(
     "lookup_weights",
-    """with w as (select version, is_active, k, v from (values (1, true, 'education_match', 0.2), (2, true, 'education_match', 0.3), (3, false, 'education_match', 0.9)) t(version, is_active, k, v)),
+    """with w as (select version, is_active, k, v from (values (1, true, 'education_match', 0.2), (2, true, 'education_match', 0.3), (3, false,
+    'education_match', 0.9)) t(version, is_active, k, v)),
     n as (select k, arg_max(v, version) v from w where is_active group by k),
-    b as (select * from (values ('required_skill_coverage', 0.35), ('semantic_experience_similarity', 0.2), ('project_relevance_similarity', 0.15), ('preferred_skill_coverage', 0.1), ('education_match', 0.1), ('seniority_and_experience', 0.1)) t(k, v))
+    b as (select * from (values ('required_skill_coverage', 0.35), ('semantic_experience_similarity', 0.2), ('project_relevance_similarity', 0.15),
+    ('preferred_skill_coverage', 0.1), ('education_match', 0.1), ('seniority_and_experience', 0.1)) t(k, v))
     select b.k as feature, cast(coalesce(n.v, b.v) as double) as weight from b left join n using (k)""",
 )
 def lookup_weights(spark, d) -> DataFrame:

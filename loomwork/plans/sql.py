@@ -49,12 +49,14 @@ def resume_date(c: str, as_of: str) -> str:
     t = f"lower({strip(c)})"
     month = f"list_position(['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec'], regexp_extract({t}, '^([a-z]+)\\s+(\\d{{4}})$', 1)[1:3])"
     year = f"try_cast(regexp_extract({t}, '^([a-z]+)\\s+(\\d{{4}})$', 2) as int)"
-    return f"case when {t} in ('present','current') then date '{as_of}' when {month} > 0 and {year} > 0 then make_date({year}, cast({month} as int), 1) when regexp_matches({t}, '^\\d{{4}}$') and {t} <> '0000' then make_date(try_cast({t} as int), 1, 1) end"
+    return f"""case when {t} in ('present','current') then date '{as_of}' when {month} > 0 and {year} > 0 then make_date({year}, cast({month} as int),
+    1) when regexp_matches({t}, '^\\d{{4}}$') and {t} <> '0000' then make_date(try_cast({t} as int), 1, 1) end"""
 
 
 def lines(table: str, key: str = "id", text: str = "raw_text", name: str = "lines") -> str:
     clean = f"list_filter(list_transform(regexp_split_to_array({text}, '{T.LINE_BREAK}'), lambda x: {strip('x')}), lambda x: x <> '')"
-    return f"{name}_a as (select {key} doc, {clean} a from {table} where {text} is not null), {name} as (select doc, unnest(range(len(a))) pos, unnest(a) \"text\" from {name}_a)"
+    return f"""{name}_a as (select {key} doc, {clean} a from {table} where {text} is not null), {name} as (select doc, unnest(range(len(a))) pos,
+    unnest(a) \"text\" from {name}_a)"""
 
 
 def aliases(table: dict[str, list[str]], name: str = "al") -> str:
@@ -95,7 +97,8 @@ def ngrams(c: str, longest: int = 3) -> str:
 
 def entries(section: str, src: str = "seg", name: str = "ent") -> str:
     b = f"regexp_matches(\"text\", '{T.BULLET}')"
-    return f"""{name}_l as (select doc, pos, "text", {b} b, sum(case when {b} then 0 else 1 end) over (partition by doc order by pos rows between unbounded preceding and current row) e
+    return f"""{name}_l as (select doc, pos, "text", {b} b, sum(case when {b} then 0 else 1 end) over (partition by doc
+    order by pos rows between unbounded preceding and current row) e
     from {src} where section_type = '{section}' and not is_header),
 {name} as (select doc, e entry_no, max(case when not b then "text" end) as header,
     list({bullet('"text"')} order by pos) filter (b) as bullets from {name}_l where e > 0 group by doc, e)"""

@@ -31,18 +31,21 @@ def sink_insert_absent(spark, d):
     return R.insert_absent(old, new, ["resume_id", "job_id"], "id").select("id", "resume_id", "job_id")
 
 
-@_add("sink_resolve_fk", "select n.result_id, s.id as skill_id, n.canonical_name from (select distinct result_id, canonical_name from normalization_results) n join skills s using (canonical_name)")
+@_add("sink_resolve_fk", """select n.result_id, s.id as skill_id, n.canonical_name from (select distinct result_id, canonical_name
+    from normalization_results) n join skills s using (canonical_name)""")
 def sink_resolve_fk(spark, d):
     rows = load(spark, d, "normalization_results").select("result_id", "canonical_name").distinct()
     names = load(spark, d, "skills").select("id", F.col("canonical_name").alias("name"))
     return R.resolve_fk(rows, names, "canonical_name", "skill_id")
 
 
-_NEW = "nw as (select 'job_responsibility' entity_type, id entity_id, unnest(range(len(a))) chunk_index, unnest(a) chunk_text from (select id, parsed_profile.responsibilities a from jobs where len(parsed_profile.responsibilities) > 0))"
+_NEW = """nw as (select 'job_responsibility' entity_type, id entity_id, unnest(range(len(a))) chunk_index, unnest(a) chunk_text from (select id,
+    parsed_profile.responsibilities a from jobs where len(parsed_profile.responsibilities) > 0))"""
 
 
 @_add("sink_replace", f"""with {_NEW} select entity_type, entity_id, cast(chunk_index as bigint) as chunk_index, chunk_text from nw union all
-    select entity_type, entity_id, cast(chunk_index as bigint), chunk_text from (select distinct id, entity_type, entity_id, chunk_index, chunk_text from text_embeddings) t where not exists (select 1 from nw where nw.entity_type = t.entity_type and nw.entity_id = t.entity_id)""")
+    select entity_type, entity_id, cast(chunk_index as bigint), chunk_text from (select distinct id, entity_type, entity_id, chunk_index, chunk_text
+    from text_embeddings) t where not exists (select 1 from nw where nw.entity_type = t.entity_type and nw.entity_id = t.entity_id)""")
 def sink_replace(spark, d):
     """Chunks of every job written anew from its profile, the others kept."""
     old = load(spark, d, "text_embeddings").select("id", "entity_type", "entity_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), "chunk_text").distinct().drop("id")
@@ -58,7 +61,8 @@ def _gone(spark, d):
     return load(spark, d, "resumes").where("raw_text is null or trim(raw_text) = ''").select("id")
 
 
-@_add("sink_cascade_delete", f"""with {_GONE} select 'parent' as tbl, count(*) as n from resumes where id not in (select id from gone) union all select 'matches', count(*) from matches m where not exists (select 1 from gone where gone.id = m.resume_id)
+@_add("sink_cascade_delete", f"""with {_GONE} select 'parent' as tbl, count(*) as n from resumes where id not in (select id from gone)
+    union all select 'matches', count(*) from matches m where not exists (select 1 from gone where gone.id = m.resume_id)
     union all select 'chunks', count(*) from text_embeddings t where not exists (select 1 from gone where gone.id = t.entity_id)""")
 def sink_cascade_delete(spark, d):
     """Resumes without text go, and what hangs on them."""
@@ -71,7 +75,8 @@ def sink_cascade_delete(spark, d):
     return out
 
 
-@_add("sink_nullify_fk", f"with {_GONE} select distinct t.id, case when gone.id is null then t.resume_id end as resume_id from training_labels t left join gone on gone.id = t.resume_id")
+@_add("sink_nullify_fk", f"""with {_GONE} select distinct t.id, case when gone.id is null then t.resume_id end as resume_id from training_labels t
+    left join gone on gone.id = t.resume_id""")
 def sink_nullify_fk(spark, d):
     rows = load(spark, d, "training_labels").select("id", "resume_id").distinct()
     return R.nullify(rows, "resume_id", _gone(spark, d), "id").select("id", "resume_id")
@@ -87,10 +92,15 @@ def src_upsert_counts(spark, d):
 # --- evidence: stored responsibilities as what claims cite -------------------------------------------------------------
 
 #: For each responsibility a faithful claim, one with a changed number, one that cites past the end, and an inference.
-_CLAIMS = """rs as (select id doc, i, t from (select id, unnest(range(len(parsed_profile.responsibilities))) i, unnest(parsed_profile.responsibilities) t from jobs)),
-cl as (select doc, 'faithful-' || i claim_id, t txt, 'responsibilities[' || i || ']' as ref, false inf from rs union all select doc, 'changed-' || i, t || ' 4711', 'responsibilities[' || i || ']', false from rs
-    union all select doc, 'beyond-' || i, t, 'responsibilities[' || (i + 1000) || ']', false from rs union all select doc, 'inferred-' || i, t || ' 4711', null, true from rs),
-ck as (select c.*, r.t res, case when inf then null when ref is null then 'no reference' when r.t is null then 'does not resolve' when len(list_filter(regexp_extract_all(txt, '\\d+(?:\\.\\d+)?'), lambda x: not list_contains(regexp_extract_all(r.t, '\\d+(?:\\.\\d+)?'), x))) > 0 then 'fabricated number' end why
+_CLAIMS = """rs as (select id doc, i, t from (select id, unnest(range(len(parsed_profile.responsibilities))) i,
+    unnest(parsed_profile.responsibilities) t from jobs)),
+cl as (select doc, 'faithful-' || i claim_id, t txt, 'responsibilities[' || i || ']' as ref, false inf from rs union all select doc, 'changed-' || i,
+    t || ' 4711', 'responsibilities[' || i || ']', false from rs
+    union all select doc, 'beyond-' || i, t, 'responsibilities[' || (i + 1000) || ']', false from rs union all select doc, 'inferred-' || i,
+    t || ' 4711', null, true from rs),
+ck as (select c.*, r.t res,
+    case when inf then null when ref is null then 'no reference' when r.t is null then 'does not resolve' when len(list_filter(regexp_extract_all(txt,
+    '\\d+(?:\\.\\d+)?'), lambda x: not list_contains(regexp_extract_all(r.t, '\\d+(?:\\.\\d+)?'), x))) > 0 then 'fabricated number' end why
     from cl c left join rs r on r.doc = c.doc and c.ref = 'responsibilities[' || r.i || ']')"""
 
 
@@ -129,8 +139,10 @@ def ev_attach_text(spark, d):
 
 #: For each responsibility a faithful suggestion, one with a number it lacks, and one that is based on nothing.
 _RECS = _CLAIMS + """, rc as (select doc, 'faithful-' || i rec_id, t txt, 'responsibilities[' || i || ']' as ref, t res from rs
-    union all select doc, 'changed-' || i, t || ' 4711', 'responsibilities[' || i || ']', t from rs union all select doc, 'baseless-' || i, t, null, null from rs),
-rk as (select doc, rec_id, case when ref is null then 'no reference' when len(list_filter(regexp_extract_all(txt, '\\d+(?:\\.\\d+)?'), lambda x: not list_contains(regexp_extract_all(res, '\\d+(?:\\.\\d+)?'), x))) > 0 then 'fabricated number' end why from rc)"""
+    union all select doc, 'changed-' || i, t || ' 4711', 'responsibilities[' || i || ']', t from rs union all select doc, 'baseless-' || i, t, null,
+    null from rs),
+rk as (select doc, rec_id, case when ref is null then 'no reference' when len(list_filter(regexp_extract_all(txt, '\\d+(?:\\.\\d+)?'),
+    lambda x: not list_contains(regexp_extract_all(res, '\\d+(?:\\.\\d+)?'), x))) > 0 then 'fabricated number' end why from rc)"""
 
 
 def _recs(spark, d):
@@ -146,7 +158,8 @@ def ev_validate_recommendations(spark, d):
     return E.validate_recommendations(_recs(spark, d), _paths(spark, d)[0]).select("doc", "rec_id", "kept", "drop_reason")
 
 
-_GAPS = """ls as (select id doc, unnest(parsed_profile.skills) skill from resumes), said as (select distinct doc, skill from ls union select doc, canonical_name from (select distinct doc from ls), (select canonical_name from skills order by 1 limit 3)),
+_GAPS = """ls as (select id doc, unnest(parsed_profile.skills) skill from resumes), said as (select distinct doc, skill from ls union select doc,
+    canonical_name from (select distinct doc from ls), (select canonical_name from skills order by 1 limit 3)),
 gap as (select distinct canonical_name skill from skills where category = (select min(category) from skills))"""
 
 
@@ -167,14 +180,17 @@ def ev_missing_skills(spark, d):
     return E.validate_missing(*_said_and_gaps(spark, d)).select("doc", "skill", "kept")
 
 
-@_add("ev_explanation_passed", f"with {_RECS}, b as (select doc, why is null k from ck union all select doc, why is null from rk) select doc, count(*) as statements, count(*) filter (k) as kept, bool_and(k) as passed from b group by doc")
+@_add("ev_explanation_passed", f"""with {_RECS}, b as (select doc, why is null k from ck union all select doc, why is null from rk) select doc,
+    count(*) as statements, count(*) filter (k) as kept, bool_and(k) as passed from b group by doc""")
 def ev_explanation_passed(spark, d):
     paths = _paths(spark, d)[0]
     return E.explanation_passed(E.validate(_claims(spark, d), paths), E.validate_recommendations(_recs(spark, d), paths))
 
 
-@_add("prj_evidence_payload", """with r as (select id doc, unnest(range(len(parsed_profile.responsibilities))) i, unnest(parsed_profile.responsibilities) t from jobs),
-    l as (select id doc, 0 p, 0 i, '[title] "' || parsed_profile.title || '"' x from jobs union all select id, 1, 0, '[about] "' || parsed_profile.about || '"' from jobs union all select doc, 2, i, '[responsibilities[' || i || ']] "' || t || '"' from r)
+@_add("prj_evidence_payload", """with r as (select id doc, unnest(range(len(parsed_profile.responsibilities))) i,
+    unnest(parsed_profile.responsibilities) t from jobs),
+    l as (select id doc, 0 p, 0 i, '[title] "' || parsed_profile.title || '"' x from jobs union all select id, 1, 0,
+    '[about] "' || parsed_profile.about || '"' from jobs union all select doc, 2, i, '[responsibilities[' || i || ']] "' || t || '"' from r)
     select doc, string_agg(x, chr(10) order by p, i) as payload from l where x is not null group by doc""")
 def prj_evidence_payload(spark, d):
     """Every line of a job that may be cited, tagged with its reference."""
@@ -190,7 +206,10 @@ def prj_prompt(spark, d):
     return rows.select("doc", E.fill("Skills: {skills}\nCount: {n}", {"skills": F.array_join("s", ", "), "n": F.when(F.col("s").isNotNull(), F.size("s"))}).alias("prompt"))
 
 
-@_add("json_resolve_ref", "with r as (select id doc, unnest(range(len(parsed_profile.responsibilities))) i, unnest(parsed_profile.responsibilities) t from jobs) select doc, 'responsibilities[' || i || ']' as ref, t as \"text\" from r union all select id, 'title', parsed_profile.title from jobs where parsed_profile.title is not null union all select id, 'about', parsed_profile.about from jobs where parsed_profile.about is not null")
+@_add("json_resolve_ref", """with r as (select id doc, unnest(range(len(parsed_profile.responsibilities))) i,
+    unnest(parsed_profile.responsibilities) t from jobs) select doc, 'responsibilities[' || i || ']' as ref, t as \"text\" from r union all select id,
+    'title', parsed_profile.title from jobs where parsed_profile.title is not null union all select id, 'about', parsed_profile.about from jobs
+    where parsed_profile.about is not null""")
 def json_resolve_ref(spark, d):
     _, r = _paths(spark, d)
     j = load(spark, d, "jobs")
@@ -210,8 +229,10 @@ def evt_tumbling(spark, d):
     return tumbling(load(spark, d, "events"), "1 hour").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@_add("evt_sessions", """with g as (select user_id, ts, value, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval '30 minutes' then 0 else 1 end b, event_id from events),
-    s as (select user_id, ts, sum(b) over (partition by user_id order by ts, event_id) k from g) select user_id, min(ts) as start, count(*) as n from s group by user_id, k""")
+@_add("evt_sessions", """with g as (select user_id, ts, value, case when ts - lag(ts) over (partition by user_id order by ts,
+    event_id) < interval '30 minutes' then 0 else 1 end b, event_id from events),
+    s as (select user_id, ts, sum(b) over (partition by user_id order by ts, event_id) k from g) select user_id, min(ts) as start, count(*) as n
+    from s group by user_id, k""")
 def evt_sessions(spark, d):
     from loomwork.streaming.windows import sessions
 

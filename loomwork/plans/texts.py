@@ -54,7 +54,8 @@ def src_file_type(spark, d):
     return load(spark, d, "resumes").select("id", T.file_type("original_filename").alias("kind"))
 
 
-@_add("src_magic_prefix", "select id, case file_type when 'pdf' then coalesce(left(raw_text, 5) = '%PDF-', null) when 'docx' then left(raw_text, 4) = 'PK' || chr(3) || chr(4) else true end as ok from resumes")
+@_add("src_magic_prefix", """select id, case file_type when 'pdf' then coalesce(left(raw_text, 5) = '%PDF-', null) when 'docx' then left(raw_text,
+    4) = 'PK' || chr(3) || chr(4) else true end as ok from resumes""")
 def src_magic_prefix(spark, d):
     return load(spark, d, "resumes").select("id", T.magic_ok(F.col("file_type"), F.encode("raw_text", "UTF-8")).alias("ok"))
 
@@ -70,7 +71,8 @@ def src_major_group(spark, d):
     return load(spark, d, "matches").select("id", F.split_part("scoring_model_version", F.lit("-"), F.lit(1)).alias("major_group")).distinct()
 
 
-@_add("txt_clean_name", f"""select alias, {S.strip(f"regexp_replace({S.strip('alias')}, '(?i)\\s+software$', '')")} as clean, 'feed:' || regexp_replace(lower({S.strip('alias')}), '\\s+', '_', 'g') as category from
+@_add("txt_clean_name", f"""select alias, {S.strip(f"regexp_replace({S.strip('alias')}, '(?i)\\s+software$', '')")} as clean,
+    'feed:' || regexp_replace(lower({S.strip('alias')}), '\\s+', '_', 'g') as category from
     (select alias from skill_aliases union all select alias || ' Software' from skill_aliases) group by all""")
 def txt_clean_name(spark, d):
     a = load(spark, d, "skill_aliases").select("alias")
@@ -83,7 +85,8 @@ def txt_normalize_header(spark, d):
     return resume_lines(spark, d).select("text").distinct().withColumn("header", T.normalize_header("text"))
 
 
-@_add("txt_alias_lookup", f"with {S.lines('resumes')}, {S.aliases(T.RESUME_ALIASES)} select kind, count(*) as n, count(distinct doc) as docs from lines join al on al.name = {S.norm_header(chr(34) + 'text' + chr(34))} group by kind")
+@_add("txt_alias_lookup", f"""with {S.lines('resumes')}, {S.aliases(T.RESUME_ALIASES)} select kind, count(*) as n, count(distinct doc) as docs
+    from lines join al on al.name = {S.norm_header(chr(34) + 'text' + chr(34))} group by kind""")
 def txt_alias_lookup(spark, d):
     rows = resume_lines(spark, d).withColumn("kind", T.alias_type("text", T.RESUME_ALIASES)).where("kind is not null")
     return rows.groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("doc").alias("docs"))
@@ -110,29 +113,34 @@ def txt_bullets(spark, d):
     return resume_lines(spark, d).where(T.is_bullet(F.col("text"))).select("doc", F.col("pos").cast("bigint").alias("pos"), T.strip_bullet("text").alias("bullet"))
 
 
-@_add("win_segments", f"with {S.resume_sections()} select doc, seg_no, any_value(section_type) as section_type, any_value(raw_header) as raw_header, count(*) filter (not is_header) as n_lines from seg group by doc, seg_no")
+@_add("win_segments", f"""with {S.resume_sections()} select doc, seg_no, any_value(section_type) as section_type, any_value(raw_header) as raw_header,
+    count(*) filter (not is_header) as n_lines from seg group by doc, seg_no""")
 def win_segments(spark, d):
     return D.section_table(resume_segments(spark, d))
 
 
-@_add("win_segments_jobs", f"with {S.job_sections()} select doc, seg_no, any_value(section_type) as section_type, any_value(raw_header) as raw_header, count(*) filter (not is_header) as n_lines from seg group by doc, seg_no")
+@_add("win_segments_jobs", f"""with {S.job_sections()} select doc, seg_no, any_value(section_type) as section_type,
+    any_value(raw_header) as raw_header, count(*) filter (not is_header) as n_lines from seg group by doc, seg_no""")
 def win_segments_jobs(spark, d):
     return D.section_table(job_segments(spark, d))
 
 
-@_add("win_entries", f"with {S.resume_sections()}, {S.entries('experience')} select doc, cast(entry_no as bigint) as entry_no, header, cast(coalesce(len(bullets), 0) as bigint) as bullets, coalesce(array_to_string(bullets, '|'), '') as joined from ent")
+@_add("win_entries", f"""with {S.resume_sections()}, {S.entries('experience')} select doc, cast(entry_no as bigint) as entry_no, header,
+    cast(coalesce(len(bullets), 0) as bigint) as bullets, coalesce(array_to_string(bullets, '|'), '') as joined from ent""")
 def win_entries(spark, d):
     e = D.entries(resume_segments(spark, d), "experience")
     per = e.groupBy("doc", "entry_no").agg(F.first("header").alias("header"), F.array_sort(F.collect_list(F.when(F.col("bullet").isNotNull(), F.struct("bullet_no", "bullet")))).alias("b"))
     return per.select("doc", "entry_no", "header", F.size("b").cast("bigint").alias("bullets"), F.array_join(F.col("b.bullet"), "|").alias("joined"))
 
 
-@_add("txt_experience_header", f"with {S.resume_sections()}, {S.entries('experience')}, {S.experience()} select doc, cast(entry_no as bigint) as entry_no, title, organization, start_date, end_date from expr")
+@_add("txt_experience_header", f"""with {S.resume_sections()}, {S.entries('experience')}, {S.experience()} select doc,
+    cast(entry_no as bigint) as entry_no, title, organization, start_date, end_date from expr""")
 def txt_experience_header(spark, d):
     return D.experience(resume_segments(spark, d)).drop("bullets")
 
 
-@_add("date_parse_resume", f"with {S.resume_sections()}, {S.entries('experience')}, {S.experience()}, u as (select start_date t from expr union select end_date from expr) select t, {S.resume_date('t', AS_OF)} as day from u where t is not null")
+@_add("date_parse_resume", f"""with {S.resume_sections()}, {S.entries('experience')}, {S.experience()}, u as (select start_date t from expr
+    union select end_date from expr) select t, {S.resume_date('t', AS_OF)} as day from u where t is not null""")
 def date_parse_resume(spark, d):
     e = D.experience(resume_segments(spark, d))
     raw = e.select(F.explode(F.array("start_date", "end_date")).alias("t")).where("t is not null").distinct()
@@ -140,7 +148,8 @@ def date_parse_resume(spark, d):
 
 
 @_add("date_span_years", f"""with {S.resume_sections()}, {S.entries('experience')}, {S.experience()}
-    select doc, round(coalesce(greatest(date_diff('day', min({S.resume_date('start_date', AS_OF)}), max({S.resume_date('end_date', AS_OF)})) / cast(365.25 as double), 0), 0), 6) as years from expr group by doc""")
+    select doc, round(coalesce(greatest(date_diff('day', min({S.resume_date('start_date', AS_OF)}),
+    max({S.resume_date('end_date', AS_OF)})) / cast(365.25 as double), 0), 0), 6) as years from expr group by doc""")
 def date_span_years(spark, d):
     return X.experience_years(D.experience(resume_segments(spark, d)), AS_OF).select("doc", F.round("years", 6).alias("years"))
 
@@ -148,36 +157,45 @@ def date_span_years(spark, d):
 _EDU_PLAIN = S.strip(f"regexp_replace({S.strip(f"regexp_replace({chr(34)}text{chr(34)}, '^(.*?){T.YEAR}', '\\1')")}, ',+$', '')")
 
 
-@_add("txt_education", f"""with {S.resume_sections()}, p as (select doc, pos, {_EDU_PLAIN} plain, nullif(regexp_extract("text", '{T.YEAR}'), '') y from seg where section_type = 'education' and not is_header),
-    r as (select *, nullif(regexp_extract(plain, '{S.q(T.DEGREE)}', 1), '') g, list_filter(list_transform(regexp_split_to_array(case when regexp_matches(plain, '{S.q(T.DEGREE)}') then regexp_extract(plain, '{S.q(T.DEGREE)}', 2) else plain end, ','), lambda x: {S.strip('x')}), lambda x: x <> '') a from p)
-    select doc, pos, g as degree, case when len(a) >= 2 then a[1] end as field_of_study, case when len(a) >= 2 then array_to_string(a[2:], ', ') when len(a) = 1 then a[1] end as institution, y as graduation_year from r""")
+@_add("txt_education", f"""with {S.resume_sections()}, p as (select doc, pos, {_EDU_PLAIN} plain, nullif(regexp_extract("text", '{T.YEAR}'), '') y
+    from seg where section_type = 'education' and not is_header),
+    r as (select *, nullif(regexp_extract(plain, '{S.q(T.DEGREE)}', 1), '') g,
+    list_filter(list_transform(regexp_split_to_array(case when regexp_matches(plain, '{S.q(T.DEGREE)}') then regexp_extract(plain, '{S.q(T.DEGREE)}',
+    2) else plain end, ','), lambda x: {S.strip('x')}), lambda x: x <> '') a from p)
+    select doc, pos, g as degree, case when len(a) >= 2 then a[1] end as field_of_study, case when len(a) >= 2 then array_to_string(a[2:],
+    ', ') when len(a) = 1 then a[1] end as institution, y as graduation_year from r""")
 def txt_education(spark, d):
     return D.education(resume_segments(spark, d)).withColumn("pos", F.col("pos").cast("bigint"))
 
 
-@_add("txt_split_dedupe", f"""with {S.resume_sections()}, t as (select doc, pos, unnest(range(len(a))) k, unnest(a) item from (select doc, pos, list_transform(regexp_split_to_array("text", '[,;|/]'), lambda x: {S.bullet('x')}) a from seg where section_type = 'skills' and not is_header))
+@_add("txt_split_dedupe", f"""with {S.resume_sections()}, t as (select doc, pos, unnest(range(len(a))) k, unnest(a) item from (select doc, pos,
+    list_transform(regexp_split_to_array("text", '[,;|/]'), lambda x: {S.bullet('x')}) a from seg where section_type = 'skills' and not is_header))
     select doc, arg_min(item, pos * 100000 + k) as item from t where item <> '' group by doc, lower(item)""")
 def txt_split_dedupe(spark, d):
     return D.split_list(resume_segments(spark, d), "skills", True).select("doc", "item")
 
 
-@_add("txt_contact_regex", f"""with {S.resume_sections()}, f as (select *, min(seg_no) over (partition by doc) f from seg), c as (select doc, string_agg("text", chr(10) order by pos) b from f
+@_add("txt_contact_regex", f"""with {S.resume_sections()}, f as (select *, min(seg_no) over (partition by doc) f from seg), c as (select doc,
+    string_agg("text", chr(10) order by pos) b from f
     where ((seg_no = f and section_type in ('unlabeled', 'other')) or section_type = 'contact') and not is_header group by doc),
     n as (select doc, max(case when is_header then "text" end) n from f where seg_no = f and section_type in ('unlabeled', 'other') group by doc)
-    select coalesce(c.doc, n.doc) as doc, n as name, nullif(regexp_extract(b, '{T.EMAIL}'), '') as email, nullif(regexp_extract(b, '{S.q(T.PHONE)}'), '') as phone, nullif(regexp_extract(b, '{T.CITY_STATE}'), '') as location,
+    select coalesce(c.doc, n.doc) as doc, n as name, nullif(regexp_extract(b, '{T.EMAIL}'), '') as email, nullif(regexp_extract(b, '{S.q(T.PHONE)}'),
+    '') as phone, nullif(regexp_extract(b, '{T.CITY_STATE}'), '') as location,
     coalesce(array_to_string(regexp_extract_all(b, '{T.URL}'), ' '), '') as links from c full join n on c.doc = n.doc""")
 def txt_contact_regex(spark, d):
     c = D.contact(resume_segments(spark, d))
     return c.select("doc", "name", "email", "phone", "location", F.coalesce(F.array_join("links", " "), F.lit("")).alias("links"))
 
 
-@_add("prj_contact_block", f"""with {S.resume_sections()}, f as (select *, min(seg_no) over (partition by doc) f from seg) select doc, string_agg("text", chr(10) order by pos) as block from f
+@_add("prj_contact_block", f"""with {S.resume_sections()}, f as (select *, min(seg_no) over (partition by doc) f from seg) select doc,
+    string_agg("text", chr(10) order by pos) as block from f
     where ((seg_no = f and section_type in ('unlabeled', 'other')) or section_type = 'contact') and not is_header group by doc""")
 def prj_contact_block(spark, d):
     return D.contact(resume_segments(spark, d)).where("block is not null").select("doc", "block")
 
 
-@_add("prj_summary", f"""with {S.resume_sections()}, p as (select doc, seg_no, string_agg("text", ' ' order by pos) t from seg where section_type = 'summary' and not is_header group by doc, seg_no)
+@_add("prj_summary", f"""with {S.resume_sections()}, p as (select doc, seg_no, string_agg("text", ' ' order by pos) t from seg
+    where section_type = 'summary' and not is_header group by doc, seg_no)
     select doc, arg_min(t, seg_no) as "text" from p group by doc""")
 def prj_summary(spark, d):
     return D.joined_section(resume_segments(spark, d), "summary")
@@ -194,7 +212,8 @@ def prj_section_lines(spark, d):
     return D.section_items(job_segments(spark, d), "responsibilities")
 
 
-@_add("win_first_pick", f"""with {S.job_sections()}, f as (select *, min(seg_no) over (partition by doc) f from seg) select doc, arg_min("text", pos) as title from f where seg_no = f and section_type in ('unlabeled', 'other') group by doc""")
+@_add("win_first_pick", f"""with {S.job_sections()}, f as (select *, min(seg_no) over (partition by doc) f from seg) select doc, arg_min("text",
+    pos) as title from f where seg_no = f and section_type in ('unlabeled', 'other') group by doc""")
 def win_first_pick(spark, d):
     return D.job_title(job_segments(spark, d))
 
@@ -204,7 +223,8 @@ def txt_seniority(spark, d):
     return load(spark, d, "jobs").select("id", "title", T.seniority("title").alias("level")).distinct()
 
 
-@_add("txt_degree_rank", f"with {S.lines('resumes')} select \"text\", {S.degree(chr(34) + 'text' + chr(34))} as rank from (select distinct \"text\" from lines) where {S.degree(chr(34) + 'text' + chr(34))} is not null")
+@_add("txt_degree_rank", f"""with {S.lines('resumes')} select \"text\", {S.degree(chr(34) + 'text' + chr(34))} as rank from (select distinct \"text\"
+    from lines) where {S.degree(chr(34) + 'text' + chr(34))} is not null""")
 def txt_degree_rank(spark, d):
     rows = resume_lines(spark, d).select("text").distinct().withColumn("rank", T.degree_rank("text"))
     return rows.where("rank is not null")
@@ -222,8 +242,10 @@ def txt_normalize_term(spark, d):
     return load(spark, d, "normalization_results").where("raw_text is not null").select("raw_text").distinct().withColumn("norm", T.normalize_term("raw_text"))
 
 
-@_add("arr_numeric_subset", f"""with {S.lines('resumes')}, c as (select "text" a, lead("text") over (partition by doc order by pos) b, doc, pos from lines)
-    select doc, pos, len(list_filter(list_distinct(regexp_extract_all(a, '{T.NUMBER}')), lambda x: not list_contains(regexp_extract_all(b, '{T.NUMBER}'), x))) = 0 as within from c where b is not null""")
+@_add("arr_numeric_subset", f"""with {S.lines('resumes')}, c as (select "text" a, lead("text") over (partition by doc order by pos) b, doc, pos
+    from lines)
+    select doc, pos, len(list_filter(list_distinct(regexp_extract_all(a, '{T.NUMBER}')), lambda x: not list_contains(regexp_extract_all(b,
+    '{T.NUMBER}'), x))) = 0 as within from c where b is not null""")
 def arr_numeric_subset(spark, d):
     rows = resume_lines(spark, d).withColumn("b", F.lead("text").over(Window.partitionBy("doc").orderBy("pos"))).where("b is not null")
     return rows.select("doc", F.col("pos").cast("bigint").alias("pos"), T.numbers_within("text", "b").alias("within"))
@@ -243,12 +265,14 @@ def prj_doc_text(spark, d):
     return load(spark, d, "resumes").select("id", F.trim(F.concat(F.coalesce(p["summary"], F.lit("")), F.lit(" "), F.coalesce(F.array_join(p["skills"], ", "), F.lit("")))).alias("doc"))
 
 
-@_add("prj_chunks", "select id, unnest(range(len(a))) as chunk_index, unnest(a) as chunk_text from (select id, parsed_profile.responsibilities a from jobs where parsed_profile.responsibilities is not null)")
+@_add("prj_chunks", """select id, unnest(range(len(a))) as chunk_index, unnest(a) as chunk_text from (select id, parsed_profile.responsibilities a
+    from jobs where parsed_profile.responsibilities is not null)""")
 def prj_chunks(spark, d):
     return load(spark, d, "jobs").select("id", F.posexplode("parsed_profile.responsibilities").alias("chunk_index", "chunk_text")).withColumn("chunk_index", F.col("chunk_index").cast("bigint"))
 
 
-@_add("prj_redact_log", """select id, created_at, case when raw_text is not null then '[REDACTED]' end as raw_text, case when parsed_profile is not null then '[REDACTED]' end as parsed_profile,
+@_add("prj_redact_log", """select id, created_at, case when raw_text is not null then '[REDACTED]' end as raw_text,
+    case when parsed_profile is not null then '[REDACTED]' end as parsed_profile,
     cast(len(raw_text) as bigint) as n from resumes""")
 def prj_redact_log(spark, d):
     """Rows as they may be logged: sensitive columns are masked at any depth."""
@@ -261,7 +285,8 @@ def agg_median(spark, d):
     return D.body_font_size(resume_lines(spark, d).select("doc", F.length("text").cast("double").alias("font_size")))
 
 
-@_add("metric_extraction_pr", f"""with {S.resume_sections()}, t as (select distinct doc, lower({S.bullet('item')}) item from (select doc, unnest(regexp_split_to_array("text", '[,;|/]')) item from seg where section_type = 'skills' and not is_header)),
+@_add("metric_extraction_pr", f"""with {S.resume_sections()}, t as (select distinct doc, lower({S.bullet('item')}) item from (select doc,
+    unnest(regexp_split_to_array("text", '[,;|/]')) item from seg where section_type = 'skills' and not is_header)),
     x as (select doc, item from t where item <> ''), g as (select distinct id doc, lower(unnest(parsed_profile.skills)) item from resumes),
     n as (select (select count(*) from x join g using (doc, item)) tp, (select count(*) from x) px, (select count(*) from g) pg)
     select round(tp / px, 6) as precision, round(tp / pg, 6) as recall from n""")
