@@ -222,7 +222,7 @@ def _blocks(rows_of: np.ndarray) -> np.ndarray:
 
 
 class _Seen(dict):
-    """Nodes that a task has entered, with whether they asked; forgets all at a million, so that memory stays bounded."""
+    """Nodes that a task has entered, with whether they asked; forgets all at 250,000, so that memory stays bounded."""
 
     def new(self, nodes: np.ndarray, asked: np.ndarray) -> np.ndarray:
         """Rows that add something: the first of a node, and the first that asks."""
@@ -230,7 +230,7 @@ class _Seen(dict):
         for k, (node, q) in enumerate(zip(nodes, asked, strict=True)):
             had = self.get(node)
             if had is None or (q and not had):
-                if len(self) > 1_000_000:
+                if len(self) > 250_000:
                     self.clear()
                 self[node] = bool(q)
                 out.append(k)
