@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import io
+import re
 import uuid
+import zipfile
+import zlib
+from collections.abc import Callable, Iterator
+from xml.sax.saxutils import escape
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +23,7 @@ from loomwork.plans import matching, stores
 from loomwork.plans import sql as S
 from loomwork.plans.texts import resume_segments
 from loomwork.session import materialize, shared_dir
-from loomwork.sources import feeds
+from loomwork.sources import feeds, files
 from loomwork.tables import load
 
 QUERIES, ORACLE = {}, {}
@@ -189,3 +196,84 @@ def sink_stream_ingest(spark, d) -> DataFrame:
     stream = stream_table(spark, source, rows.schema, 1)
     append_absent(stream, target, ["id"], "label_source", f"{target}-checkpoint", 16).awaitTermination()
     return spark.read.parquet(target).select("id", "label_source")
+
+
+# --- documents: the texts are packed into files of each type and read back ------------------------------------------------
+
+_LINES_SQL = """with c as (select id doc, regexp_replace(raw_text, '[^ -~\\n\\r]', '', 'g') t from resumes where raw_text is not null),
+    l as (select doc, unnest(range(len(a))) i, unnest(a) x from (select doc, regexp_split_to_array(t, '\\r\\n|\\n|\\r') a from c)),
+    k as (select doc, i, regexp_replace(trim(x), ' +', ' ', 'g') x from l where trim(x) <> '')
+    select doc, cast(row_number() over (partition by doc order by i) - 1 as bigint) as pos, x as \"text\" from k"""
+
+
+def _docx(lines: list[str], extra: bool = False) -> bytes:
+    space = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    paragraphs = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(x)}</w:t></w:r></w:p>' for x in lines)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{space}"><w:body>{paragraphs}</w:body></w:document>')
+        if extra:
+            z.writestr("word/extra.xml", '<!DOCTYPE a [<!ENTITY b "c">]><a/>')
+    return out.getvalue()
+
+
+def _pdf(lines: list[str]) -> bytes:
+    shown = "\n".join("(" + re.sub(r"([\\()])", r"\\\1", x) + ") Tj T*" for x in lines)
+    body = zlib.compress(f"BT /F1 10 Tf 14 TL 50 750 Td\n{shown} ET".encode("latin-1"))
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [3 0 R] /Count 1 >>"]
+    objects += [b"<< /Type /Page /Parent 2 0 R /Contents 4 0 R /Resources << /Font << /F1 5 0 R >> >> >>"]
+    objects += [b"<< /Length %d /Filter /FlateDecode >>\nstream\n%s\nendstream" % (len(body), body), b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>"]
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (k, o) for k, o in enumerate(objects, 1)) + b"%%EOF"
+
+
+def _packed(spark, d, ending: str, pack: Callable[[list[str], str], bytes]) -> DataFrame:
+    """The printable ASCII lines of every resume as one file each, parsed."""
+    rows = load(spark, d, "resumes").where("raw_text is not null").select("id", F.regexp_replace("raw_text", r"[^ -~\n\r]", "").alias("t"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            content = [pack([x for x in re.split(r"\r\n|\n|\r", t) if x.strip()], t) for t in pdf["t"]]
+            yield pd.DataFrame({"path": pdf["id"] + ending, "length": [len(c) for c in content], "content": content})
+
+    return files.parse_documents(rows.mapInPandas(run, "path string, length long, content binary"))
+
+
+def _lines_of(documents: DataFrame) -> DataFrame:
+    lines = files.document_lines(documents)
+    return lines.select(F.split_part("doc", F.lit("."), F.lit(1)).alias("doc"), "pos", F.regexp_replace("text", " +", " ").alias("text"))
+
+
+@_add("src_docx_lines", _LINES_SQL)
+def src_docx_lines(spark, d) -> DataFrame:
+    return _lines_of(_packed(spark, d, ".docx", lambda lines, _: _docx(lines)))
+
+
+@_add("src_pdf_lines", _LINES_SQL)
+def src_pdf_lines(spark, d) -> DataFrame:
+    return _lines_of(_packed(spark, d, ".pdf", lambda lines, _: _pdf(lines)))
+
+
+@_add(
+    "src_docx_refused",
+    f"""with n as ({_LINES_SQL}), has as (select distinct doc from n), c as (select id doc, length(regexp_replace(raw_text, '[^ -~\\n\\r]', '', 'g')) k from resumes where raw_text is not null)
+    select c.doc, case when k % 2 = 0 then 'refused part: word/extra.xml' when has.doc is null then 'no text' end as error from c left join has on has.doc = c.doc""",
+)
+def src_docx_refused(spark, d) -> DataFrame:
+    """Archives of texts of even length declare an entity in one of their parts."""
+    rows = _packed(spark, d, ".docx", lambda lines, t: _docx(lines, len(t) % 2 == 0))
+    return rows.select(F.split_part("path", F.lit("."), F.lit(1)).alias("doc"), "error")
+
+
+@_add(
+    "src_upload_verdict",
+    """with f as (select id, original_filename p, octet_length(encode(raw_text)) n, raw_text t,
+    case when contains(original_filename, '.') then lower(regexp_extract(original_filename, '[^.]*$')) else '' end e from resumes where raw_text is not null and original_filename is not null)
+    select id, case when n > 4000 then 'too large' when e not in ('txt', 'docx', 'pdf') then 'unsupported type: ' || case e when '' then 'none' else e end
+    when e in ('docx', 'pdf') then 'content does not match the type' when not regexp_matches(t, '\\S') then 'no text' end as error from f""",
+)
+def src_upload_verdict(spark, d) -> DataFrame:
+    """What an upload of each text under its file's name would be told, with a cap of 4,000 bytes."""
+    rows = load(spark, d, "resumes").where("raw_text is not null and original_filename is not null")
+    content = F.encode("raw_text", "UTF-8")
+    rows = rows.select(F.concat("id", F.lit("/"), "original_filename").alias("path"), F.octet_length("raw_text").cast("bigint").alias("length"), content.alias("content"))
+    return files.parse_documents(rows, most=4000).select(F.split_part("path", F.lit("/"), F.lit(1)).alias("id"), "error")

@@ -143,10 +143,9 @@ def _within(seconds: float, parser: Callable[[bytes], Parsed], content: bytes) -
         pool.shutdown(wait=False, cancel_futures=True)
 
 
-def read_documents(spark: SparkSession, folder: str, parsers: dict[str, Callable[[bytes], Parsed]] | None = None, most: int = UPLOAD_BYTES) -> DataFrame:
-    """(path, kind, error, lines) of every file in a folder. Files beyond `most` bytes are never read: the filter on the
-    length reaches the source, and they come back with an error instead."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+def parse_documents(contents: DataFrame, parsers: dict[str, Callable[[bytes], Parsed]] | None = None, most: int = UPLOAD_BYTES) -> DataFrame:
+    """contents(path, length, content) -> (path, kind, error, lines). What is longer than `most` bytes comes back with an error; its
+    content is not looked at, and where it comes from files it is never read, since the filter reaches the source."""
     chosen = parsers or PARSERS
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,11 +157,17 @@ def read_documents(spark: SparkSession, folder: str, parsers: dict[str, Callable
             yield pd.DataFrame(rows, columns=["path", "kind", "error", "lines"])
 
     schema = "path string, kind string, error string, lines array<struct<pos: long, text: string, font_size: double, bold: boolean, style_name: string>>"
-    read = files.where(F.col("length") <= most).select("path", "content").mapInPandas(run, schema)
-    big = files.where(F.col("length") > most).select("path", T.file_type("path").alias("kind"), F.lit("too large").alias("error"))
+    read = contents.where(F.col("length") <= most).select("path", "content").mapInPandas(run, schema)
+    big = contents.where(F.col("length") > most).select("path", T.file_type("path").alias("kind"), F.lit("too large").alias("error"))
     return read.unionByName(big, allowMissingColumns=True)
 
 
+def read_documents(spark: SparkSession, folder: str, parsers: dict[str, Callable[[bytes], Parsed]] | None = None, most: int = UPLOAD_BYTES) -> DataFrame:
+    """(path, kind, error, lines) of every file in a folder; see parse_documents."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return parse_documents(files.select("path", "length", "content"), parsers, most)
+
+
 def document_lines(documents: DataFrame) -> DataFrame:
     """(doc, pos, text, font_size, bold, style_name) of the files that could be read."""
     return documents.where("error is null").select(F.col("path").alias("doc"), F.inline("lines"))
