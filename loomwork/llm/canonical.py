@@ -20,7 +20,7 @@ from loomwork.tables import load
 
 #: A span means the skill of its nearest entry if their cosine reaches LEAST_COSINE and what it lacks to 1 is at most MARGIN
 #: times what every other skill lacks.
-LEAST_COSINE, MARGIN = 0.61, 0.74
+LEAST_COSINE, MARGIN = 0.63, 0.74
 #: Below this cosine an entry decides nothing: it neither wins nor comes within the margin of a winner.
 FLOOR = 1 - (1 - LEAST_COSINE) / MARGIN
 #: Weight of an n-gram: its inverse document frequency to this power. Weights of overlapping spans: cosine times a power of

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwork.llm.common import records
-from loomwork.session import drop_path, materialize, shared_dir
+from loomwork.session import drop_path, materialize, temporary_path
 from loomwork.tables import load
 
 #: Strength of a cut after a character: space < sentence end < line break < blank line.
@@ -255,7 +254,7 @@ def p7_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_files(spark: SparkSession, sf_dir: str, limit: int = 3000, range_bytes: int = 1 << 20) -> DataFrame:
     """Giant files: the resumes written as text files into the shared folder, cut by byte range without loading a file.
     Every file is one item; start and stop are code points in it."""
-    folder = f"{shared_dir(spark).rstrip('/')}/loomwork-files-{uuid.uuid4().hex}"
+    folder = temporary_path(spark, "files")
     load(spark, sf_dir, "resumes").select(F.col("raw_text").alias("value")).where("value is not null").write.text(folder)
     files = files_below(spark, folder)
     if not any(n for _, n in files):
