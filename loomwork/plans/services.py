@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import io
 import re
-import uuid
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
@@ -22,7 +21,7 @@ from loomwork.operators import store as R
 from loomwork.plans import matching, stores
 from loomwork.plans import sql as S
 from loomwork.plans.texts import resume_segments
-from loomwork.session import materialize, shared_dir
+from loomwork.session import materialize, temporary_path
 from loomwork.sources import feeds, files
 from loomwork.tables import load
 
@@ -39,10 +38,6 @@ def _add(name: str, sql: str | None = None):
     return wrap
 
 
-def _folder(spark, what: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/loomwork-{what}-{uuid.uuid4().hex}"
-
-
 @_add(
     "txt_flat_split",
     f"""with {S.resume_sections()}, t as (select doc, unnest(list_transform(regexp_split_to_array("text", '[,;|/]'), lambda x: {S.bullet('x')})) item
@@ -162,7 +157,7 @@ def _told(rows: DataFrame) -> DataFrame:
 @_add("src_json_profiles", _PROFILE_SQL)
 def src_json_profiles(spark, d) -> DataFrame:
     """Profiles written as JSON and read again."""
-    folder = _folder(spark, "profiles")
+    folder = temporary_path(spark, "profiles")
     feeds.write_profiles(_profiles(spark, d), folder)
     return _told(feeds.profiles(spark, folder, lines=True))
 
@@ -170,7 +165,7 @@ def src_json_profiles(spark, d) -> DataFrame:
 @_add("src_cached", _PROFILE_SQL)
 def src_cached(spark, d) -> DataFrame:
     """The same from a cache that is built on the first call and answers the second."""
-    folder, built = _folder(spark, "cache"), []
+    folder, built = temporary_path(spark, "cache"), []
 
     def build() -> DataFrame:
         built.append(1)
@@ -188,13 +183,13 @@ def sink_stream_ingest(spark, d) -> DataFrame:
     """Label rows that arrive as a stream of files, each id appended once."""
     from loomwork.streaming.ingest import append_absent, stream_table
 
-    source, target = _folder(spark, "arrivals"), _folder(spark, "ingested")
+    source, target = temporary_path(spark, "arrivals"), temporary_path(spark, "ingested")
     rows = load(spark, d, "training_labels").where("label_source is not null").select("id", "label_source").distinct()
     rows = materialize(rows.groupBy("id").agg(F.min("label_source").alias("label_source")))
     for part in (rows, rows.where(F.pmod(F.xxhash64("id"), F.lit(2)) == 0)):  # the second batch brings what is stored
         part.coalesce(1).write.mode("append").parquet(source)
     stream = stream_table(spark, source, rows.schema, 1)
-    append_absent(stream, target, ["id"], "label_source", f"{target}-checkpoint", 16).awaitTermination()
+    append_absent(stream, target, ["id"], "label_source", temporary_path(spark, "checkpoint"), 16).awaitTermination()
     return spark.read.parquet(target).select("id", "label_source")
 
 

@@ -107,18 +107,24 @@ def temporary_tables(spark: SparkSession) -> Iterator[None]:
             _left.discard(path)
 
 
+def temporary_path(spark: SparkSession, what: str) -> str:
+    """A new name in the shared folder for something that goes when tables of materialize() do."""
+    path = f"{shared_dir(spark).rstrip('/')}/loomwork-{what}-{uuid.uuid4().hex}"
+    if not _left:
+        atexit.register(_drop_left, spark)
+    _left.add(path)
+    if _open:
+        _open[-1].append(path)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: lineage ends there, and a lost executor costs
     nothing that was finished. The table goes at the end of the temporary_tables() scope around it, through release(), or
     when the process ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/loomwork-{uuid.uuid4().hex}"
+    path = temporary_path(spark, "table")
     df.write.parquet(path)
-    if not _left:
-        atexit.register(_drop_left, spark)
-    _left.add(path)
-    if _open:
-        _open[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._loomwork_path = path  # noqa: SLF001
     return out
