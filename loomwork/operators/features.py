@@ -11,6 +11,8 @@ from loomwork.functions.dates import parse_resume_date, span_years
 from loomwork.session import fresh, materialize
 
 NEUTRAL = 0.7
+#: Rows of a group that a window may put in order in one task.
+WINDOW_ROWS = 1_000_000
 FEATURES = [
     "required_skill_coverage",
     "preferred_skill_coverage",
@@ -130,9 +132,13 @@ def rank_within(df: DataFrame, group: str, score: str, tie: str) -> DataFrame:
     """df with the rank of every row in its group, best score first, nulls last, ties to the smaller `tie`; rows without a
     group are a group of their own.
 
-    Rows are range-partitioned by group, score and tie, so a hot group spreads over many tasks; each part is numbered by
-    itself and starts where the parts before it end. Only (group, part) counts are put in order across parts.
+    The groups are counted first. While the largest has at most WINDOW_ROWS rows, a window numbers them. Else rows are
+    range-partitioned by group, score and tie, so a hot group spreads over many tasks; each part is numbered by itself and
+    starts where the parts before it end. Only (group, part) counts are put in order across parts. Both give the same ranks.
     """
+    largest = df.groupBy(group).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
+    if largest <= WINDOW_ROWS:
+        return df.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), tie)).cast("bigint"))
     part, ahead, other = fresh(df.columns, "_part"), fresh(df.columns, "_ahead"), fresh(df.columns, "_other")
     ranged = materialize(df.repartitionByRange(F.col(group), F.desc(score), F.col(tie)).withColumn(part, F.spark_partition_id()))
     before = Window.partitionBy(group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)

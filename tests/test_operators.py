@@ -243,7 +243,9 @@ def test_store(spark):
     assert [tuple(r) for r in long.collect()] == [("m", "a", 0.5)]
 
 
-def test_rank_of_a_hot_group(spark):
+@pytest.mark.parametrize("rows_of_a_window", [10**6, 100])
+def test_rank_of_a_hot_group(spark, monkeypatch, rows_of_a_window):
+    monkeypatch.setattr(X, "WINDOW_ROWS", rows_of_a_window)
     rows = [("hot", i % 7, f"t{i:05d}") for i in range(3000)] + [("g", None, "a"), ("g", 1, "b"), (None, 1, "c")]
     df = spark.createDataFrame(rows, "g string, s int, t string")
     got = {r["t"]: r["rank"] for r in X.rank_within(df, "g", "s", "t").collect()}
@@ -312,7 +314,9 @@ def test_generated_pairs(spark):
     assert B.generate_pairs(left, right.limit(0)).count() == 0 and B.generate_pairs(left.limit(0), right).count() == 0
 
 
-def test_rank_keeps_rows_without_a_group(spark):
+@pytest.mark.parametrize("rows_of_a_window", [10**6, 0])
+def test_rank_keeps_rows_without_a_group(spark, monkeypatch, rows_of_a_window):
+    monkeypatch.setattr(X, "WINDOW_ROWS", rows_of_a_window)
     df = spark.createDataFrame([("g", 1.0, "a"), ("g", 2.0, "b"), (None, 5.0, "c"), (None, 6.0, "d"), ("h", None, "e")], "g string, s double, t string")
     assert {(r["t"], r["rank"]) for r in X.rank_within(df, "g", "s", "t").collect()} == {("a", 2), ("b", 1), ("c", 2), ("d", 1), ("e", 1)}
 
