@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import html
+import math
 import re
 from collections.abc import Iterator
 
@@ -16,10 +17,8 @@ from loomwork.llm.common import WordHashes, records, shingle_hashes, words
 from loomwork.session import materialize
 from loomwork.tables import load
 
-#: Words of a seed, the shortest match that is tiled, and how many of an item's seeds a document must hold at the positions
-#: that are looked up. A run of `least` words has least - SEED + 1 seeds; every (that // HITS)-th position is looked up, so
-#: it is hit HITS times wherever it lies.
-SEED, HITS = 8, 3
+#: Words of a seed and the shortest match that is tiled.
+SEED = 8
 #: Share of an item's words that must lie under tiles for a document whose longest tile is shorter than a passage.
 COVERAGE = 0.5
 #: Parts into which the documents of a seed are dealt where seeds meet in a join.
@@ -99,20 +98,33 @@ class _Items:
         seen = WordHashes()
         self.ids, self.hashes = ids, [seen.array(plain_words(t or "")) for t in texts]
         seeds = [shingle_hashes(h, SEED) for h in self.hashes]
+        seeds = [np.unique(s) for s in seeds]
         owner = np.repeat(np.arange(len(ids)), [len(s) for s in seeds])
         joined = np.concatenate(seeds) if seeds else np.empty(0, np.uint64)
         order = np.argsort(joined, kind="stable")
         self.seeds, self.owner = joined[order], owner[order]
-
-    def candidates(self, doc: np.ndarray, stride: int) -> np.ndarray:
-        """Items that share HITS of the seeds looked up; one that repeats a seed counts once for each of the document's."""
-        probe = shingle_hashes(doc, SEED)[::stride]
-        low, high = np.searchsorted(self.seeds, probe, "left"), np.searchsorted(self.seeds, probe, "right")
-        hit = np.flatnonzero(high > low)
-        if not len(hit):
-            return hit
-        owners = np.concatenate([np.unique(self.owner[low[k] : high[k]]) for k in hit])
-        return np.flatnonzero(np.bincount(owners) >= HITS)
+        self.maybe = np.zeros(1 << 22, bool)
+        self.maybe[self.seeds >> np.uint64(42)] = True
+
+    def candidates(self, doc: np.ndarray, least: int, coverage: float) -> np.ndarray:
+        """Items whose seeds stand at as many positions of the document as any leak has, see _hits; one that repeats a seed
+        counts once for each of the document's."""
+        probe = shingle_hashes(doc, SEED)
+        probe = probe[self.maybe[probe >> np.uint64(42)]]
+        low = np.searchsorted(self.seeds, probe, "left")
+        n = np.searchsorted(self.seeds, probe, "right") - low
+        if not n.any():
+            return np.empty(0, np.int64)
+        owners = self.owner[np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
+        hits = np.bincount(owners)
+        found = np.flatnonzero(hits)
+        return np.array([k for k in found if hits[k] >= _hits(len(self.hashes[k]), least, coverage)], np.int64)
+
+
+def _hits(item_words: int, least: int, coverage: float) -> int:
+    """The fewest positions of a document at which a leak has seeds of the item: a run of `least` words has
+    least - SEED + 1, and words under tiles have one for SEED of them at least."""
+    return min(least - SEED + 1, math.ceil(max(least, coverage * item_words) / SEED))
 
 
 _PAIR_SCHEMA = "doc_id bigint, item_id bigint, longest int, covered int, item_words int"
@@ -134,14 +146,12 @@ def leaked_pairs(docs: DataFrame, items: DataFrame, least: int = 20, coverage: f
     here and there. covered counts the words of the item under all tiles. Null and empty texts leak nothing; ids that are
     repeated count once (the smallest text of an item); repeated rows of a document give one row.
 
-    Every run of `least` words is found. A leak by coverage is found if the document holds HITS of the item's seeds at the
-    positions looked up, as any HITS runs of SEED + stride - 1 words do. Documents are read once. The items are broadcast
-    while their seeds number at most MAX_BROADCAST_SEEDS, which is checked; beyond that, seeds meet in a join, where the
-    documents of every seed are dealt to SALTS tasks, however many share it.
+    Every leak of either kind is found: seeds are looked up at every position of a document. Documents are read once. The
+    items are broadcast while their seeds number at most MAX_BROADCAST_SEEDS, which is checked; beyond that, seeds meet in
+    a join, where the documents of every seed are dealt to SALTS tasks, however many share it.
     """
-    stride = (least - SEED + 1) // HITS
-    if stride < 1:
-        raise ValueError(f"least must be at least {SEED + HITS - 1}")
+    if least < SEED:
+        raise ValueError(f"least must be at least {SEED}")
     spark = docs.sparkSession
     held = records(items.where(F.col("text").isNotNull()), ["item_id"], ["text"])
     docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
@@ -159,7 +169,7 @@ def leaked_pairs(docs: DataFrame, items: DataFrame, least: int = 20, coverage: f
                     if len(tokens) < least:
                         continue
                     doc = seen.array(tokens)
-                    for k in known.candidates(doc, stride):
+                    for k in known.candidates(doc, least, coverage):
                         got = _measure(doc, known.hashes[k], least, coverage)
                         if got:
                             out.append((doc_id, known.ids[k], *got, len(known.hashes[k])))
@@ -167,23 +177,24 @@ def leaked_pairs(docs: DataFrame, items: DataFrame, least: int = 20, coverage: f
 
         return docs.mapInPandas(scan, _PAIR_SCHEMA).dropDuplicates(["doc_id", "item_id"])
 
-    def seed_rows(name: str, step: int):
+    def seed_rows(name: str):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             seen = WordHashes()
             for pdf in batches:
                 for key, text in zip(pdf[name], pdf["text"], strict=True):
-                    got = shingle_hashes(seen.array(plain_words(text)), SEED)[::step]
-                    got, n = np.unique(got, return_counts=True)
-                    yield pd.DataFrame({"seed": got.view(np.int64), name: key, "n": n})
+                    tokens = plain_words(text)
+                    got, n = np.unique(shingle_hashes(seen.array(tokens), SEED), return_counts=True)
+                    hits = _hits(len(tokens), least, coverage)
+                    yield pd.DataFrame({"seed": got.view(np.int64), name: key, "n": n, "hits": hits})
 
         return run
 
-    left = docs.mapInPandas(seed_rows("doc_id", stride), "seed bigint, doc_id bigint, n bigint").distinct()
-    right = held.mapInPandas(seed_rows("item_id", 1), "seed bigint, item_id bigint, n bigint").drop("n")
+    left = docs.mapInPandas(seed_rows("doc_id"), "seed bigint, doc_id bigint, n bigint, hits bigint").drop("hits").distinct()
+    right = held.mapInPandas(seed_rows("item_id"), "seed bigint, item_id bigint, n bigint, hits bigint").drop("n")
     left = left.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    pairs = left.join(right, ["seed", "salt"]).groupBy("doc_id", "item_id").agg(F.sum("n").alias("n"))
-    pairs = materialize(pairs.where(F.col("n") >= HITS).select("doc_id", "item_id"))
+    pairs = left.join(right, ["seed", "salt"]).groupBy("doc_id", "item_id").agg(F.sum("n").alias("n"), F.first("hits").alias("hits"))
+    pairs = materialize(pairs.where(F.col("n") >= F.col("hits")).select("doc_id", "item_id"))
     both = pairs.join(docs.withColumnRenamed("text", "a"), "doc_id").join(held.withColumnRenamed("text", "b"), "item_id")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

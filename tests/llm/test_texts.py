@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from loomwork.llm import canonical as C
@@ -223,6 +224,35 @@ def test_reordered_passages_leak_by_coverage(spark, most, monkeypatch):
     assert not [r for r in L.leaked_pairs(docs, items, coverage=1.1).collect()]
 
 
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_leaks_in_pieces_are_found_wherever_they_lie(spark, most, monkeypatch):
+    """Pieces of exactly 8 words at places that are no multiple of 4."""
+    monkeypatch.setattr(L, "MAX_BROADCAST_SEEDS", most)
+    w = [f"wort{i}" for i in range(40)]
+    rows = []
+    for shift in range(8):
+        parts = ["x " * (shift + 1), " ".join(w[0:8]), "y " * 5, " ".join(w[16:24]), "z " * 6, " ".join(w[32:40])]
+        rows.append((shift, " ".join(parts)))
+        rows.append((shift + 10, " ".join(parts[:4])))  # 16 words only
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(w))], "item_id long, text string")
+    got = {r["doc_id"]: (r["longest"], r["covered"]) for r in L.leaked_pairs(docs, items).collect()}
+    assert got == dict.fromkeys(range(8), (8, 24))
+
+
+def test_candidates_hold_every_leak_of_random_texts():
+    rng = random.Random(4)
+    for _ in range(60):
+        item = [f"w{rng.randrange(60)}" for _ in range(rng.choice([20, 33, 60, 120]))]
+        known = L._Items([1], [" ".join(item)])
+        doc = []
+        for _ in range(rng.randrange(1, 12)):
+            at, n = rng.randrange(len(item)), rng.randrange(6, 14)
+            doc += item[at : at + n] + ["other"] * rng.randrange(1, 4)
+        hashes = np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in doc], np.uint64)
+        if L._measure(hashes, known.hashes[0], 20, 0.5):
+            assert list(known.candidates(hashes, 20, 0.5)) == [0]
+
+
 NAMES = [("s1", "Handomrne"), ("s2", "Handomrne Native"), ("s3", "Momixmua"), ("s4", "MomixmuaJS"), ("s5", "Gnokathpeo Cloud"), ("s6", "Kimiquemin"), ("s6", "KQM "), ("s7", "Zerritathoo.js"), ("s8", "Twice"), ("s9", "twice"), ("s0", None)]
 VALUES = {
     "handomrne": "s1", "working with HANDOMRNE NATIVE daily": "s2", "Hanodmrne v3.1": "s1", "momixmuaj": None, "Cloud, Gnokathpeo": "s5", "K I M I Q U E M I N": "s6", "some kqm": "s6", "kqn": None,
