@@ -9,15 +9,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.session import materialize
 from loomwork.tables import load
 
-#: Relative frequency below which a word or a pair of words counts as that rare: one in RARE, in a corpus of any size. At
-#: most RARE words and RARE pairs lie above it, which bounds what is broadcast; page_scores(exact=True) has no such floor.
+#: A word or a pair of words is taken for no rarer than half of one in RARE (a pair: a twentieth) when PMI is smoothed.
 RARE = 1 << 21
+#: Counts of words and pairs that are broadcast: all of them, or, where there are more, those of at least one in HELD / 2 of
+#: all words or pairs, of which there are no more than that. The others meet their pages in joins.
+HELD = 1 << 22
 #: A collocation is repeated excessively if a page has it REPEATS times and EXCESS times as often as the rest of the corpus
 #: lets expect; one that makes up DOMINANT of a page's pairs needs to come but DOMINANT_REPEATS times.
 REPEATS, EXCESS, DOMINANT_REPEATS, DOMINANT = 6, 8.0, 3, 0.04
@@ -115,48 +118,66 @@ def _measures(pairs, left, right, own, size, n_pairs: int, floor_w: float, floor
     return [pmi, pmi * pmi, dominant, (own >= REPEATS) & excess, *between(pmi, (*PMI_LIMITS, 1e9)), *between(pmi2, PMI2_LIMITS)]
 
 
-def page_scores(docs: DataFrame, exact: bool = False) -> DataFrame:
+class _Pages:
+    """The words and pairs of a batch of pages beside their counts, as far as these are held."""
+
+    def __init__(self, texts: pa.Array, held: list[_Counts]):
+        self.t = t = Tokens(texts)
+        self.doc = t.doc[t.pair]
+        self.words, self.size = np.bincount(t.doc, minlength=t.n), np.bincount(self.doc, minlength=t.n)
+        w, wc = np.unique(t.hash, return_inverse=True)
+        p, self.code = np.unique(t.pair_hash(), return_inverse=True)
+        self.pair, self.pairs = p[self.code], len(p)
+        self.own, self.own_word = _own(self.doc, self.code, len(p)), _own(t.doc, wc, len(w))
+        self.n_pair, self.n_word = held[1].of(p)[self.code], held[0].of(w)[wc]
+
+    def known(self) -> np.ndarray:
+        """Whether all three counts of a position are held; every word and pair of a page is in the whole table."""
+        return (self.n_pair > 0) & (self.n_word[self.t.pair] > 0) & (self.n_word[self.t.pair + 1] > 0)
+
+    def sums(self, n_pairs: int, floor_w: float, floor_p: float, at: np.ndarray | None = None) -> list[np.ndarray]:
+        """Sums of _PAIR_FEATURES over the pairs of each page, or over those of the positions at."""
+        rest_p, rest_w = np.maximum(self.n_pair - self.own, 0), np.maximum(self.n_word - self.own_word, 0)
+        pick = slice(None) if at is None else at
+        left, doc = self.t.pair[pick], self.doc[pick]
+        got = _measures(rest_p[pick], rest_w[left], rest_w[left + 1], self.own[pick], self.size[doc], n_pairs, floor_w, floor_p, np)
+        return [np.bincount(doc, x, self.t.n) for x in got]
+
+
+def page_scores(docs: DataFrame, by_join: bool = False) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, words, *FEATURES, score).
 
     A first pass over all texts counts words and pairs of neighbouring words; counts are summed in each task before the
     shuffle. Each page's pairs are then measured against the counts of all other pages (its own are taken off): mean and
-    spread of PMI, the shares of excessively repeated collocations, and the shares of pairs in each class of PMI. Rarer words and pairs
-    than one in RARE count as that rare, so at most RARE of each are broadcast, and the same text gets about the same
-    scores in a corpus of any size. With exact=True no count is floored: the pairs of all pages meet the whole count
-    table in joins, which moves several times the corpus; the scores are the same wherever no count is below the floor.
-    Null and empty texts and those of one word have scores of 0; rows with null ids are left out, repeated rows give
-    repeated scores (one with exact=True).
+    spread of PMI, the shares of excessively repeated collocations, and the shares of pairs in each class of PMI. Every
+    count takes part, however rare. They are broadcast while they number at most HELD, which is checked; beyond that the
+    common ones are, and what a page has of rarer words and pairs meets the count table in joins, see _scores_with_rest.
+    With by_join=True nothing is broadcast; the scores are the same. Null and empty texts and those of one word have scores
+    of 0; rows with null ids are left out, repeated rows give repeated scores.
     """
     spark = docs.sparkSession
     texts = docs.select("text").where("text is not null and doc_id is not null")
     counts = materialize(texts.mapInArrow(_count, "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n")))
-    totals = {r[0]: r[1] for r in counts.groupBy("kind").agg(F.sum("n")).collect()}
-    n_words, n_pairs = totals.get(1, 0), max(1, totals.get(2, 0))
+    totals = {r[0]: (r[1], r[2]) for r in counts.groupBy("kind").agg(F.sum("n"), F.count("*")).collect()}
+    n_words, n_pairs = totals.get(1, (0, 0))[0], max(1, totals.get(2, (0, 0))[0])
     floor_w, floor_p = max(1.0, n_words / RARE / 2), max(0.1, n_pairs / RARE / 20)
-    if exact:
-        return _scores_by_join(docs, counts, n_pairs, floor_w, floor_p)
-    common = counts.where(F.col("n") >= F.when(F.col("kind") == 1, n_words / RARE).otherwise(n_pairs / RARE))
+    whole = not by_join and sum(keys for _, keys in totals.values()) <= HELD
+    common = counts
+    if not whole:
+        common = counts.where(~F.lit(by_join) & (F.col("n") >= F.when(F.col("kind") == 1, n_words).otherwise(n_pairs) / (HELD // 2)))
     held = common.toPandas()
     tables = [_Counts(part["key"].to_numpy(np.int64), part["n"].to_numpy(np.int64)) for k in (1, 2) for part in [held[held["kind"] == k]]]
     shared = spark.sparkContext.broadcast(tables)
+    if not whole:
+        return _scores_with_rest(docs, counts, shared, n_pairs, floor_w, floor_p)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pairs = shared.value
         for batch in batches:
-            t = Tokens(batch.column(1))
-            n, at = t.n, t.pair
-            doc = t.doc[at]
-            many = np.maximum(np.bincount(doc, minlength=n), 1)
-            w, wc = np.unique(t.hash, return_inverse=True)
-            p, pc_ = np.unique(t.pair_hash(), return_inverse=True)
-            own = _own(doc, pc_, len(p))
-            rest_p = np.maximum(pairs.of(p)[pc_] - own, 0)
-            rest_w = np.maximum(words.of(w)[wc] - _own(t.doc, wc, len(w)), 0)
-            got = _measures(rest_p, rest_w[at], rest_w[at + 1], own, many[doc], n_pairs, floor_w, floor_p, np)
-            feats = [np.bincount(doc, x, n) / many for x in got]
+            pages = _Pages(batch.column(1), shared.value)
+            feats = [x / np.maximum(pages.size, 1) for x in pages.sums(n_pairs, floor_w, floor_p)]
             feats[1] = np.sqrt(np.maximum(feats[1] - feats[0] ** 2, 0))
-            total = np.where(np.bincount(doc, minlength=n) > 0, sum(wt * f for wt, f in zip(WEIGHTS, feats, strict=True)) + BIAS, 0.0)
-            cols = [batch.column(0), pa.array(np.bincount(t.doc, minlength=n).astype(np.int64)), *[pa.array(x.astype(np.float64)) for x in (*feats, total)]]
+            total = np.where(pages.size > 0, sum(wt * f for wt, f in zip(WEIGHTS, feats, strict=True)) + BIAS, 0.0)
+            cols = [batch.column(0), pa.array(pages.words.astype(np.int64)), *[pa.array(x.astype(np.float64)) for x in (*feats, total)]]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "words", *FEATURES, "score"])
 
     kind = dict(docs.dtypes)["doc_id"]
@@ -164,41 +185,50 @@ def page_scores(docs: DataFrame, exact: bool = False) -> DataFrame:
     return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(score, schema)
 
 
-def _scores_by_join(docs: DataFrame, counts: DataFrame, n_pairs: int, floor_w: float, floor_p: float) -> DataFrame:
-    """page_scores without a floor under the counts: (page, pair) rows join the count table three times."""
+def _scores_with_rest(docs: DataFrame, counts: DataFrame, shared: Broadcast, n_pairs: int, floor_w: float, floor_p: float) -> DataFrame:
+    """page_scores where some counts are not held: a row for each page with the sums over the pairs all of whose counts are,
+    and a row for each other (page, pair), which joins the count table. A count that is held doesn't join: its row goes to
+    the place of its pair, so no common word gathers rows."""
     kind = dict(docs.dtypes)["doc_id"]
+    names = ["size", "pair", "own", "left", "right", "own_left", "own_right", "n_pair", "n_left", "n_right"]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t = Tokens(batch.column(1))
-            doc, ph = t.doc[t.pair], t.pair_hash()
-            size = np.bincount(doc, minlength=t.n)
-            w, wc = np.unique(t.hash, return_inverse=True)
-            p, pc_ = np.unique(ph, return_inverse=True)
-            mine = _own(t.doc, wc, len(w))
-            _, first, n = np.unique(doc * max(1, len(p)) + pc_, return_index=True, return_counts=True)
-            at, d = t.pair[first], doc[first]
-            cols = [pa.array(d), pa.array(np.bincount(t.doc, minlength=t.n)[d]), pa.array(size[d]), pa.array(ph[first].view(np.int64)), pa.array(n)]
-            cols += [pa.array(x) for x in (t.hash[at].view(np.int64), t.hash[at + 1].view(np.int64), mine[at], mine[at + 1])]
-            cols[0] = batch.column(0).take(cols[0])
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "words", "size", "pair", "own", "left", "right", "own_left", "own_right"])
-
-    once = docs.select("doc_id", "text").where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text"))
-    schema = f"doc_id {kind}, words bigint, size bigint, pair bigint, own bigint, left bigint, right bigint, own_left bigint, own_right bigint"
-    rows = once.mapInArrow(spread, schema)
-    for key, k, own in (("pair", 2, "own"), ("left", 1, "own_left"), ("right", 1, "own_right")):
-        other = counts.where(F.col("kind") == k).select(F.col("key").alias(key), F.col("n").alias("_n"))
-        rows = rows.join(other, key).withColumn(f"rest_{key}", F.greatest(F.col("_n") - F.col(own), F.lit(0)).cast("double")).drop("_n")
+            pages = _Pages(batch.column(1), shared.value)
+            t, known = pages.t, pages.known()
+            sums = pages.sums(n_pairs, floor_w, floor_p, np.flatnonzero(known))
+            lists = pa.ListArray.from_arrays(np.arange(t.n + 1, dtype=np.int32) * len(sums), np.stack(sums, 1).ravel().astype(np.float64))
+            none = pa.nulls(t.n, pa.int64())
+            cols = [batch.column(0), batch.column(2), pa.array(pages.words.astype(np.int64)), lists, pa.array(pages.size.astype(np.int64)), *[none] * 9]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "page", "words", "sums", *names])
+            other = np.flatnonzero(~known)
+            _, first = np.unique(pages.doc[other] * max(1, pages.pairs) + pages.code[other], return_index=True)
+            at = other[first]
+            left, doc = t.pair[at], pages.doc[at]
+            values = [pages.size[doc], pages.pair[at].view(np.int64), pages.own[at], t.hash[left].view(np.int64), t.hash[left + 1].view(np.int64)]
+            values += [pages.own_word[left], pages.own_word[left + 1], pages.n_pair[at], pages.n_word[left], pages.n_word[left + 1]]
+            none, to = pa.nulls(len(at), pa.int64()), pa.array(doc)
+            cols = [batch.column(0).take(to), batch.column(2).take(to), none, pa.nulls(len(at), lists.type), *[pa.array(x.astype(np.int64)) for x in values]]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "page", "words", "sums", *names])
+
+    schema = f"doc_id {kind}, page bigint, words bigint, sums array<double>, " + ", ".join(f"{x} bigint" for x in names)
+    table = materialize(docs.select("doc_id", "text", F.xxhash64("text")).where("doc_id is not null").mapInArrow(spread, schema))
+    base, rows = table.where("pair is null").select("doc_id", "page", "words", "sums", "size"), table.where("pair is not null").drop("words", "sums")
     c = F.col
+    for key, k in (("pair", 2), ("left", 1), ("right", 1)):
+        other = counts.where(c("kind") == k).select(c("key").alias("_key"), c("n").alias("_n"))
+        rows = rows.withColumn("_at", F.when(c(f"n_{key}") > 0, c("pair")).otherwise(c(key))).join(other, c("_at") == c("_key"), "left")
+        n = F.when(c(f"n_{key}") > 0, c(f"n_{key}")).otherwise(c("_n"))
+        rows = rows.withColumn(f"rest_{key}", F.greatest(n - c("own" if key == "pair" else f"own_{key}"), F.lit(0)).cast("double")).drop("_key", "_n", "_at")
     got = _measures(c("rest_pair"), c("rest_left"), c("rest_right"), c("own"), c("size"), n_pairs, floor_w, floor_p, F)
-    sums = [(F.sum(m.cast("double") * c("own")) / F.first("size")).alias(f) for m, f in zip(got, _PAIR_FEATURES, strict=True)]
-    per = rows.groupBy("doc_id").agg(F.first("words").alias("words"), *sums)
-    spread = F.sqrt(F.greatest(c("square_pmi") - c("mean_pmi") * c("mean_pmi"), F.lit(0.0))).alias("spread_pmi")
-    per = per.select("doc_id", "words", "mean_pmi", spread, *FEATURES[2:])
-    per = per.withColumn("score", sum((F.lit(float(w)) * c(f) for w, f in zip(WEIGHTS, FEATURES, strict=True)), F.lit(float(BIAS))))
-    # pages without a pair: none or one word
-    few = once.join(per, "doc_id", "left_anti").select("doc_id", F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).cast("bigint").alias("words"))
-    return per.unionByName(few.select("*", *[F.lit(0.0).alias(f) for f in (*FEATURES, "score")]))
+    more = rows.groupBy("doc_id", "page").agg(F.array(*[F.sum(m.cast("double") * c("own")) for m in got]).alias("more"))
+    # a page that is repeated sent its rows as often
+    more = more.join(base.groupBy("doc_id", "page").agg(F.count("*").alias("copies")), ["doc_id", "page"])
+    value = lambda k: (c("sums")[k] + F.coalesce(c("more")[k] / c("copies"), F.lit(0.0))) / F.greatest(c("size"), F.lit(1))
+    per = base.join(more, ["doc_id", "page"], "left").select("doc_id", "words", "size", *[value(k).alias(f) for k, f in enumerate(_PAIR_FEATURES)])
+    per = per.withColumn("spread_pmi", F.sqrt(F.greatest(c("square_pmi") - c("mean_pmi") * c("mean_pmi"), F.lit(0.0))))
+    total = sum((F.lit(float(w)) * c(f) for w, f in zip(WEIGHTS, FEATURES, strict=True)), F.lit(float(BIAS)))
+    return per.select("doc_id", "words", *FEATURES, F.when(c("size") > 0, total).otherwise(0.0).alias("score"))
 
 
 def fit(features: np.ndarray, found: np.ndarray, rounds: int = 4000, ridge: float = 0.1) -> tuple[np.ndarray, float]:

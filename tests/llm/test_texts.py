@@ -1,6 +1,9 @@
 """Splitting, packing, leaks, mapping, personal information, keyword pages, top N."""
 
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -401,6 +404,26 @@ def test_keyword_page_scores_by_join_are_the_same(spark):
         assert [a[k][f] for f in (*stuffing.FEATURES, "score")] == pytest.approx([b[k][f] for f in (*stuffing.FEATURES, "score")], abs=1e-4)
 
 
+@pytest.mark.parametrize("held", [1 << 22, 400, 40])
+def test_rare_words_and_pairs_count_exactly(spark, held, monkeypatch):
+    """Against counts in plain Python, whatever is broadcast, in a corpus where one in 2^21 would be more than 1."""
+    monkeypatch.setattr(stuffing, "HELD", held)
+    monkeypatch.setattr(stuffing, "RARE", 1 << 6)
+    rows = [(r["doc_id"], r["text"]) for r in pages(spark).collect() if r["doc_id"] not in (None, 901, 903)]
+    rows += [rows[0], (rows[0][0], rows[1][1])]
+    texts = [re.findall(r"[^\W_]+", (t or "").lower()) for _, t in rows]
+    texts = [["0" if w.isdigit() else w for w in t] for t in texts]
+    words, pairs = Counter(w for t in texts for w in t), Counter(p for t in texts for p in zip(t, t[1:], strict=False))
+    n_pairs, floor_w, floor_p = pairs.total(), max(1.0, words.total() / 64 / 2), max(0.1, pairs.total() / 64 / 20)
+    want = []
+    for (k, _), t in zip(rows, texts, strict=True):
+        own, mine = Counter(zip(t, t[1:], strict=False)), Counter(t)
+        pmi = [math.log((pairs[a, b] - own[a, b] + floor_p) * n_pairs / ((words[a] - mine[a] + floor_w) * (words[b] - mine[b] + floor_w))) for a, b in zip(t, t[1:], strict=False)]
+        want.append((k, len(t), round(sum(pmi) / max(1, len(pmi)), 6)))
+    got = [(r["doc_id"], r["words"], round(r["mean_pmi"], 6)) for r in stuffing.page_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert all(a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-5 for a, b in zip(sorted(got), sorted(want), strict=True))
+
+
 def test_fit_separates():
     rng = np.random.default_rng(2)
     x = rng.standard_normal((400, len(stuffing.FEATURES)))
