@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -12,8 +15,12 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwork.operators import trees as T
 from loomwork.operators.features import FEATURES
-from loomwork.session import shared_dir
+from loomwork.session import materialize, shared_dir
+
+#: Rows up to which a task holds all of them to fit trees, at some 60 bytes each.
+IN_TASK = 8_000_000
 
 
 def balanced(df: DataFrame, label: str) -> DataFrame:
@@ -70,16 +77,39 @@ def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
 
 def compare(train: DataFrame, test: DataFrame, score: str) -> DataFrame:
     """(model, label, prediction) of the four learners on test, each with the whole number of rounds, trees and iterations
-    that its function has as default."""
+    that its function has as default. While train has at most IN_TASK rows, which is checked, its trees are those of
+    operators.trees, fitted inside of tasks; beyond that Spark's. The ranker lists no pairs."""
     spark = train.sparkSession
     shared_dir(spark)  # boosting checkpoints there, else its lineage grows with the rounds
     # few bytes and many rounds over them: without a stated number the adaptive planner would give one task all rows
     train = train.repartition(spark.sparkContext.defaultParallelism, "id").withColumn("label", (F.col(score) >= 0.5).cast("double"))
-    fitted = {"logistic": logistic().fit(balanced(train, "label")), "forest": forest().fit(train), "boosted": boosted().fit(train), "ranker": pairwise_ranker(train, "resume_id")}
+    train = materialize(train)
+    label = (F.col(score) >= 0.5).cast("double").alias("label")
+    fitted = {"logistic": logistic().fit(balanced(train, "label"))}
+    few = 0 < train.count() <= IN_TASK
+    if not few:
+        fitted |= {"forest": forest().fit(train), "boosted": boosted().fit(train)}
     out = None
     for name, model in fitted.items():
-        rows = predict(model, test).select(F.lit(name).alias("model"), (F.col(score) >= 0.5).cast("double").alias("label"), F.col("prediction").cast("double").alias("prediction"))
+        rows = predict(model, test).select(F.lit(name).alias("model"), label, F.col("prediction").cast("double").alias("prediction"))
         out = rows if out is None else out.unionByName(rows)
+    beta = T.fit_ranker(train.withColumn("score", F.col(score)), "resume_id", FEATURES)
+    margin = sum((F.lit(float(w)) * F.col(f) for f, w in zip(FEATURES, beta, strict=True)), F.lit(0.0))
+    out = out.unionByName(test.select(F.lit("ranker").alias("model"), label, margin.alias("prediction")))
+    if few:
+        one, more = forest().getStages()[-1], boosted().getStages()[-1]
+        sizes = (one.getNumTrees(), one.getMaxDepth()), (more.getMaxIter(), more.getMaxDepth(), more.getStepSize())
+        models = spark.sparkContext.broadcast(T.fit_trees(train.withColumn("score", F.col(score)), FEATURES, *sizes))
+
+        def guess(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            splits, trees, rounds = models.value
+            for pdf in batches:
+                rows = T.Rows((pdf[f].to_numpy(np.float64) for f in FEATURES), splits)
+                for name, values in (("forest", T.predict_trees(rows, trees) / len(trees)), ("boosted", T.predict_trees(rows, rounds))):
+                    yield pd.DataFrame({"model": name, "label": pdf["label"], "prediction": values})
+
+        dealt = test.select(label, *FEATURES).repartition(4 * spark.sparkContext.defaultParallelism)
+        out = out.unionByName(dealt.mapInPandas(guess, "model string, label double, prediction double"))
     return out
 
 

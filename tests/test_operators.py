@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from loomwork.operators import learning
 from loomwork.operators import metrics as M
 from loomwork.operators import skills as K
 from loomwork.operators import store as R
+from loomwork.operators import trees
 from loomwork.operators.graph import components
 
 JOB = """Staff Platform Engineer
@@ -265,6 +267,49 @@ def test_ranker_pairs_all_scores_of_a_tied_group(spark):
     assert len({r["prediction"] for r in ranked}) == 4 and [r["prediction"] for r in ranked] == sorted(r["prediction"] for r in ranked)
 
 
+def learner_rows(spark, n=1500):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.random((n, 3)), 2)
+    score = np.round(0.6 * x[:, 0] + 0.3 * x[:, 1] * x[:, 2] + 0.1 * rng.random(n), 2)
+    group = np.where(np.arange(n) % 3 == 0, "hot", np.char.add("g", (np.arange(n) % 70).astype(str)))
+    rows = [(f"i{k:05d}", str(g), *map(float, v), float(y)) for k, (g, v, y) in enumerate(zip(group, x, score, strict=True))]
+    return spark.createDataFrame(rows, "id string, resume_id string, a double, b double, c double, score double")
+
+
+def test_trees_are_those_of_sparks_boosting(spark):
+    df, features = learner_rows(spark), ["a", "b", "c"]
+    want = learning.predict(learning.boosted(features, 4, 3).fit(df), df).orderBy("id").select("prediction").toPandas()["prediction"]
+    splits, forest, rounds = trees.fit_trees(df, features, (15, 4), (4, 3, 0.05))
+    pdf = df.orderBy("id").toPandas()
+    rows = trees.Rows((pdf[f].to_numpy() for f in features), splits)
+    assert trees.predict_trees(rows, rounds) == pytest.approx(want.to_numpy(), abs=1e-9)
+    assert len(forest) == 15 and np.corrcoef(trees.predict_trees(rows, forest) / 15, pdf["score"])[0, 1] > 0.85
+    again = trees.fit_trees(df.orderBy(F.desc("b")), features, (15, 4), (1, 1, 0.05))[1]
+    assert all((x == y).all() for a, b in zip(forest, again, strict=True) for x, y in zip(a, b, strict=True))
+
+
+@pytest.mark.parametrize(("listed", "block"), [(64, 1024), (4, 50), (1000, 1024)])
+def test_ranker_without_pairs_equals_logistic_regression_on_pairs(spark, listed, block, monkeypatch):
+    for name, value in (("LISTED", listed), ("BLOCK", block), ("SLAB", 16)):
+        monkeypatch.setattr(trees, name, value)
+    df, features = learner_rows(spark, 600), ["a", "b", "c"]
+    got = trees.fit_ranker(df, "resume_id", features)
+    want = learning.pairwise_ranker(df, "resume_id", features).stages[-1].coefficients.toArray()
+    assert got == pytest.approx(want, rel=1e-3)
+    assert list(trees.fit_ranker(df.limit(0), "resume_id", features)) == [0, 0, 0]
+
+
+def test_learners_of_full_size_take_few_jobs(spark):
+    """300 trees and 300 rounds by Spark's own learners take thousands."""
+    df = learner_rows(spark, 400).select("id", "resume_id", "score", *[F.col("abc"[k % 3]).alias(f) for k, f in enumerate(X.FEATURES)])
+    spark.sparkContext.setJobGroup("learners", "")
+    got = learning.compare(df, df, "score").toPandas()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("learners"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got["model"].value_counts().to_dict() == dict.fromkeys(("logistic", "forest", "boosted", "ranker"), 400)
+    assert jobs < 400
+
+
 def test_learners_have_their_full_size(spark):
     logistic, forest, boosted = (f().getStages()[-1] for f in (learning.logistic, learning.forest, learning.boosted))
     assert logistic.getMaxIter() == 1000
