@@ -110,7 +110,7 @@ def compare(train: DataFrame, test: DataFrame, score: str) -> DataFrame:
 
         dealt = test.select(label, *FEATURES).repartition(4 * spark.sparkContext.defaultParallelism)
         out = out.unionByName(dealt.mapInPandas(guess, "model string, label double, prediction double"))
-    return out
+    return materialize(out)  # metrics read it several times
 
 
 def save_model(model: PipelineModel, path: str, about: dict) -> None:

@@ -81,14 +81,15 @@ def grow(rows: Rows, pairs: list[np.ndarray], y: np.ndarray, w: np.ndarray | Non
     wy = y if w is None else w * y
     feature, limit = np.zeros((1 << depth) - 1, np.int64), np.full((1 << depth) - 1, 255, np.uint8)
     node, at, is_open = np.zeros(n, np.int64), np.arange(n) * nf, np.ones(1, bool)
+    base, place, cell, over = np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n, np.uint8), np.empty(n, np.uint8)  # memory is touched once
     for level in range(depth):
         m = 1 << level
         count, total = np.empty((m, nf, BINS)), np.empty((m, nf, BINS))
         wide = m <= 32
         cells = BINS * BINS if wide else BINS
-        base = node * cells
+        np.multiply(node, cells, out=base)
         for k, key in enumerate(pairs if wide else rows.bins):
-            place = base + key
+            np.add(base, key, out=place)
             for weights, into in ((w, count), (wy, total)):
                 sums = np.bincount(place, weights, m * cells)
                 if wide:
@@ -111,7 +112,12 @@ def grow(rows: Rows, pairs: list[np.ndarray], y: np.ndarray, w: np.ndarray | Non
         is_open = is_open & (most > 1e-12 * np.maximum(na[:, 0, 0], 1))
         f, t = np.where(is_open, best // (BINS - 1), 0), np.where(is_open, best % (BINS - 1), 255)
         feature[m - 1 : 2 * m - 1], limit[m - 1 : 2 * m - 1] = f, t
-        node = 2 * node + (rows.flat[at + f[node]] > t[node])
+        np.take(f, node, out=place, mode="clip")
+        np.add(place, at, out=place)
+        np.take(rows.flat, place, out=cell, mode="clip")
+        np.take(t.astype(np.uint8), node, out=over, mode="clip")
+        np.multiply(node, 2, out=node)
+        np.add(node, cell > over, out=node)
         is_open = np.repeat(is_open, 2)
     sums, counts = np.bincount(node, wy, 1 << depth), np.bincount(node, w, 1 << depth)
     return feature, limit, sums / np.where(counts > 0, counts, 1), node
